@@ -61,4 +61,4 @@ def petition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Query modules register themselves on import.
-from . import catalog_queries, catalog_rows  # noqa: E402,F401
+from . import catalog_queries, catalog_rows, catalog_aggs  # noqa: E402,F401
