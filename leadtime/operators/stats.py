@@ -86,3 +86,18 @@ def ntile_from_index(idx: Column, n: Column, k: int) -> Column:
     big = rem * (q + F.lit(1))
     return F.when(idx < big, F.floor(idx / (q + F.lit(1))) + F.lit(1)) \
             .otherwise(rem + F.floor((idx - big) / F.greatest(q, F.lit(1))) + F.lit(1)).cast("int")
+
+
+def top_n_per_group(df: DataFrame, group_cols, order_cols, n: int, salt_col: str | None = None,
+                    salt_buckets: int = 64, rank_name: str = "rank") -> DataFrame:
+    """Exact top-n rows per group without ranking a whole group inside one task.
+
+    Stage 1 keeps the top n inside (group, salt) sub-groups, stage 2 ranks the at most
+    n * salt_buckets survivors of each group.  ``order_cols`` must order rows uniquely.
+    """
+    group_cols = list(group_cols)
+    salt = F.pmod(F.xxhash64(*(F.col(c) for c in ([salt_col] if salt_col else df.columns))), F.lit(salt_buckets))
+    w1 = Window.partitionBy(*group_cols, salt).orderBy(*order_cols)
+    cand = df.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n).drop("_r1")
+    w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    return cand.withColumn(rank_name, F.row_number().over(w2)).filter(F.col(rank_name) <= n)

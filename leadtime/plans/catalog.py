@@ -61,4 +61,5 @@ def petition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Query modules register themselves on import.
-from . import catalog_queries, catalog_rows, catalog_aggs, catalog_profile, catalog_stats  # noqa: E402,F401
+from . import (catalog_queries, catalog_rows, catalog_aggs, catalog_profile, catalog_stats,  # noqa: E402,F401
+               catalog_ml, catalog_sources, catalog_score)

@@ -84,7 +84,7 @@ _ENG_SQL = _FLOORED_SQL + """
 , eng AS (SELECT valid.*, seasonal_index_month, seasonal_index_quarter,
                  CAST(coalesce(seasonal_index_month > 1.1, false) AS INTEGER) AS is_peak_season,
                  office_mean_days, office_median_days, office_std_days, office_volume, office_approval_rate,
-                 fiscal_year_index, CAST(3 * is_ap + 2 * is_refused_221g + 2 * is_refused AS DOUBLE) AS complexity_score
+                 office_ap_rate, office_refusal_rate, office_221g_rate, fiscal_year_index, CAST(3 * is_ap + 2 * is_refused_221g + 2 * is_refused AS DOUBLE) AS complexity_score
           FROM valid LEFT JOIN mi USING (submit_month) LEFT JOIN qi USING (submit_quarter)
                LEFT JOIN fs USING (office) LEFT JOIN fyi USING (fiscal_year))"""
 

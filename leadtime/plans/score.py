@@ -52,25 +52,25 @@ def list_offices(stats: DataFrame, key: str = "office", labels: DataFrame | None
 
 
 def request_features(valid_req: DataFrame, office_stats: DataFrame, global_row: DataFrame | None,
-                     codes: DataFrame | None, fy_min, fy_max, seasonal: str = "static") -> DataFrame:
-    """Feature row for each validated request, same names as the training features.
+                     codes: DataFrame | None, fy_min=None, fy_max=None, seasonal_model=None, fy_model=None) -> DataFrame:
+    """Feature row for each validated request, with the training feature names.
 
-    ``seasonal="static"`` uses the fixed peak months / indices; a fitted SeasonalIndexModel's
-    tables can be joined instead by the caller.
+    Without fitted models the reference's serving rules apply: static peak months / indices and
+    fiscal-year index (year - fy_min) / span.  Passing the fitted SeasonalIndexModel and
+    FiscalYearTrendModel serves the same lookups the model was trained with.
     """
     d = F.col("submit_dt")
     m = F.month(d)
     q = F.quarter(d)
     fy = F.year(d) + (m >= 10).cast("int")
-    span = F.greatest(F.lit(fy_max) - F.lit(fy_min), F.lit(1)) if not isinstance(fy_max, F.Column) else \
-        F.greatest(fy_max - fy_min, F.lit(1))
-    out = valid_req.withColumns({
+    out = valid_req.withColumnRenamed("office_code", "office_key").withColumns({
         "fiscal_year": fy, "submit_year": F.year(d), "submit_month": m, "submit_quarter": q,
         "submit_day_of_week": F.weekday(d), "submit_day_of_year": F.dayofyear(d),
         "case_number": F.col("case_no").cast("double"),
-        "fiscal_year_index": (fy - (fy_min if isinstance(fy_min, F.Column) else F.lit(fy_min))).cast("double") / span,
     })
-    if seasonal == "static":
+    if seasonal_model is not None:
+        out = seasonal_model.transform(out)
+    else:
         peak = m.isin(*PEAK_MONTHS)
         out = out.withColumns({
             "is_peak_season": peak.cast("int"),
@@ -78,29 +78,36 @@ def request_features(valid_req: DataFrame, office_stats: DataFrame, global_row:
             "seasonal_index_quarter": F.when(q.isin(1, 4), F.lit(STATIC_QUARTER_INDEX[0]))
                                        .otherwise(F.lit(STATIC_QUARTER_INDEX[1])),
         })
+    if fy_model is not None:
+        out = fy_model.transform(out)
+    else:
+        span = F.greatest(F.lit(fy_max) - F.lit(fy_min), F.lit(1))
+        out = out.withColumn("fiscal_year_index", (F.col("fiscal_year") - F.lit(fy_min)).cast("double") / span)
     for part, period in (("month", 12), ("day_of_week", 7), ("quarter", 4), ("day_of_year", 365)):
         c = F.col(f"submit_{part}")
         out = out.withColumns({f"submit_{part}_sin": F.sin(F.lit(2 * math.pi) * c / F.lit(float(period))),
                                f"submit_{part}_cos": F.cos(F.lit(2 * math.pi) * c / F.lit(float(period)))})
-    out = join_fallback_global(out, "office_code", office_stats, "office", global_row)
+    out = join_fallback_global(out, "office_key", office_stats, "office", global_row)
     if codes is not None:
-        out = encode_apply_default(out, "office_code", codes, "office_enc", 0)
-    return out
+        out = encode_apply_default(out, "office_key", codes, "office_code", 0)
+    return out.fillna(0.0, subset=["seasonal_index_month", "seasonal_index_quarter", "fiscal_year_index"])
 
 
 def score_requests(requests: DataFrame, model: PipelineModel, office_stats: DataFrame, global_row: DataFrame | None,
-                   codes: DataFrame | None, fy_min, fy_max, rmse: float, model_name: str, mae: float, r2: float,
-                   features: list[str], prediction_col: str = "prediction") -> tuple[DataFrame, DataFrame]:
+                   codes: DataFrame | None, rmse: float, model_name: str, mae: float, r2: float, features,
+                   fy_min=None, fy_max=None, seasonal_model=None, fy_model=None,
+                   prediction_col: str = "prediction") -> tuple[DataFrame, DataFrame]:
     """Validate, build features, predict, add interval / category / office profile.
 
     Returns (scored valid requests, quarantined requests with their error map).
     """
     v = validate_requests(requests)
     ok, bad = split_valid(v)
-    feats = request_features(ok, office_stats, global_row, codes, fy_min, fy_max)
+    feats = request_features(ok, office_stats, global_row, codes, fy_min, fy_max, seasonal_model, fy_model)
     pred = model.transform(feats)
+    p = F.greatest(F.col(prediction_col), F.lit(0.0))
     iv = prediction_interval(prediction_col, rmse)
-    cat = speed_category(F.greatest(F.col(prediction_col), F.lit(0.0)), "office_mean_days", "office_std_days")
+    cat = speed_category(p, "office_mean_days", "office_std_days")
     prof = F.struct(
         F.bround(F.col("office_mean_days"), 1).alias("mean_processing_days"),
         F.bround(F.col("office_median_days"), 1).alias("median_processing_days"),
@@ -111,11 +118,11 @@ def score_requests(requests: DataFrame, model: PipelineModel, office_stats: Data
         F.bround(F.col("office_refusal_rate") * 100, 1).alias("refusal_rate_pct"),
         F.bround(F.col("office_221g_rate") * 100, 1).alias("refusal_221g_pct"))
     scored = pred.select(
-        *[c for c in requests.columns],
+        *requests.columns,
         *[e.alias(k) for k, e in iv.items()], *[e.alias(k) for k, e in cat.items()],
-        F.col("office_code").alias("office_code"), F.col("office_known"),
-        prof.alias("office_stats"), F.date_format("submit_dt", "yyyy-MM-dd").alias("submit_date_iso"),
-        F.lit(model_name).alias("model_name"), F.bround(F.lit(mae), 1).alias("model_mae_days"),
-        F.bround(F.lit(r2), 4).alias("model_r2"), (F.col("is_peak_season") == 1).alias("is_peak_season"),
+        "office_key", "office_known", prof.alias("office_stats"),
+        F.date_format("submit_dt", "yyyy-MM-dd").alias("submit_date_iso"),
+        F.lit(model_name).alias("model_name"), F.bround(F.lit(float(mae)), 1).alias("model_mae_days"),
+        F.bround(F.lit(float(r2)), 4).alias("model_r2"), (F.col("is_peak_season") == 1).alias("is_peak_season"),
         F.array(*[F.lit(f) for f in features]).alias("features_used"))
     return scored, bad

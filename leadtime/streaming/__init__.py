@@ -1 +1,3 @@
+"""Streaming entry points."""
 
+from .score_stream import read_quarantine, read_scored, score_stream
