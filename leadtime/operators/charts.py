@@ -102,7 +102,7 @@ def numeric_hist_grid(df: DataFrame, target: str = "lead_days", bins: int = 40,
     cols = [c for c in numeric_columns(df) if c != target]
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, bin long, bin_lo double, bin_hi double, count long")
-    pre = df.agg(*[F.approx_count_distinct(c, 0.01).alias(f"a{i}") for i, c in enumerate(cols)],
+    pre = df.agg(*[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(cols)],
                  *[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     ok = [(i, c) for i, c in enumerate(cols) if (pre[f"s{i}"] or 0) > 0]
     sure = {c for i, c in ok if pre[f"a{i}"] > 2 * min_distinct}

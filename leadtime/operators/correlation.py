@@ -24,18 +24,37 @@ ENGINEERED_FEATURES = (
 
 
 def pearson(x: str, y: str) -> Column:
+    """Aggregate expression: pairwise-complete Pearson r of two columns (null if either is constant)."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     both = a.isNotNull() & b.isNotNull()
     a2, b2 = F.when(both, a), F.when(both, b)
     return F.try_divide(F.covar_pop(a2, b2), F.stddev_pop(a2) * F.stddev_pop(b2))
 
 
+def pair_corr(df: DataFrame, pairs) -> DataFrame:
+    """(row, col, corr) for each (x, y) column pair.
+
+    Every input row emits one (pair, x, y) row per pair through a generator, rows missing
+    either value are dropped (pairwise-complete), and one grouped aggregation with three
+    codegen'd statistics per group computes all pairs; the partial aggregate of each task holds
+    one small buffer per pair, whatever the number of rows.
+    """
+    pairs = list(pairs)
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"),
+                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])))
+    long = long.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    got = long.groupBy("row", "col").agg(
+        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
+    # pairs with no complete row at all still appear, with a null correlation
+    dom = df.sparkSession.createDataFrame(pairs, "row string, col string")
+    return F.broadcast(dom).join(got, ["row", "col"], "left")
+
+
 def corr_with(df: DataFrame, target: str, cols=None) -> DataFrame:
-    """(feature, corr) of every numeric column with the target, one aggregation."""
+    """(feature, corr) of every numeric column with the target."""
     cols = cols or numeric_columns(df)
-    wide = df.agg(F.array(*[F.struct(F.lit(c).alias("feature"), pearson(c, target).alias("corr"))
-                            for c in cols]).alias("a"))
-    return wide.select(F.explode("a").alias("s")).select("s.feature", "s.corr")
+    return pair_corr(df, [(c, target) for c in cols]).select(F.col("row").alias("feature"), "corr")
 
 
 def corr_with_target_abs(df: DataFrame, target: str = "lead_days", top_n: int = 15) -> DataFrame:
@@ -65,9 +84,7 @@ def corr_matrix(df: DataFrame, target: str = "lead_days", max_cols: int = 25) ->
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i)]
     if not pairs:
         return df.sparkSession.createDataFrame([], "row string, col string, corr double")
-    wide = df.agg(F.array(*[F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), pearson(a, b).alias("corr"))
-                            for a, b in pairs]).alias("a"))
-    return wide.select(F.explode("a").alias("s")).select("s.row", "s.col", "s.corr")
+    return pair_corr(df, pairs)
 
 
 def corr_engineered(df: DataFrame, target: str = "lead_days", features=ENGINEERED_FEATURES) -> DataFrame:

@@ -43,7 +43,7 @@ def categorical_fill_values(df: DataFrame, cols=None, threshold: int = 50) -> di
     if not cols:
         return {}
     pre = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(cols)],
-                 *[F.approx_count_distinct(c, 0.01).alias(f"a_{i}") for i, c in enumerate(cols)]).first()
+                 *[F.approx_count_distinct(c).alias(f"a_{i}") for i, c in enumerate(cols)]).first()
     need = [(i, c) for i, c in enumerate(cols) if pre[f"n_{i}"] > 0]
     fills = {c: UNKNOWN for i, c in need if pre[f"a_{i}"] > 2 * threshold}
     exact = [(i, c) for i, c in need if c not in fills]

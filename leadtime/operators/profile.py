@@ -97,7 +97,7 @@ def quality_high_cardinality(df: DataFrame, ratio: float = 0.9) -> DataFrame:
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, distinct long, rows long")
     pre = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.approx_count_distinct(c, 0.01).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+                 *[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(cols)]).first()
     cand = [c for i, c in enumerate(cols) if pre[f"a{i}"] > 0.8 * ratio * pre["_rows"]]
     if not cand:
         return df.sparkSession.createDataFrame([], "column string, distinct long, rows long")

@@ -145,3 +145,10 @@ def q_report(spark, sf):
     path = scratch_path(spark, "model-report")
     write_model_report(fitted[best], met, fm.features, path)
     return spark.read.json(f"{path}/report")
+
+
+@register("process_cases")
+def q_process(spark, sf):
+    from ..roles import cases
+    from .prepare import process_cases
+    return process_cases(cases(spark, sf))

@@ -43,3 +43,25 @@ valid AS (
   FROM (SELECT *, CAST(floor(epoch(status_ts - submit_ts) / 86400) AS BIGINT) AS raw_days FROM cases)
   WHERE raw_days >= 0
 )"""
+
+
+def process_cases(df: DataFrame, roles: CaseRoles = ROLES, outlier_k: float = 3.0, exact: bool = True,
+                  onehot_max: int = 10, impute_threshold: int = 50, drop=("case_id",)) -> DataFrame:
+    """The whole preparation plan: lead days -> drop missing target -> calendar parts, flags,
+    numeric case number -> impute (mode / 'Unknown' / median) -> drop date columns -> encode
+    (one-hot up to 10 levels, sorted label codes above) -> IQR trim of the target.
+
+    Encoding runs before trimming, as in the reference, so codes cover levels the trim removes.
+    """
+    from ..functions.dates import drop_date_columns
+    from ..operators.clean import outliers_iqr
+    from ..operators.encode import encode_auto
+    from ..operators.impute import impute_missing
+
+    out = valid_cases(df, roles)
+    out = impute_missing(out, roles.target, impute_threshold, exact)
+    out = drop_date_columns(out, roles)
+    keep = [c for c in drop if c in out.columns]
+    out, _ = encode_auto(out, [c for c in out.columns if dict(out.dtypes)[c] == "string" and c not in keep],
+                         onehot_max)
+    return outliers_iqr(out, roles.target, outlier_k, exact)
