@@ -41,7 +41,7 @@ def main() -> None:
     from leadtime.plans import models as M
     from leadtime.plans.features import engineer_features
     from leadtime.plans.metrics import regression_metrics, train_test_split
-    from leadtime.plans.prepare import process_cases, valid_cases
+    from leadtime.plans.prepare import process_valid, valid_cases
     from leadtime.roles import cases, petitions
 
     from leadtime.session import scratch_path
@@ -53,8 +53,8 @@ def main() -> None:
         return spark.read.parquet(valid_path)
 
     def q_prepare():
-        process_cases(cases(spark, sf_dir)).write.mode("overwrite").parquet(processed_path)
         valid_cases(cases(spark, sf_dir)).write.mode("overwrite").parquet(valid_path)
+        process_valid(valid()).write.mode("overwrite").parquet(processed_path)
 
     def q_office_stats():
         v = valid()

@@ -19,14 +19,20 @@ from ..functions.dates import cyclical_encoding
 from ..functions.flags import PEAK_INDEX_THRESHOLD, complexity_score, deviation_from_office, peak_season_flag
 from ..operators import aggregates as agg
 from ..roles import ROLES, CaseRoles
+from ..session import cut_lineage
 
 
 class _LookupModel(Model):
-    """Model whose state is a dict of small DataFrames plus JSON-able settings."""
+    """Model whose state is a dict of small DataFrames plus JSON-able settings.
 
-    def __init__(self, tables: dict | None = None, settings: dict | None = None):
+    Fitting is eager, as for Spark ML estimators: each lookup table (one row per month, quarter,
+    year or office) is computed once and checkpointed into the shared checkpoint folder, so
+    every later job reads the small table instead of re-aggregating the training rows.
+    """
+
+    def __init__(self, tables: dict | None = None, settings: dict | None = None, materialize: bool = True):
         super().__init__()
-        self.tables = tables or {}
+        self.tables = {k: (cut_lineage(v) if materialize else v) for k, v in (tables or {}).items()}
         self.settings = settings or {}
 
     def save(self, path: str) -> None:
@@ -40,7 +46,7 @@ class _LookupModel(Model):
     def load(cls, spark: SparkSession, path: str):
         meta = json.loads(spark.read.json(f"{path}/_meta").first()["meta"])
         tables = {n: spark.read.parquet(f"{path}/{n}") for n in meta["tables"]}
-        return cls(tables, meta["settings"])
+        return cls(tables, meta["settings"], materialize=False)
 
 
 class SeasonalIndexModel(_LookupModel):

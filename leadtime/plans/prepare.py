@@ -45,11 +45,10 @@ valid AS (
 )"""
 
 
-def process_cases(df: DataFrame, roles: CaseRoles = ROLES, outlier_k: float = 3.0, exact: bool = True,
-                  onehot_max: int = 10, impute_threshold: int = 50, drop=("case_id",)) -> DataFrame:
-    """The whole preparation plan: lead days -> drop missing target -> calendar parts, flags,
-    numeric case number -> impute (mode / 'Unknown' / median) -> drop date columns -> encode
-    (one-hot up to 10 levels, sorted label codes above) -> IQR trim of the target.
+def process_valid(valid: DataFrame, roles: CaseRoles = ROLES, outlier_k: float = 3.0, exact: bool = True,
+                  onehot_max: int = 10, impute_threshold: int = 50, keep=("case_id",)) -> DataFrame:
+    """Impute (mode / 'Unknown' / median) -> drop date columns -> encode (one-hot up to 10
+    levels, sorted label codes above) -> IQR trim of the target, over a valid-case table.
 
     Encoding runs before trimming, as in the reference, so codes cover levels the trim removes.
     """
@@ -58,10 +57,19 @@ def process_cases(df: DataFrame, roles: CaseRoles = ROLES, outlier_k: float = 3.
     from ..operators.encode import encode_auto
     from ..operators.impute import impute_missing
 
-    out = valid_cases(df, roles)
-    out = impute_missing(out, roles.target, impute_threshold, exact)
+    out = impute_missing(valid, roles.target, impute_threshold, exact)
     out = drop_date_columns(out, roles)
-    keep = [c for c in drop if c in out.columns]
-    out, _ = encode_auto(out, [c for c in out.columns if dict(out.dtypes)[c] == "string" and c not in keep],
-                         onehot_max)
+    strings = [c for c, t in out.dtypes if t == "string" and c not in keep]
+    out, _ = encode_auto(out, strings, onehot_max)
     return outliers_iqr(out, roles.target, outlier_k, exact)
+
+
+def process_cases(df: DataFrame, roles: CaseRoles = ROLES, **kw) -> DataFrame:
+    """The whole preparation plan from raw cases.
+
+    The valid-case table is written once to the shared checkpoint folder: the imputation and
+    encoding steps each need a metadata pass (null counts, distinct estimates, levels), and
+    without the cut every pass would recompute the raw joins.
+    """
+    from ..session import cut_lineage
+    return process_valid(cut_lineage(valid_cases(df, roles), "valid"), roles, **kw)

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import spread
+
 
 @dataclass(frozen=True)
 class CaseRoles:
@@ -87,7 +89,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     (both grow with the data; lineitem/orders is the one large-large join at scale).  nation and
     region have a fixed 25/5 rows and are broadcast explicitly as one 25-row geography table.
     """
-    li = read_table(spark, sf_dir, "lineitem")
+    li = spread(read_table(spark, sf_dir, "lineitem"))
     o = read_table(spark, sf_dir, "orders")
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -151,7 +153,7 @@ def petitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     employer = customer key, state = market segment, fiscal year of the order date,
     initial/continuing approval/denial flags from order status and priority.
     """
-    o = read_table(spark, sf_dir, "orders")
+    o = spread(read_table(spark, sf_dir, "orders"))
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     j = o.join(c, o.o_custkey == c.c_custkey)
     d = F.col("o_orderdate")

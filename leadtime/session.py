@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,7 +62,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/leadtime-tables/{name}"
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
+    """Materialise ``df`` as parquet in the shared checkpoint folder and read it back.
+
+    Same guarantee as a reliable ``checkpoint()`` (the data lives in shared storage, so a lost
+    executor never forces a recomputation of the lineage), but one job instead of two: Spark's
+    eager checkpoint computes the plan once to count and again to write.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"cut/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when a scan yields fewer partitions than the cluster has
+    task slots (a small file with a single row group is one task).  Large inputs already split
+    into many partitions are returned unchanged, so no shuffle is added at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
