@@ -34,10 +34,20 @@ def parse_dates_coerce(c, formats=DEFAULT_TS_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
 
+def duration_micros(start, end) -> Column:
+    """Microseconds from start to end.  For wall-clock (timestamp_ntz) values the difference
+    does not depend on the session time zone (no DST hour appears or disappears)."""
+    return F.timestamp_diff("MICROSECOND", _col(start), _col(end))
+
+
+def raw_days(submit, status) -> Column:
+    """Whole days from submit to status, floored: -12 h gives -1."""
+    return F.floor(duration_micros(submit, status) / F.lit(DAY_MICROS)).cast("long")
+
+
 def lead_time_days(submit, status) -> Column:
     """Whole days from submit to status, floored (-12 h -> -1), negative -> null."""
-    micros = F.unix_micros(_col(status).cast("timestamp")) - F.unix_micros(_col(submit).cast("timestamp"))
-    days = F.floor(micros / F.lit(DAY_MICROS)).cast("long")
+    days = raw_days(submit, status)
     return F.when(days >= 0, days)
 
 

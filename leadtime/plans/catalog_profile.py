@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import lead_time_days
+from ..functions.dates import raw_days
 from ..operators import encode as E
 from ..operators import impute as I
 from ..operators import profile as P
@@ -202,9 +202,7 @@ def q_highcard(spark, sf):
 SELECT count(*) FILTER (WHERE floor(epoch(status_ts - submit_ts) / 86400) < 0) AS negative FROM cases""", ctes=("cases",))
 def q_negative(spark, sf):
     c = cases(spark, sf)
-    raw = F.floor((F.unix_micros(F.col("status_ts").cast("timestamp")) - F.unix_micros(F.col("submit_ts").cast("timestamp")))
-                  / F.lit(86_400_000_000))
-    return P.quality_negative_target(c.withColumn("raw_days", raw), "raw_days")
+    return P.quality_negative_target(c.withColumn("raw_days", raw_days("submit_ts", "status_ts")), "raw_days")
 
 
 @register("quality_report", """
@@ -219,9 +217,8 @@ SELECT 'negative_target', CAST(count(*) AS VARCHAR), printf('%d rows with negati
   HAVING count(*) > 0""", ctes=("cases",))
 def q_quality(spark, sf):
     c = cases(spark, sf)
-    raw = F.floor((F.unix_micros(F.col("status_ts").cast("timestamp")) - F.unix_micros(F.col("submit_ts").cast("timestamp")))
-                  / F.lit(86_400_000_000)).cast("long")
-    return P.quality_report(c.select("case_id", "office", "status", raw.alias("raw_days")), "raw_days")
+    return P.quality_report(c.select("case_id", "office", "status", raw_days("submit_ts", "status_ts").alias("raw_days")),
+                            "raw_days")
 
 
 @register("profile_raw_file", """

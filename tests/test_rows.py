@@ -82,3 +82,14 @@ def test_outliers(spark):
     assert kept == [float(x) for x in range(1, 10)]
     const = spark.createDataFrame([(1.0,), (1.0,)], "x double")
     assert C.outliers_zscore(const, "x", 3.0).count() == 0     # std 0 drops every row
+
+
+def test_days_independent_of_session_zone(spark):
+    t0, t1 = dt.datetime(2024, 3, 9, 12), dt.datetime(2024, 3, 10, 11, 30)     # crosses a US DST change
+    df = spark.createDataFrame([(t0, t1)], "a timestamp_ntz, b timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert df.select(D.lead_time_days("a", "b")).first()[0] == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
