@@ -60,19 +60,36 @@ def encode_label(df: DataFrame, col: str) -> DataFrame:
     return apply_codes(df, col, label_codes(df, col), col)
 
 
+def few_levels(df: DataFrame, cols, limit: int) -> dict:
+    """{col: sorted levels} for the columns with at most ``limit`` distinct non-null values.
+
+    One HyperLogLog pass over all columns rules out the many-valued ones without a shuffle of
+    their values; one exact ``collect_set`` pass (sets bounded by twice the limit) settles the rest.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    pre = df.agg(*[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    small = [(i, c) for i, c in enumerate(cols) if pre[f"a{i}"] <= 2 * limit]
+    if not small:
+        return {}
+    sets = df.agg(*[F.collect_set(c).alias(f"s{i}") for i, c in small]).first()
+    return {c: sorted(sets[f"s{i}"]) for i, c in small if len(sets[f"s{i}"]) <= limit}
+
+
 def encode_auto(df: DataFrame, cols=None, threshold: int = 10, exclude=DATE_COLUMNS) -> tuple[DataFrame, dict]:
     """Per string column: <= threshold distinct -> one-hot, else label codes.
 
     Returns the encoded frame and the fitted encoders {col: ("onehot", levels) | ("label", codes)}.
     """
     cols = [c for c in (cols or string_columns(df)) if c not in set(exclude)]
+    few = few_levels(df, cols, threshold)
     fitted = {}
     out = df
     for c in cols:
-        lv = levels(df, c, threshold)
-        if lv is not None:
-            fitted[c] = ("onehot", lv)
-            out = encode_one_hot(out, c, lv)
+        if c in few:
+            fitted[c] = ("onehot", few[c])
+            out = encode_one_hot(out, c, few[c])
         else:
             codes = label_codes(df, c)
             fitted[c] = ("label", codes)
