@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..roles import ROLES, CaseRoles, present
-from .stats import median, one_pass, percentile, scalar
+from .stats import median, one_pass, percentile, scalar, scalars
 
 # Office statistic columns in output order.
 OFFICE_STAT_COLS = ("office_mean_days", "office_median_days", "office_std_days", "office_volume",
@@ -56,7 +56,7 @@ def office_stats_floored(stats: DataFrame, min_samples: int = 30) -> DataFrame:
     cols = ("office_mean_days", "office_median_days", "office_std_days")
     meds = one_pass(stats, {c: F.median(c) for c in cols})
     low = F.col("office_volume") < F.lit(min_samples)
-    return stats.withColumns({c: F.when(low, scalar(meds, c)).otherwise(F.col(c)) for c in cols})
+    return stats.withColumns({c: F.when(low, v).otherwise(F.col(c)) for c, v in zip(cols, scalars(meds, *cols))})
 
 
 def fiscal_year_trend(df: DataFrame, roles: CaseRoles = ROLES) -> DataFrame:

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import one_pass, percentile, scalar
+from .stats import one_pass, percentile, scalar, scalars
 
 
 def bin_index(x: Column, lo: Column, hi: Column, n: int) -> Column:
@@ -24,7 +24,7 @@ def histogram(df: DataFrame, col: str, bins: int = 60) -> DataFrame:
     """(bin, lo, hi, count) for all n bins, empty bins included with count 0."""
     x = F.col(col).cast("double")
     mm = one_pass(df, {"lo": F.min(x), "hi": F.max(x)})
-    lo, hi = scalar(mm, "lo"), scalar(mm, "hi")
+    lo, hi = scalars(mm, "lo", "hi")
     counts = (df.filter(x.isNotNull()).select(bin_index(x, lo, hi, bins).alias("bin"))
                 .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     dom = df.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin"))
@@ -51,7 +51,7 @@ def kde_curve(df: DataFrame, col: str, grid: int = 200, key: str | None = None)
     if keys:
         j = vc.join(st, keys, "inner")
     else:
-        j = vc.select("x", "w", *[scalar(st, c).alias(c) for c in ("lo", "hi", "n", "h")])
+        j = vc.select("x", "w", *[v.alias(c) for c, v in zip(("lo", "hi", "n", "h"), scalars(st, "lo", "hi", "n", "h"))])
     g = F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i")
     pts = j.select(*keys, "x", "w", "lo", "hi", "n", "h", g)
     gx = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / F.lit(float(grid - 1))
@@ -68,7 +68,7 @@ def box_stats(df: DataFrame, col: str, whisker: float = 1.5) -> DataFrame:
     x = F.col(col).cast("double")
     q = one_pass(df, {"_q": percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))})
     q = q.select(F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    q1, med, q3 = scalar(q, "q1"), scalar(q, "median"), scalar(q, "q3")
+    q1, med, q3 = scalars(q, "q1", "median", "q3")
     lo_f, hi_f = q1 - F.lit(whisker) * (q3 - q1), q3 + F.lit(whisker) * (q3 - q1)
     return df.filter(x.isNotNull()).agg(
         q1.alias("q1"), med.alias("median"), q3.alias("q3"),

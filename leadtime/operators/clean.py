@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from ..roles import ROLES, CaseRoles, present
-from .stats import median, one_pass, percentile, scalar
+from .stats import median, one_pass, percentile, scalar, scalars
 
 # Columns that leak the outcome (known only after processing) or the target.
 LEAKAGE_COLS = (
@@ -40,14 +40,16 @@ def outliers_iqr(df: DataFrame, col: str = "lead_days", k: float = 3.0, exact: b
     """Keep Q1 - k*IQR <= x <= Q3 + k*IQR; null x is dropped.  Bounds are scalar subqueries."""
     b = iqr_bounds(df, col, k, exact)
     x = F.col(col).cast("double")
-    return df.filter((x >= scalar(b, "lower")) & (x <= scalar(b, "upper")))
+    lower, upper = scalars(b, "lower", "upper")
+    return df.filter((x >= lower) & (x <= upper))
 
 
 def outliers_zscore(df: DataFrame, col: str = "lead_days", k: float = 3.0) -> DataFrame:
     """Keep |x - mean| / std_samp < k (strict); std 0 or null -> every row dropped."""
     x = F.col(col).cast("double")
     s = one_pass(df, {"m": F.avg(x), "s": F.stddev_samp(x)})
-    z = F.abs(F.try_divide(x - scalar(s, "m"), scalar(s, "s")))
+    m, sd = scalars(s, "m", "s")
+    z = F.abs(F.try_divide(x - m, sd))
     return df.filter(z < F.lit(k))
 
 

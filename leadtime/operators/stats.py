@@ -31,6 +31,14 @@ def scalar(agg_df: DataFrame, name: str) -> Column:
     return agg_df.select(name).scalar()
 
 
+def scalars(agg_df: DataFrame, *names: str) -> list[Column]:
+    """Several values of a one-row aggregate through ONE scalar subquery (a struct), so the
+    aggregate runs once however many of its values the outer query uses."""
+    names = names or tuple(agg_df.columns)
+    sub = agg_df.select(F.struct(*[F.col(n) for n in names]).alias("_s")).scalar()
+    return [sub.getField(n) for n in names]
+
+
 def median(c, exact: bool = True, accuracy: int = 10000) -> Column:
     """Interpolated median (exact) or t-digest-style approximate for very large groups."""
     c = F.col(c) if isinstance(c, str) else c
