@@ -89,3 +89,31 @@ def test_unknown_office_falls_back(spark, sf):
     out = {r.office_key: r for r in score_requests(req, **kw)[0].collect()}
     assert out["ZZZ"].office_known is False and out[known].office_known is True
     assert out["ZZZ"].office_stats.total_cases is not None
+
+
+def test_list_offices_sorted_with_fields(spark, sf):
+    from leadtime.operators import aggregates as agg
+    from leadtime.plans.score import list_offices
+    v = valid_cases(cases(spark, sf))
+    last = v.agg(F.max("office")).first()[0]
+    labels = spark.createDataFrame([(last, "AAA first")], "code string, label string")
+    rows = list_offices(agg.office_stats_floored(agg.office_stats(v), 30), "office", labels).collect()
+    assert rows and rows[0].label == "AAA first" and rows[0].code == last
+    assert [r.label for r in rows] == sorted(r.label for r in rows)
+    assert all(set(r.asDict()) == {"code", "label", "mean_days", "approval_rate_pct"} for r in rows)
+    assert all(r.label == r.code for r in rows if r.code != last)          # unknown label -> code itself
+
+
+def test_static_peak_months_and_response_fields(spark, sf):
+    from leadtime.plans.catalog_score import scoring_setup
+    from leadtime.plans.score import score_requests
+    kw = scoring_setup(spark, sf)
+    kw.update(seasonal_model=None, fy_model=None, fy_min=1995, fy_max=2002)      # the reference's serving rules
+    req = spark.createDataFrame([("X1", "2024-11-01", "1"), ("X1", "2024-06-01", "1")],
+                                "office string, submit_date string, case_number string")
+    out = {r.submit_date: r for r in score_requests(req, **kw)[0].collect()}
+    assert out["2024-11-01"].is_peak_season is True and out["2024-06-01"].is_peak_season is False
+    need = {"predicted_days", "lower_bound", "upper_bound", "predicted_months", "category", "category_color",
+            "office_key", "office_stats", "submit_date_iso", "model_name", "model_mae_days", "model_r2",
+            "is_peak_season", "features_used"}
+    assert need <= set(out["2024-11-01"].asDict())
