@@ -158,7 +158,7 @@ _TOP5_COLS = ("case_id", "office", "region", "status", "priority")
 , long AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value FROM valid" for c in _TOP5_COLS) + """)
 , cnt AS (SELECT "column", value, count(*) AS count FROM long WHERE value IS NOT NULL GROUP BY "column", value)
 , d AS (SELECT "column", count(*) AS distinct FROM cnt GROUP BY "column")
-, rk AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM cnt)
+, rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS INTEGER) AS rank FROM cnt)
 SELECT "column", value, count, rank, "distinct" FROM rk JOIN d USING ("column") WHERE rank <= 5""")
 def q_top5(spark, sf):
     return P.categorical_top5(valid(spark, sf).select(*_TOP5_COLS))

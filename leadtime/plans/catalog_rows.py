@@ -206,8 +206,8 @@ def q_peak_flag(spark, sf):
 
 @register("peak_season_static", """
 SELECT case_id, CAST(submit_month IN (10, 11, 12, 1) AS INTEGER) AS is_peak_season,
-       CASE WHEN submit_month IN (10, 11, 12, 1) THEN 1.2 ELSE 0.9 END AS seasonal_index_month,
-       CASE WHEN submit_quarter IN (1, 4) THEN 1.1 ELSE 0.95 END AS seasonal_index_quarter FROM valid""")
+       CAST(CASE WHEN submit_month IN (10, 11, 12, 1) THEN 1.2 ELSE 0.9 END AS DOUBLE) AS seasonal_index_month,
+       CAST(CASE WHEN submit_quarter IN (1, 4) THEN 1.1 ELSE 0.95 END AS DOUBLE) AS seasonal_index_quarter FROM valid""")
 def q_peak_static(spark, sf):
     return valid(spark, sf).select("case_id", *[v.alias(k) for k, v in
                                                FL.peak_season_static("submit_month", "submit_quarter").items()])

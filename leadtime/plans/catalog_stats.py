@@ -207,7 +207,7 @@ def q_metrics_office(spark, sf):
 
 @register("rank_models", PRED_SQL + f"""
 , mt AS (SELECT model, {_METRICS_BODY} FROM preds GROUP BY model)
-SELECT model, {r('mae', 'mae')}, row_number() OVER (ORDER BY mae, model) AS rank FROM mt""")
+SELECT model, {r('mae', 'mae')}, CAST(row_number() OVER (ORDER BY mae, model) AS INTEGER) AS rank FROM mt""")
 def q_rank(spark, sf):
     return W.rank_models(regression_metrics(predictions(spark, sf))).select("model", "mae", "rank")
 
