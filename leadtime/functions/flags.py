@@ -52,13 +52,24 @@ def _is_one(c: str) -> Column:
     return F.coalesce(F.col(c) == 1, F.lit(False))
 
 
-def approval_denial_flags(df: DataFrame, ia="ia", id_="id", ca="ca", cd="cd") -> DataFrame:
-    """Initial/continuing approval/denial as ints; approved = IA or CA, denied = ID or CD."""
+def _int_flag(c: str, strict: bool) -> Column:
+    v = F.col(c).cast("int")
+    if not strict:
+        return v
+    return F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null value in flag column {c}")).cast("int")).otherwise(v)
+
+
+def approval_denial_flags(df: DataFrame, ia="ia", id_="id", ca="ca", cd="cd", strict: bool = False) -> DataFrame:
+    """Initial/continuing approval/denial as ints; approved = IA or CA, denied = ID or CD.
+
+    ``strict=True`` fails the job on a null flag (an integer cast of a missing value is an
+    error in the reference); the default keeps null as null.
+    """
     return df.withColumns({
-        "is_initial_approval": F.col(ia).cast("int"),
-        "is_initial_denial": F.col(id_).cast("int"),
-        "is_continuing_approval": F.col(ca).cast("int"),
-        "is_continuing_denial": F.col(cd).cast("int"),
+        "is_initial_approval": _int_flag(ia, strict),
+        "is_initial_denial": _int_flag(id_, strict),
+        "is_continuing_approval": _int_flag(ca, strict),
+        "is_continuing_denial": _int_flag(cd, strict),
         "is_approved": (_is_one(ia) | _is_one(ca)).cast("int"),
         "is_denied": (_is_one(id_) | _is_one(cd)).cast("int"),
     })

@@ -226,3 +226,11 @@ SELECT 19 AS columns, status, count(*) AS count FROM (SELECT status FROM cases O
           ctes=("cases",))
 def q_profile_raw(spark, sf):
     return P.profile_raw_file(cases(spark, sf), "case_id", "status", 1000)
+
+
+@register("process_petitions")
+def q_process_petitions(spark, sf):
+    from .prepare import process_petitions
+    return process_petitions(holes_petitions(spark, sf).join(
+        petition_table(spark, sf).select("petition_id", "city", "naics", "fiscal_year", "ia", "id", "ca", "cd"),
+        "petition_id"))

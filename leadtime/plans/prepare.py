@@ -73,3 +73,25 @@ def process_cases(df: DataFrame, roles: CaseRoles = ROLES, **kw) -> DataFrame:
     """
     from ..session import cut_lineage
     return process_valid(cut_lineage(valid_cases(df, roles), "valid"), roles, **kw)
+
+
+def process_petitions(df: DataFrame, employer: str = "employer", state: str = "state", onehot_max: int = 10,
+                      keep=("petition_id",), strict: bool = False) -> DataFrame:
+    """Employer-petition preparation in the reference order: flags -> per-employer and per-state
+    counts (taken before any null is filled, so a null key gets a null count, which the median
+    fill then replaces) -> constant 'Unknown' for the named text columns and medians for numbers
+    -> encoding (one-hot up to 10 levels, label codes above)."""
+    from ..functions.flags import approval_denial_flags
+    from ..operators.aggregates import key_counts
+    from ..operators.encode import encode_auto
+    from ..operators.impute import impute_constant
+    from ..session import cut_lineage
+
+    out = approval_denial_flags(df, strict=strict)
+    out = key_counts(out, employer, "employer_count")
+    out = key_counts(out, state, "state_count")
+    out = cut_lineage(out, "petitions")
+    out = impute_constant(out, numeric_exclude=keep)
+    strings = [c for c, t in out.dtypes if t == "string" and c not in keep]
+    out, _ = encode_auto(out, strings, onehot_max)
+    return out

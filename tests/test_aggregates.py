@@ -83,3 +83,52 @@ def test_key_counts_null_key(spark):
     df = spark.createDataFrame([("e1",), ("e1",), (None,), ("e2",)], "employer string")
     out = sorted((r.employer or "", r.employer_count) for r in agg.key_counts(df, "employer").collect())
     assert out == [("", None), ("e1", 2), ("e1", 2), ("e2", 1)]
+
+
+def test_petition_counts_before_fill(spark):
+    from leadtime.plans.prepare import process_petitions
+    rows = [(1, "e1", "s1", 1, 0, 0, 0, 10.0), (2, "e1", "s1", 0, 1, 0, 0, None), (3, None, "s2", 0, 0, 1, 0, 30.0),
+            (4, "e2", None, 0, 0, 0, 1, 40.0)]
+    df = spark.createDataFrame(rows, "petition_id long, employer string, state string, ia int, id int, ca int, cd int, wage double")
+    out = {r.petition_id: r for r in process_petitions(df).collect()}
+    # null employer -> null count -> median of (2, 2, 1) = 2.0 after the fill
+    assert out[3].employer_count == 2.0 and out[1].employer_count == 2.0 and out[4].employer_count == 1.0
+    assert out[2].wage == 30.0 and out[1].is_approved == 1 and out[4].is_denied == 1
+
+
+def test_strict_flags_raise(spark):
+    import pytest
+    from leadtime.functions.flags import approval_denial_flags
+    df = spark.createDataFrame([(1, None, 0, 0)], "ia int, id int, ca int, cd int")
+    assert approval_denial_flags(df).first().is_initial_denial is None
+    with pytest.raises(Exception):
+        approval_denial_flags(df, strict=True).collect()
+
+
+def test_kde_by_group_and_box_by_group(spark):
+    from leadtime.operators.charts import box_stats_by_group, kde_curve
+    rows = [("a", float(x)) for x in range(10)] + [("b", float(x)) for x in (5, 5, 6, 7, 100)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    k = kde_curve(df, "x", 50, key="g")
+    assert k.groupBy("g").count().collect() and k.filter("density < 0").count() == 0
+    b = {r.g: r for r in box_stats_by_group(df, "g", "x").collect()}
+    assert b["b"].outliers == 1 and b["b"].whisker_hi == 7.0 and b["a"].outliers == 0
+
+
+def test_approximate_paths(spark):
+    df = spark.createDataFrame([("o", float(x), 1, 0, 0, 0) for x in range(1000)],
+                               "office string, lead_days double, is_issued int, is_ap int, is_refused int, is_refused_221g int")
+    ex = agg.office_stats(df).first()
+    ap = agg.office_stats(df, exact=False).first()
+    assert abs(ex.office_median_days - ap.office_median_days) <= 2.0
+
+
+def test_lookup_model_roundtrip(spark, tmp_path):
+    from leadtime.plans.features import OfficeStats, OfficeStatsModel
+    df = spark.createDataFrame([("o1", 10.0, 1, 0, 0, 0), ("o1", 20.0, 0, 1, 0, 0), ("o2", 5.0, 0, 0, 1, 0)],
+                               "office string, lead_days double, is_issued int, is_ap int, is_refused int, is_refused_221g int")
+    m = OfficeStats(min_samples=1).fit(df)
+    m.save(str(tmp_path / "m"))
+    back = OfficeStatsModel.load(spark, str(tmp_path / "m"))
+    assert sorted(back.transform(df).select("office", "office_mean_days").collect()) == \
+        sorted(m.transform(df).select("office", "office_mean_days").collect())
