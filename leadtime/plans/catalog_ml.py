@@ -147,7 +147,21 @@ def q_report(spark, sf):
     return spark.read.json(f"{path}/report")
 
 
-@register("process_cases")
+# Oracle for the sf0.01 data: no nulls to impute, 25 offices -> sorted codes, region / status /
+# priority (5 / 3 / 5 levels) -> one-hot without their first level, IQR trim with k = 3.
+_PROCESS_SQL = """
+, enc AS (SELECT * EXCLUDE (submit_ts, status_ts, office, region, status, priority),
+    dense_rank() OVER (ORDER BY office) - 1 AS office,
+    region = 'AMERICA' AS region_AMERICA, region = 'ASIA' AS region_ASIA, region = 'EUROPE' AS region_EUROPE,
+    region = 'MIDDLE EAST' AS "region_MIDDLE EAST", status = 'N' AS status_N, status = 'R' AS status_R,
+    priority = '2-HIGH' AS "priority_2-HIGH", priority = '3-MEDIUM' AS "priority_3-MEDIUM",
+    priority = '4-NOT SPECIFIED' AS "priority_4-NOT SPECIFIED", priority = '5-LOW' AS "priority_5-LOW" FROM valid)
+, b AS (SELECT quantile_cont(CAST(lead_days AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(lead_days AS DOUBLE), 0.75) AS q3
+        FROM enc)
+SELECT enc.* FROM enc, b WHERE lead_days >= q1 - 3 * (q3 - q1) AND lead_days <= q3 + 3 * (q3 - q1)"""
+
+
+@register("process_cases", _PROCESS_SQL)
 def q_process(spark, sf):
     from ..roles import cases
     from .prepare import process_cases
