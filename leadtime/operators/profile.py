@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from .stats import numeric_columns, one_pass, percentile, string_columns, to_long
+from .stats import numeric_columns, one_pass, percentile, salt_count, string_columns, to_long
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def numeric_describe(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
                         "s.max"))
 
 
-def value_counts_top_k(df: DataFrame, cols, k: int = 5, salt_buckets: int = 256) -> DataFrame:
+def value_counts_top_k(df: DataFrame, cols, k: int = 5, salt_buckets: int | None = None) -> DataFrame:
     """(column, value, count, rank) for the k most frequent values per column (ties: value asc)
     plus the per-column distinct count.
 
@@ -51,6 +51,7 @@ def value_counts_top_k(df: DataFrame, cols, k: int = 5, salt_buckets: int = 256)
     (column, hash(value) % salt_buckets) sub-groups; stage 3 ranks at most k*salt_buckets
     candidates per column.  Exact, and no task ever sorts a whole column.
     """
+    salt_buckets = salt_buckets or salt_count(df.sparkSession, 256)
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("s")) \
         .select("s.column", "s.value").filter(F.col("value").isNotNull())

@@ -96,13 +96,24 @@ def ntile_from_index(idx: Column, n: Column, k: int) -> Column:
             .otherwise(rem + F.floor((idx - big) / F.greatest(q, F.lit(1))) + F.lit(1)).cast("int")
 
 
+def salt_count(spark, floor: int = 64) -> int:
+    """Salt buckets for two-stage top-n: at least one sub-group per shuffle partition, so the
+    first-stage window work spreads over all tasks however large one group is."""
+    try:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        parts = floor
+    return max(floor, parts)
+
+
 def top_n_per_group(df: DataFrame, group_cols, order_cols, n: int, salt_col: str | None = None,
-                    salt_buckets: int = 64, rank_name: str = "rank") -> DataFrame:
+                    salt_buckets: int | None = None, rank_name: str = "rank") -> DataFrame:
     """Exact top-n rows per group without ranking a whole group inside one task.
 
     Stage 1 keeps the top n inside (group, salt) sub-groups, stage 2 ranks the at most
     n * salt_buckets survivors of each group.  ``order_cols`` must order rows uniquely.
     """
+    salt_buckets = salt_buckets or salt_count(df.sparkSession)
     group_cols = list(group_cols)
     salt = F.pmod(F.xxhash64(*(F.col(c) for c in ([salt_col] if salt_col else df.columns))), F.lit(salt_buckets))
     w1 = Window.partitionBy(*group_cols, salt).orderBy(*order_cols)
