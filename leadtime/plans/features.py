@@ -69,13 +69,26 @@ class SeasonalIndex(Estimator):
         self.roles, self.threshold = roles, threshold
 
     def _fit(self, df: DataFrame) -> SeasonalIndexModel:
+        """Month means, quarter means and the global mean in ONE aggregation (grouping sets:
+        one scan of the training rows), materialised as one table of at most 17 rows."""
         r = self.roles
+        keys = [k for k in (r.month, r.quarter) if k in df.columns]
+        if not keys:
+            return SeasonalIndexModel({}, {"month": r.month, "quarter": r.quarter, "threshold": self.threshold})
+        t = F.col(r.target).cast("double")
+        sets = [[k] for k in keys] + [[]]
+        g = df.groupingSets(sets, *keys).agg(F.avg(t).alias("_mean"), F.grouping_id().alias("_gid"))
+        g = cut_lineage(g, "seasonal")
+        full = (1 << len(keys)) - 1                       # grouping id of the global () set
+        glob = g.filter(F.col("_gid") == full).select("_mean").scalar()
         tables = {}
-        if r.month in df.columns:
-            tables["month"] = agg.seasonal_index(df, r.month, r, "seasonal_index_month")
-        if r.quarter in df.columns:
-            tables["quarter"] = agg.seasonal_index(df, r.quarter, r, "seasonal_index_quarter")
-        return SeasonalIndexModel(tables, {"month": r.month, "quarter": r.quarter, "threshold": self.threshold})
+        for i, k in enumerate(keys):
+            gid = full ^ (1 << (len(keys) - 1 - i))       # only key k grouped
+            name = "month" if k == r.month else "quarter"
+            tables[name] = (g.filter((F.col("_gid") == gid) & F.col(k).isNotNull())
+                             .select(k, (F.col("_mean") / glob).alias(f"seasonal_index_{name}")))
+        return SeasonalIndexModel(tables, {"month": r.month, "quarter": r.quarter, "threshold": self.threshold},
+                                  materialize=False)
 
 
 class OfficeStatsModel(_LookupModel):
