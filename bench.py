@@ -115,11 +115,13 @@ def main() -> None:
         t0 = time.time()
         fn()
         warm[name] = round(time.time() - t0, 3)
+    rows = {"cases": cases(spark, sf_dir).count(), "valid_cases": valid().count(),
+            "processed_cases": spark.read.parquet(processed_path).count()}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     conf = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled",
                                            "spark.driver.memory")}
     print(json.dumps({"metric": "leadtime_headline_total_warm", "value": round(sum(warm.values()), 3), "unit": "sec",
-                      "queries": warm, "cold": cold, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus,
+                      "queries": warm, "cold": cold, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus, "rows": rows,
                       "conf": conf}))
     spark.stop()
 
