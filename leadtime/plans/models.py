@@ -198,6 +198,14 @@ def cross_validate(df: DataFrame, features, key: str, specs, k: int = 5, order_k
     return summary, per_fold
 
 
+def cross_validate_top(metrics: DataFrame, df: DataFrame, features, key: str, specs, top_n: int = 3, k: int = 5,
+                       order_key: str | None = None):
+    """Cross-validate the top_n specs by hold-out rank (a metrics table from compare_models)."""
+    names = [r["model"] for r in metrics.orderBy("rank").select("model").limit(top_n).collect()]
+    chosen = [s for n in names for s in specs if s.name == n]
+    return cross_validate(df, features, key, chosen, k, order_key)
+
+
 def hash_sample(df: DataFrame, key: str, pct: int, salt: str = "sample") -> DataFrame:
     """Deterministic pct% sample without replacement (hash bucket < pct)."""
     return df.filter(hash_bucket(key, 100, salt) < F.lit(pct))
@@ -232,7 +240,9 @@ def random_search(train: DataFrame, features, key: str, spec: ModelSpec, space:
     """Randomised search with contiguous-fold CV scored by MAE; best draw refit on the whole of
     ``train``.  With ``subsample_pct`` the search runs on a hash sample and the refit on all."""
     if spec.kind in ("linear", "ridge", "lasso"):
-        raise ValueError("random search applies to tree learners only")
+        # nothing to tune: the reference skips the search and keeps the plain fit
+        empty = train.sparkSession.createDataFrame([], "draw int, params string, cv_mae double, cv_mae_std double")
+        return empty, build_estimator(spec, features, train).fit(train), {}
     space = space or (BOOST_SPACE if spec.kind == "gbt" else FOREST_SPACE)
     search_df = hash_sample(train, key, subsample_pct) if subsample_pct else train
     folded = contiguous_folds(search_df, [key], k, "fold").withColumn("fold", F.col("fold") - 1)

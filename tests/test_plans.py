@@ -117,3 +117,16 @@ def test_static_peak_months_and_response_fields(spark, sf):
             "office_key", "office_stats", "submit_date_iso", "model_name", "model_mae_days", "model_r2",
             "is_peak_season", "features_used"}
     assert need <= set(out["2024-11-01"].asDict())
+
+
+def test_cv_top_and_linear_search_skip(spark, sf):
+    from leadtime.plans.catalog_ml import training_tables
+    fm, data, tr, te, _ = training_tables(spark, sf)
+    specs = (M.ModelSpec("linear", "linear", {}, True),
+             M.ModelSpec("gbt_tiny", "gbt", {"maxIter": 3, "maxDepth": 3}),
+             M.ModelSpec("rf_tiny", "rf", {"numTrees": 3, "maxDepth": 3}))
+    met, _, _ = M.compare_models(tr, te, fm.features, "case_id", specs)
+    summary, per_fold = M.cross_validate_top(met, data, fm.features, "case_id", specs, top_n=2, k=3)
+    assert summary.count() == 2 and per_fold.count() == 6
+    res, model, best = M.random_search(tr, fm.features, "case_id", specs[0])
+    assert res.count() == 0 and best == {} and model is not None
