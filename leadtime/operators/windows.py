@@ -37,6 +37,6 @@ def contiguous_folds(df: DataFrame, order_cols, k: int = 5, name: str = "fold")
     Computed from the exact global row index (range partition + offsets), never from a
     single-partition window over all rows.
     """
-    idx = with_row_index(df, order_cols, "_idx")
-    n = df.select(F.count(F.lit(1)).alias("n")).scalar()
+    idx = with_row_index(df, order_cols, "_idx")           # reads a materialised table
+    n = idx.select(F.count(F.lit(1)).alias("n")).scalar()
     return idx.withColumn(name, ntile_from_index(F.col("_idx"), n, k)).drop("_idx")
