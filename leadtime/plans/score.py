@@ -126,3 +126,37 @@ def score_requests(requests: DataFrame, model: PipelineModel, office_stats: Data
         F.bround(F.lit(float(r2)), 4).alias("model_r2"), (F.col("is_peak_season") == 1).alias("is_peak_season"),
         F.array(*[F.lit(f) for f in features]).alias("features_used"))
     return scored, bad
+
+
+def save_scoring_bundle(path: str, model: PipelineModel, office_codes: DataFrame, office_stats: DataFrame,
+                        global_row: DataFrame, feature_models: dict, meta: dict) -> None:
+    """Everything serving needs, saved together so scoring never re-fits an encoder:
+    the PipelineModel, the office code table, office statistics and global defaults, the fitted
+    lookup models (seasonal / fiscal year) and metadata (rmse, mae, r2, model name, features)."""
+    import json
+    model.write().overwrite().save(f"{path}/model")
+    office_codes.write.mode("overwrite").parquet(f"{path}/office_codes")
+    office_stats.write.mode("overwrite").parquet(f"{path}/office_stats")
+    global_row.write.mode("overwrite").parquet(f"{path}/global_row")
+    for name, m in feature_models.items():
+        m.save(f"{path}/features/{name}")
+    spark = office_codes.sparkSession
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def load_scoring_bundle(spark, path: str) -> dict:
+    """Keyword arguments for :func:`score_requests` / ``score_stream`` from a saved bundle."""
+    import json
+    from .features import FiscalYearTrendModel, SeasonalIndexModel
+    meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
+    kw = dict(model=PipelineModel.load(f"{path}/model"), codes=spark.read.parquet(f"{path}/office_codes"),
+              office_stats=spark.read.parquet(f"{path}/office_stats"), global_row=spark.read.parquet(f"{path}/global_row"),
+              rmse=meta["rmse"], model_name=meta["model_name"], mae=meta["mae"], r2=meta["r2"],
+              features=meta["features"])
+    loaders = {"seasonal_model": SeasonalIndexModel, "fy_model": FiscalYearTrendModel}
+    for name, cls in loaders.items():
+        try:
+            kw[name] = cls.load(spark, f"{path}/features/{name}")
+        except Exception:  # noqa: BLE001 - bundle saved without that model: serve the static rule
+            kw[name] = None
+    return kw

@@ -130,3 +130,20 @@ def test_cv_top_and_linear_search_skip(spark, sf):
     assert summary.count() == 2 and per_fold.count() == 6
     res, model, best = M.random_search(tr, fm.features, "case_id", specs[0])
     assert res.count() == 0 and best == {} and model is not None
+
+
+def test_scoring_bundle_roundtrip(spark, sf, tmp_path):
+    from leadtime.plans.catalog_score import requests_from_cases, scoring_setup
+    from leadtime.plans.score import load_scoring_bundle, save_scoring_bundle, score_requests
+    kw = scoring_setup(spark, sf)
+    meta = {k: kw[k] for k in ("rmse", "model_name", "mae", "r2")}
+    meta["features"] = list(kw["features"])
+    path = str(tmp_path / "bundle")
+    save_scoring_bundle(path, kw["model"], kw["codes"], kw["office_stats"], kw["global_row"],
+                        {"seasonal_model": kw["seasonal_model"], "fy_model": kw["fy_model"]}, meta)
+    back = load_scoring_bundle(spark, path)
+    reqs = requests_from_cases(spark, sf)
+    cols = ["case_id", "predicted_days", "category", "office_key"]
+    a = sorted(tuple(r) for r in score_requests(reqs, **kw)[0].select(*cols).collect())
+    b = sorted(tuple(r) for r in score_requests(reqs, **back)[0].select(*cols).collect())
+    assert a == b
