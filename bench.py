@@ -20,8 +20,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from leadtime.session import get_session  # noqa: E402
 
 
@@ -40,7 +38,7 @@ def main() -> None:
     from leadtime.operators.charts import histogram, kde_curve
     from leadtime.plans import models as M
     from leadtime.plans.features import engineer_features
-    from leadtime.plans.metrics import regression_metrics, train_test_split
+    from leadtime.plans.metrics import train_test_split
     from leadtime.plans.prepare import process_valid, valid_cases
     from leadtime.roles import cases, petitions
 

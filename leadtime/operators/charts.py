@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import one_pass, percentile, scalar, scalars
+from .stats import one_pass, percentile, scalars
 
 
 def bin_index(x: Column, lo: Column, hi: Column, n: int) -> Column:

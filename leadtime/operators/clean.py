@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
-from ..roles import ROLES, CaseRoles, present
-from .stats import median, one_pass, percentile, scalar, scalars
+from ..roles import present
+from .stats import median, one_pass, percentile, scalars
 
 # Columns that leak the outcome (known only after processing) or the target.
 LEAKAGE_COLS = (

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from .stats import numeric_columns, one_pass, percentile, salt_count, string_columns, to_long
+from .stats import numeric_columns, percentile, salt_count, string_columns
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:

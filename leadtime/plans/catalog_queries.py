@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import aggregates as agg
 from ..roles import ROLES
 from .catalog import register, r, valid

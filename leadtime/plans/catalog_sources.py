@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.keys import hash_order
 from ..roles import cases, read_table
 from ..session import scratch_path
 from ..sources import files as S

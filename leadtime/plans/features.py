@@ -9,7 +9,6 @@ reference computes these before the split); the default fits on the training row
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession

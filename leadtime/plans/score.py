@@ -16,7 +16,7 @@ from ..functions.flags import (PEAK_MONTHS, STATIC_MONTH_INDEX, STATIC_QUARTER_I
                                speed_category)
 from ..operators.clean import split_valid, validate_requests
 from ..operators.encode import encode_apply_default
-from ..operators.joins import FALLBACK_CONSTANTS, join_fallback_global, map_lookup
+from ..operators.joins import join_fallback_global, map_lookup
 
 
 def office_profile(stats: DataFrame, key: str = "office") -> DataFrame:

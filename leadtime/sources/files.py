@@ -8,7 +8,6 @@ files with different headers binds columns by position and silently swaps values
 from __future__ import annotations
 
 import logging
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
