@@ -228,7 +228,37 @@ def q_profile_raw(spark, sf):
     return P.profile_raw_file(cases(spark, sf), "case_id", "status", 1000)
 
 
-@register("process_petitions")
+# Oracle for the sf0.01 data: counts before filling, 'Unknown' for text, medians for numbers,
+# employer (1,500 values) and city (25) -> sorted codes, state (5 + 'Unknown') and naics (5) -> one-hot.
+_PETITIONS_PROCESS_SQL = """
+, hp AS (SELECT petition_id, CASE WHEN city IN ('1', '2') THEN NULL ELSE employer END AS employer,
+                CASE WHEN naics = '5-LOW' THEN NULL ELSE state END AS state,
+                CASE WHEN ia = 1 THEN NULL ELSE wage END AS wage, city, naics, fiscal_year, ia, id, ca, cd FROM petitions)
+, f AS (SELECT *, ia AS is_initial_approval, id AS is_initial_denial, ca AS is_continuing_approval,
+               cd AS is_continuing_denial,
+               CAST(coalesce(ia = 1, false) OR coalesce(ca = 1, false) AS INTEGER) AS is_approved,
+               CAST(coalesce(id = 1, false) OR coalesce(cd = 1, false) AS INTEGER) AS is_denied,
+               CASE WHEN employer IS NOT NULL THEN count(*) OVER (PARTITION BY employer) END AS employer_count,
+               CASE WHEN state IS NOT NULL THEN count(*) OVER (PARTITION BY state) END AS state_count
+        FROM hp)
+, md AS (SELECT quantile_cont(wage, 0.5) AS mw, quantile_cont(CAST(employer_count AS DOUBLE), 0.5) AS me,
+                quantile_cont(CAST(state_count AS DOUBLE), 0.5) AS ms FROM f)
+, filled AS (SELECT f.* EXCLUDE (employer, state, wage, employer_count, state_count),
+                    coalesce(employer, 'Unknown') AS employer, coalesce(state, 'Unknown') AS state,
+                    coalesce(wage, mw) AS wage, coalesce(CAST(employer_count AS DOUBLE), me) AS employer_count,
+                    coalesce(CAST(state_count AS DOUBLE), ms) AS state_count FROM f, md)
+SELECT petition_id, fiscal_year, ia, id, ca, cd, is_initial_approval, is_initial_denial, is_continuing_approval,
+       is_continuing_denial, is_approved, is_denied, round(wage, 6) AS wage, round(employer_count, 6) AS employer_count,
+       round(state_count, 6) AS state_count,
+       dense_rank() OVER (ORDER BY employer) - 1 AS employer, dense_rank() OVER (ORDER BY city) - 1 AS city,
+       state = 'BUILDING' AS state_BUILDING, state = 'FURNITURE' AS state_FURNITURE, state = 'HOUSEHOLD' AS state_HOUSEHOLD,
+       state = 'MACHINERY' AS state_MACHINERY, state = 'Unknown' AS state_Unknown,
+       naics = '2-HIGH' AS "naics_2-HIGH", naics = '3-MEDIUM' AS "naics_3-MEDIUM",
+       naics = '4-NOT SPECIFIED' AS "naics_4-NOT SPECIFIED", naics = '5-LOW' AS "naics_5-LOW"
+FROM filled"""
+
+
+@register("process_petitions", _PETITIONS_PROCESS_SQL, ctes=("petitions",))
 def q_process_petitions(spark, sf):
     from .prepare import process_petitions
     return process_petitions(holes_petitions(spark, sf).join(
