@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_order
@@ -77,11 +77,33 @@ def scan_multi_file_union(spark: SparkSession, pattern_or_paths, tag_col: str =
     return out
 
 
-def sample_capped_per_group(df: DataFrame, group: str, n: int, key: str, seed: str = "42") -> DataFrame:
-    """At most n rows per group, chosen by md5(key || seed) order; groups with <= n rows are kept
-    whole.  Deterministic, and a group holding most rows is still ranked in many tasks."""
+def sample_capped_per_group(df: DataFrame, group: str, n: int, key: str, seed: str = "42",
+                            margin: float = 0.1) -> DataFrame:
+    """At most n rows per group, the n smallest md5(key || seed) order values; groups with <= n
+    rows are kept whole.  Deterministic and exact.
+
+    The order value is uniform on [0, 2^32), so a per-group threshold of about
+    n / count * 2^32 (plus slack) preselects ~1.1 n candidates per group: the final ranking sees
+    about n rows per group instead of the whole group.  A group whose candidates fall short of
+    min(n, count) (vanishingly rare) is ranked with the exact salted top-n instead.
+    """
+    space = float(2 ** 32)
     h = df.withColumn("_h", hash_order(key, seed))
-    return top_n_per_group(h, [group], [F.col("_h"), F.col(key)], n, salt_col=key).drop("_h", "rank")
+    counts = h.groupBy(group).agg(F.count(F.lit(1)).alias("_cnt"))            # one row per group
+    want = F.least(F.col("_cnt"), F.lit(n))
+    slack = F.lit(n * (1.0 + margin) + 10.0 * (n ** 0.5) + 10.0)
+    thr = counts.select(group, "_cnt", F.when(F.col("_cnt") <= n, F.lit(space))
+                        .otherwise(F.least(F.lit(space), F.ceil(slack / F.col("_cnt") * F.lit(space)))).alias("_t"))
+    cand = h.join(thr, group).filter(F.col("_h") < F.col("_t"))
+    got = cand.groupBy(group).agg(F.count(F.lit(1)).alias("_got"))
+    short = thr.join(got, group, "left").filter(F.coalesce(F.col("_got"), F.lit(0)) < F.least(F.col("_cnt"), F.lit(n)))
+    w = Window.partitionBy(group).orderBy("_h", key)
+    ok = (cand.join(short.select(group), group, "left_anti")
+              .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+              .drop("_h", "_cnt", "_t", "_r"))
+    fallback = top_n_per_group(h.join(short.select(group), group, "left_semi"), [group],
+                               [F.col("_h"), F.col(key)], n, salt_col=key).drop("_h", "rank")
+    return ok.unionByName(fallback.select(*ok.columns))
 
 
 def scan_random_cap(df: DataFrame, n: int, key: str, seed: str = "42") -> DataFrame:

@@ -49,3 +49,18 @@ def test_lookups_and_write(spark):
     assert S.lookup_counts(lk).first()["rows"] == 2
     out = os.path.join(tempfile.mkdtemp(prefix="lt-w-"), "t")
     assert write_table(spark.range(5).withColumn("p", F.col("id") % 2), out, partition_by="p").first()["rows"] == 5
+
+
+def test_capped_sample_exact_on_both_paths(spark):
+    from leadtime.functions.keys import hash_order
+    rows = [("hot", f"k{i}") for i in range(3000)] + [("mid", f"m{i}") for i in range(40)] + [("cold", "c0")]
+    df = spark.createDataFrame(rows, "g string, k string")
+    h = df.withColumn("_h", hash_order("k", "42")).collect()
+    want = {}
+    for g in ("hot", "mid", "cold"):
+        ks = sorted((r._h, r.k) for r in h if r.g == g)[:25]
+        want[g] = sorted(k for _, k in ks)
+    for margin in (0.1, -0.9):                      # -0.9 starves the threshold: exact fallback path
+        out = S.sample_capped_per_group(df, "g", 25, "k", margin=margin).collect()
+        got = {g: sorted(r.k for r in out if r.g == g) for g in ("hot", "mid", "cold")}
+        assert got == want
