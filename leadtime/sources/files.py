@@ -106,9 +106,17 @@ def sample_capped_per_group(df: DataFrame, group: str, n: int, key: str, seed: s
     return ok.unionByName(fallback.select(*ok.columns))
 
 
-def scan_random_cap(df: DataFrame, n: int, key: str, seed: str = "42") -> DataFrame:
-    """At most n rows of one table by md5 order (a top-n: every task keeps only n rows)."""
-    return df.withColumn("_h", hash_order(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+def scan_random_cap(df: DataFrame, n: int, key: str, seed: str = "42", large: int = 10_000) -> DataFrame:
+    """At most n rows of one table, the n smallest md5(key || seed) order values.
+
+    Small caps are an ordered limit (every task keeps n rows, one task merges them).  Above
+    ``large`` rows that merge would hold n rows per task, so the cap goes through the
+    hash-threshold preselection of :func:`sample_capped_per_group` with a single group instead.
+    """
+    if n <= large:
+        return df.withColumn("_h", hash_order(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+    g = "_cap_group"
+    return sample_capped_per_group(df.withColumn(g, F.lit(0)), g, n, key, seed).drop(g)
 
 
 def scan_head(df: DataFrame, n: int | None, order_key: str) -> DataFrame:

@@ -64,3 +64,10 @@ def test_capped_sample_exact_on_both_paths(spark):
         out = S.sample_capped_per_group(df, "g", 25, "k", margin=margin).collect()
         got = {g: sorted(r.k for r in out if r.g == g) for g in ("hot", "mid", "cold")}
         assert got == want
+
+
+def test_random_cap_large_path_equals_small_path(spark):
+    df = spark.createDataFrame([(f"k{i}",) for i in range(400)], "k string")
+    small = sorted(r.k for r in S.scan_random_cap(df, 150, "k").collect())
+    large = sorted(r.k for r in S.scan_random_cap(df, 150, "k", large=10).collect())
+    assert small == large and len(small) == 150
