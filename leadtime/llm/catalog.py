@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, secrets, simhash
+from . import bpe, decontaminate, langid, secrets, simhash, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,12 +27,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op2_decontamination")
+def op2(spark, sf_dir):
+    """Benchmark passages in every document: one row per document and item."""
+    return decontaminate.leak_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op3_language_id")
 def op3(spark, sf_dir):
     """Language of every document, learned from the documents that are not held out."""
     return langid.language_table(table(spark, sf_dir, "documents"))
 
 
+@register("op4_vector_dedup", """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER () AS r FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b, b.vec_id AS other FROM good a JOIN good b
+    ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT r AS a, r AS b FROM good UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), named AS (
+  SELECT reach.a AS r, min(good.vec_id) AS component_id FROM reach JOIN good ON good.r = reach.b GROUP BY 1
+), degree AS (SELECT a AS r, count(*) AS n FROM links GROUP BY 1), found AS (
+  SELECT vec_id, coalesce(n, 0) AS n_links, component_id FROM good JOIN named USING (r) LEFT JOIN degree USING (r)
+  UNION ALL
+  SELECT vec_id, 0, vec_id FROM embeddings
+  WHERE NOT coalesce(label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0, false)
+)
+SELECT vec_id, CAST(n_links AS BIGINT) AS n_links, component_id,
+       component_id IS NOT DISTINCT FROM vec_id AS kept FROM found
+""")
+def op4(spark, sf_dir):
+    """Links, component and representative of every vector."""
+    return vectors.vector_links(table(spark, sf_dir, "embeddings"))
+
+
 @register("op5_secret_scan")
 def op5(spark, sf_dir):
     """Secret spans of every document."""
