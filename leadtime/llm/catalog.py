@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, secrets, simhash, vectors
+from . import attribution, bpe, decontaminate, langid, secrets, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +85,16 @@ def op6(spark, sf_dir):
 def op8(spark, sf_dir):
     """Token ids of every document and their decoding, as digests."""
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_RANKS), public_tokenizers.PATTERN)
+
+
+@register("op9_warc_derivatives")
+def op9(spark, sf_dir):
+    """Metadata and conversion record of every page."""
+    return warc.derivative_table(table(spark, sf_dir, "pages"))
+
+
+@register("op10_token_counts")
+def op10(spark, sf_dir):
+    """Tokens of every line of every document, each document encoded as a whole."""
+    return attribution.line_table(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_RANKS),
+                                  public_tokenizers.PATTERN)
