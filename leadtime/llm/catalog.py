@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, bpe, decontaminate, langid, secrets, simhash, vectors, warc
+from . import attribution, bpe, decontaminate, langid, personal, secrets, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,6 +81,12 @@ def op6(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@register("op7_personal_data")
+def op7(spark, sf_dir):
+    """Personal data in every document: checked formats and what their contexts lead to."""
+    return personal.personal_digest(table(spark, sf_dir, "documents"))
+
+
 @register("op8_byte_bpe")
 def op8(spark, sf_dir):
     """Token ids of every document and their decoding, as digests."""
