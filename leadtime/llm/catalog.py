@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, bpe, decontaminate, langid, personal, secrets, simhash, vectors, warc
+from . import attribution, bpe, decontaminate, langid, licenses, personal, secrets, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op1_license_scan", licenses.oracle_sql())
+def op1(spark, sf_dir):
+    """Own or inherited licence of every document, documents laid out as files."""
+    return licenses.license_table(table(spark, sf_dir, "documents"))
+
+
 @register("op2_decontamination")
 def op2(spark, sf_dir):
     """Benchmark passages in every document: one row per document and item."""
@@ -43,8 +49,8 @@ def op3(spark, sf_dir):
 WITH RECURSIVE good AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER () AS r FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.r AS a, b.r AS b, b.vec_id AS other FROM good a JOIN good b
     ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r
@@ -58,8 +64,8 @@ WITH RECURSIVE good AS (
   UNION ALL
   SELECT vec_id, 0, vec_id FROM embeddings
   WHERE NOT coalesce(label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0, false)
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false)
 )
 SELECT vec_id, CAST(n_links AS BIGINT) AS n_links, component_id,
        component_id IS NOT DISTINCT FROM vec_id AS kept FROM found
