@@ -244,7 +244,9 @@ def simhash_components(rows: DataFrame, fingerprint: str = "fingerprint", doc_id
     found = components(trie_links(entries.select("x"), bits))
     lowest = (found.join(entries, found["node"] == entries["x"]).groupBy("root").agg(F.min("low").alias("component_id")))
     named = found.join(lowest, "root").select(F.col("node").alias("x"), "component_id")
-    of = entries.join(named, "x", "left").select("x", F.coalesce("component_id", "low").alias("component_id"))
+    # Written, so that the last join reads two plain tables and a frequent fingerprint can be split.
+    of = cut_lineage(entries.join(named, "x", "left").select("x", F.coalesce("component_id", "low").alias("component_id")),
+                     "groups")
     return rows.join(of, rows[fingerprint] == of["x"], "left").drop("x")
 
 
