@@ -36,10 +36,10 @@ INSTANCE = 0.8
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+IP = r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+CANDIDATE = r"\s[^\s0-9@]*+[0-9@]\S*+"  # of a text with a space set before it
 KINDS = ("email", "ip", "card", "phone")
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
@@ -105,13 +105,13 @@ def seed_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
 
 def candidates(docs: DataFrame, text: str, seeds: str, out: str) -> DataFrame:
     """``docs`` with ``out``: candidate words (start, end, value, known, patterns)."""
-    t = F.col(f"`{text}`")
+    t = F.concat(F.lit(" "), F.col(f"`{text}`"))
     found, parts = f"{out}: matches", f"{out}: pieces"
-    df = docs.withColumn(found, F.when(t.isNotNull(), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)))
+    df = docs.withColumn(found, F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)))
                          .otherwise(F.array().cast("array<string>")))
     df = df.withColumn(parts, _pieces(t, CANDIDATE, F.col(f"`{found}`")))
     m, p = F.col(f"`{found}`"), F.col(f"`{parts}`")
-    placed = _placed(m, p, lambda s, e, v: F.struct(s.alias("start"), e.alias("end"), v.alias("match")))
+    placed = _placed(m, p, lambda s, e, v: F.struct((s - 1).alias("start"), (e - 1).alias("end"), v.alias("match")))
     # Contexts: the last two words of the piece before, the first of the piece after.  Digits read 0.
     near = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
     tail = lambda c: near(F.regexp_extract(F.right(c, F.lit(80)), r"((?:\S+\s+)?\S+)\s*$", 1))
@@ -121,7 +121,7 @@ def candidates(docs: DataFrame, text: str, seeds: str, out: str) -> DataFrame:
         x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"),
         F.get(context, i)["before"].alias("before"), F.get(context, i + 1)["after"].alias("after")))
     # Punctuation around a word is not part of it.
-    lead = lambda x: F.length(F.regexp_extract(x["match"], r"^[\"'(\[<{,;:=]*", 0))
+    lead = lambda x: F.length(F.regexp_extract(x["match"], r"^[\s\"'(\[<{,;:=]*", 0))
     trail = lambda x: F.length(F.regexp_extract(x["match"], r"[\"')\]>},;:.!?]*$", 0))
 
     def trimmed(x):
@@ -162,36 +162,39 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS, support: int = SUPPO
     return patterns, values
 
 
-def find_personal(docs: DataFrame, text: str = "text", out: str = "personal", rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with ``out``: spans (start, rank, end, kind) by start, then kind; kind ``context`` is discovered.
+def find_personal(docs: DataFrame, text: str = "text", out: str = "personal", rounds: int = ROUNDS,
+                  keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (by default all but the text) with ``out``: spans (start, rank, end, kind) by
+    start, then kind; kind ``context`` is discovered.
 
-    Reads ``docs`` twice (the scan is cheaper than a stored copy of the texts).
+    Texts are scanned once; what is found in them, and ``keep``, is written to the shared folder.
     """
-    seeds, cands, key = f"{out}: seeds", f"{out}: candidates", f"{out}: key"
-    t = F.col(f"`{text}`")
-    scanned = seed_spans(docs, text, seeds)
+    kept = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c != out]
+    src = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("text"))
     # Rows are told apart by their text alone: equal texts have equal spans.
-    keyed = candidates(scanned, text, seeds, cands).withColumn(key, F.struct(
-        F.xxhash64(t).alias("a"), F.xxhash64(F.lit(29), t).alias("b"), F.length(t).alias("n")))
-    small = keyed.where(F.size(F.col(f"`{cands}`")) > 0).select(F.col(f"`{key}`").alias("k"), F.explode(F.col(f"`{cands}`")).alias("c"))
-    occurrences = cut_lineage(small.select("k", "c.*"), "candidates")
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(29), "text").alias("b"), F.length("text").alias("n"))
+    scanned = cut_lineage(candidates(seed_spans(src, "text", "seeds"), "text", "seeds", "cands")
+                          .select(*[f"k{i}" for i in range(len(kept))], key.alias("key"), "seeds", "cands"), "personal-scan")
+    occurrences = (scanned.where(F.size("cands") > 0).groupBy("key").agg(F.first("cands").alias("cands"))
+                   .select("key", F.explode("cands").alias("c")).select("key", "c.*"))
+    occurrences = cut_lineage(occurrences, "candidates")
     patterns, values = bootstrap(occurrences.select("value", "known", F.explode("patterns").alias("pattern")), rounds)
     sure = values.where(~F.col("known") & (F.col("score") >= INSTANCE)).select("value")
     strong = patterns.where(F.col("confidence") >= PATTERN).select("pattern")
-    hits = (occurrences.where(~F.col("known")).select("k", "start", "end", "value", F.explode("patterns").alias("pattern"))
-            .join(strong, "pattern").join(sure, "value").select("k", "start", "end").distinct())
-    found = (hits.groupBy("k").agg(F.collect_set(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"),
-                                                          F.lit("context").alias("kind"))).alias("new")))
-    joined = keyed.drop(cands).join(found, keyed[key] == found["k"], "left")
+    hits = (occurrences.where(~F.col("known")).select("key", "start", "end", "value", F.explode("patterns").alias("pattern"))
+            .join(strong, "pattern").join(sure, "value").select("key", "start", "end").distinct())
+    span = F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.lit("context").alias("kind"))
+    found = cut_lineage(hits.groupBy("key").agg(F.collect_set(span).alias("new")), "personal-contexts")  # one text's spans
+    joined = scanned.drop("cands").join(found, "key", "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    spans = F.array_sort(F.concat(F.col(f"`{seeds}`"), F.coalesce("new", none)))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], spans.alias(out))
+    spans = F.array_sort(F.concat("seeds", F.coalesce("new", none)))
+    return joined.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], spans.alias(out))
 
 
 def personal_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: counts of the seed kinds, a digest of the seed spans and all spans as text."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = find_personal(src)
+    found = find_personal(src, keep=["doc_id"])
     as_text = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     seeds = F.filter("personal", lambda x: x["kind"] != "context")
     count = lambda k: F.size(F.filter("personal", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
