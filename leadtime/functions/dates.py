@@ -12,12 +12,17 @@ from ..roles import ROLES, CaseRoles, present
 DAY_MICROS = 86_400_000_000
 
 # Formats tried in order when parsing date strings; the first that parses wins.
+# One letter takes one or two digits; brackets are optional parts (fraction, zone).
 DEFAULT_TS_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "MM/dd/yyyy",
-    "dd-MMM-yy",
+    "yyyy-M-d H:m:s[.SSSSSSSSS][ ][XXX]",
+    "yyyy-M-d'T'H:m:s[.SSSSSSSSS][XXX]",
+    "yyyy-M-d H:m",
+    "yyyy-M-d'T'H:m[XXX]",
+    "yyyy-M-d",
+    "M/d/yyyy H:m:s",
+    "M/d/yyyy",
+    "d-MMM-yy",
+    "d-MMM-yyyy",
 )
 
 # Period of each calendar part for the sin/cos encoding.
@@ -29,11 +34,23 @@ def _col(c) -> Column:
 
 
 def parse_dates_coerce(c, formats=DEFAULT_TS_FORMATS) -> Column:
-    """String -> timestamp_ntz; a value no format parses becomes null (never raises)."""
-    c = _col(c)
+    """String -> timestamp_ntz; a value no format parses becomes null (never raises).
+
+    A value with a zone is read as that moment's wall clock in the session zone.
+    """
+    c = F.trim(_col(c))
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
 
+def unparsed_dates(df: DataFrame, cols, formats=DEFAULT_TS_FORMATS) -> DataFrame:
+    """(column, values, unparsed): how many non-null values no format parses, in one pass.  Rows with such
+    a value have no duration and leave with ``drop_missing_target``."""
+    counts = F.array(*[F.struct(F.lit(c).alias("column"), F.count(F.col(c)).alias("values"),
+                                F.count_if(F.col(c).isNotNull() & parse_dates_coerce(c, formats).isNull()).alias("unparsed"))
+                       for c in cols])
+    return df.agg(counts.alias("a")).select(F.explode("a").alias("s")).select("s.*")
+
+
 def duration_micros(start, end) -> Column:
     """Microseconds from start to end.  For wall-clock (timestamp_ntz) values the difference
     does not depend on the session time zone (no DST hour appears or disappears)."""

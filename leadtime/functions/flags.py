@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import BooleanType
+
 from ..roles import ROLES, CaseRoles
 
 # Weight of each outcome flag in the complexity score.
@@ -27,8 +29,8 @@ def _col(c) -> Column:
 
 
 def binary_flags(df: DataFrame, roles: CaseRoles = ROLES) -> DataFrame:
-    """For each raw flag present: null -> 0, cast to int (truncating, as astype(int))."""
-    cols = {new: F.coalesce(F.col(raw).cast("double"), F.lit(0.0)).cast("int")
+    """For each raw flag present: null or NaN -> 0, cast to int (truncating, as astype(int))."""
+    cols = {new: F.coalesce(F.nanvl(F.col(raw).cast("double"), F.lit(0.0)), F.lit(0.0)).cast("int")
             for raw, new in roles.flags.items() if raw in df.columns}
     return df.withColumns(cols) if cols else df
 
@@ -75,13 +77,15 @@ def approval_denial_flags(df: DataFrame, ia="ia", id_="id", ca="ca", cd="cd", st
     })
 
 
-def decode_onehot(df: DataFrame, prefix: str, baseline: str | None = None) -> Column:
-    """Level name from k-1 one-hot bool columns ``prefix_<level>``.
+def decode_onehot(df: DataFrame, prefix: str, baseline: str | None = None, levels: list | None = None) -> Column:
+    """Level name from k-1 one-hot bool columns ``prefix_<level>``: those of ``levels``, by default all
+    boolean columns with the prefix (a timestamp ``status_ts`` is no level of ``status``).
 
     ``baseline=None`` reproduces arg-max decoding: a row of the dropped level (all false)
     reads as the first remaining level.  Pass the dropped level's name to decode it properly.
     """
-    cols = [c for c in df.columns if c.startswith(prefix + "_")]
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, BooleanType) and f.name.startswith(prefix + "_")
+            and (levels is None or f.name[len(prefix) + 1:] in levels)]
     if not cols:
         return F.lit(baseline)
     levels = [c[len(prefix) + 1:] for c in cols]

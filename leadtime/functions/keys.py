@@ -13,9 +13,10 @@ def _col(c) -> Column:
 def hash_bucket(key, buckets: int = 100, salt: str = "") -> Column:
     """Stable bucket 0..buckets-1 from the first 32 bits of md5(key || salt).
 
-    Same value in DuckDB: ('0x' || substr(md5(key || salt), 1, 8))::BIGINT % buckets.
+    Same value in DuckDB: ('0x' || substr(md5(key || salt), 1, 8))::BIGINT % buckets.  A null key
+    hashes as the empty string.
     """
-    k = _col(key).cast("string")
+    k = F.coalesce(_col(key).cast("string"), F.lit(""))
     if salt:
         k = F.concat(k, F.lit(salt))
     h = F.conv(F.substring(F.md5(k), 1, 8), 16, 10).cast("long")
@@ -23,8 +24,9 @@ def hash_bucket(key, buckets: int = 100, salt: str = "") -> Column:
 
 
 def hash_order(key, salt: str = "") -> Column:
-    """Stable pseudo-random order value (32-bit md5 prefix) for hash-ordered samples."""
-    k = _col(key).cast("string")
+    """Stable pseudo-random order value (32-bit md5 prefix) for hash-ordered samples.  A null key
+    hashes as the empty string, so it takes part like any other."""
+    k = F.coalesce(_col(key).cast("string"), F.lit(""))
     if salt:
         k = F.concat(k, F.lit(salt))
     return F.conv(F.substring(F.md5(k), 1, 8), 16, 10).cast("long")

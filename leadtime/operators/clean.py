@@ -15,7 +15,10 @@ LEAKAGE_COLS = (
     "issued", "ap", "ready", "refused", "refused_221g", "in_transit", "transfer", "nvc", "potential_ap",
     "is_issued", "is_refused", "is_ap", "is_ready", "is_refused_221g",
     "deviation_from_office", "fiscal_year_mean_days", "complexity_score",
+    "status",
 )
+# Prefixes of one-hot columns of an outcome, which leak as the outcome does.
+LEAKAGE_PREFIXES = ("status_",)
 
 
 def lead_time_summary(df: DataFrame, target: str = "lead_days", exact: bool = True) -> DataFrame:
@@ -62,8 +65,10 @@ def outlier_report(before: DataFrame, after: DataFrame) -> DataFrame:
         F.try_divide((n0 - n1) * F.lit(100.0), n0).alias("removed_pct"))
 
 
-def drop_columns_present(df: DataFrame, names=LEAKAGE_COLS) -> DataFrame:
-    return df.drop(*present(df, names))
+def drop_columns_present(df: DataFrame, names=LEAKAGE_COLS, prefixes=LEAKAGE_PREFIXES) -> DataFrame:
+    """Without the named columns and the boolean (one-hot) columns that begin with one of ``prefixes``."""
+    hot = [f.name for f in df.schema.fields if isinstance(f.dataType, BooleanType) and f.name.startswith(tuple(prefixes))]
+    return df.drop(*present(df, names), *hot)
 
 
 def select_numeric(df: DataFrame, keep=()) -> DataFrame:
@@ -85,8 +90,8 @@ DEFAULT_CASE_NUMBER = 1000
 
 def validate_requests(df: DataFrame, office: str = "office", submit_date: str = "submit_date",
                       case_number: str = "case_number") -> DataFrame:
-    """Adds ``office_code`` (trimmed, upper), ``submit_dt`` (date), ``case_no`` (long, null -> 1000)
-    and ``errors`` (map field -> message, empty when the request is valid).
+    """Adds ``office_code`` (trimmed, upper), ``submit_dt`` (date), ``case_no`` (whole number of up to 38
+    digits, null -> 1000) and ``errors`` (map field -> message, empty when the request is valid).
 
     A string case number must be an integer literal ('3.7' and 'abc' are errors); a numeric one
     is truncated toward zero.
@@ -97,10 +102,10 @@ def validate_requests(df: DataFrame, office: str = "office", submit_date: str =
     n_field = dict(df.dtypes).get(case_number, "string")
     if n_field == "string":
         n_txt = F.trim(F.col(case_number))
-        n_int = F.when(F.col(case_number).isNull(), F.lit(DEFAULT_CASE_NUMBER).cast("long")) \
-                 .when(n_txt.rlike(r"^[+-]?[0-9]{1,18}$"), n_txt.cast("long"))
+        n_int = F.when(F.col(case_number).isNull(), F.lit(DEFAULT_CASE_NUMBER).cast("decimal(38,0)")) \
+                 .when(n_txt.rlike(r"^[+-]?0*[0-9]{1,38}$"), n_txt.try_cast("decimal(38,0)"))
     else:
-        n_int = F.coalesce(F.col(case_number).cast("long"), F.lit(DEFAULT_CASE_NUMBER).cast("long"))
+        n_int = F.coalesce(F.col(case_number).try_cast("long"), F.lit(DEFAULT_CASE_NUMBER)).cast("decimal(38,0)")
     keys = F.array(F.lit("office"), F.lit("submit_date"), F.lit("case_number"))
     vals = F.array(
         F.when(code == "", F.lit(ERR_REQUIRED)),

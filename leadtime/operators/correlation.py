@@ -77,10 +77,10 @@ def top_features(df: DataFrame, target: str, n: int, include_target: bool = Fals
     return [r["feature"] for r in rows]
 
 
-def corr_matrix(df: DataFrame, target: str = "lead_days", max_cols: int = 25) -> DataFrame:
-    """Lower triangle (i > j) of the correlation matrix of the max_cols columns most correlated
-    with the target, after dropping zero-variance columns.  Long form (row, col, corr)."""
-    cols = top_features(df, target, max_cols, include_target=True)
+def corr_matrix(df: DataFrame, target: str = "lead_days", max_cols: int | None = None) -> DataFrame:
+    """Lower triangle (i > j) of the correlation matrix of all numeric columns, or of the max_cols most
+    correlated with the target, after dropping zero-variance columns.  Long form (row, col, corr)."""
+    cols = top_features(df, target, max_cols or len(df.columns), include_target=True)
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i)]
     if not pairs:
         return df.sparkSession.createDataFrame([], "row string, col string, corr double")
@@ -98,20 +98,24 @@ def hash_sample(df: DataFrame, key: str, n: int, salt: str = "42") -> DataFrame:
     return df.withColumn("_h", hash_order(key, salt)).orderBy("_h", key).limit(n).drop("_h")
 
 
-def scatter_fit_top_features(df: DataFrame, key: str, target: str = "lead_days", top_n: int = 6,
-                             sample_n: int = 3000) -> DataFrame:
-    """Per top feature: OLS slope/intercept of target on feature and x-range over a hash sample."""
+def scatter_fit_top_features(df: DataFrame, target: str = "lead_days", top_n: int = 6) -> DataFrame:
+    """Per top feature: OLS slope/intercept of target on feature, x-range and rows, over all rows with
+    both values, all features in one aggregate.  ``scatter_points`` gives a drawing sample."""
     feats = top_features(df, target, top_n)
-    out = None
+    y = F.col(target).cast("double")
+    fits = []
     for f in feats:
-        s = hash_sample(df.filter(F.col(f).isNotNull() & F.col(target).isNotNull()).select(key, f, target),
-                        key, sample_n)
-        y, x = F.col(target).cast("double"), F.col(f).cast("double")
-        part = s.agg(F.lit(f).alias("feature"), F.regr_slope(y, x).alias("slope"),
-                     F.regr_intercept(y, x).alias("intercept"), F.min(x).alias("x_min"), F.max(x).alias("x_max"),
-                     F.count(F.lit(1)).alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        x = F.when(y.isNotNull(), F.col(f).cast("double"))
+        fits.append(F.struct(F.lit(f).alias("feature"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
+                             F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.count(x).alias("n")))
+    if not fits:
+        return df.sparkSession.createDataFrame([], "feature string, slope double, intercept double, x_min double, x_max double, n long")
+    return df.agg(F.array(*fits).alias("a")).select(F.explode("a").alias("s")).select("s.*")
+
+
+def scatter_points(df: DataFrame, key: str, feature: str, target: str = "lead_days", sample_n: int = 3000) -> DataFrame:
+    """Points to draw: a hash sample of the rows with both values."""
+    return hash_sample(df.filter(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(key, feature, target), key, sample_n)
 
 
 def scatter_matrix_sample(df: DataFrame, key: str, target: str = "lead_days", top_n: int = 4,

@@ -25,10 +25,15 @@ def levels(df: DataFrame, col: str, limit: int) -> list | None:
     return sorted(r[0] for r in vals)
 
 
-def encode_one_hot(df: DataFrame, col: str, lvls: list | None = None, drop_first: bool = True) -> DataFrame:
+def encode_one_hot(df: DataFrame, col: str, lvls: list | None = None, drop_first: bool = True,
+                   max_levels: int = 10_000) -> DataFrame:
     """k-1 boolean columns ``col_<level>`` (alphabetically first level dropped); source dropped.
-    A null value is false in every column."""
-    lvls = lvls if lvls is not None else levels(df, col, 10_000)
+    A null value is false in every column.  More than ``max_levels`` levels raise ValueError: as many
+    columns are no table; use ``encode_label``."""
+    if lvls is None:
+        lvls = levels(df, col, max_levels)
+        if lvls is None:
+            raise ValueError(f"column {col!r} has more than {max_levels} levels; use encode_label")
     keep = lvls[1:] if drop_first else lvls
     new = {f"{col}_{v}": F.coalesce(F.col(col) == F.lit(v), F.lit(False)) for v in keep}
     return df.withColumns(new).drop(col) if new else df.drop(col)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stats import numeric_columns, percentile, string_columns
+from .stats import nan_to_null, numeric_columns, percentile, string_columns
 
 UNKNOWN = "Unknown"
 
@@ -24,7 +24,8 @@ def null_counts(df: DataFrame, cols=None) -> dict:
 
 
 def impute_report(df: DataFrame) -> DataFrame:
-    """Total null cells (one pass)."""
+    """Total cells that are null or NaN (one pass)."""
+    df = nan_to_null(df)
     expr = F.lit(0).cast("long")
     for c in df.columns:
         expr = expr + F.count_if(F.col(c).isNull())
@@ -62,7 +63,8 @@ def impute_categorical(df: DataFrame, cols=None, threshold: int = 50) -> DataFra
 
 
 def numeric_fill_values(df: DataFrame, cols=None, exclude=(), exact: bool = True) -> dict:
-    """Median (linear interpolation) of each numeric column that has nulls."""
+    """Median (linear interpolation) of each numeric column that has nulls; NaN is null."""
+    df = nan_to_null(df)
     cols = [c for c in (cols or numeric_columns(df, exclude)) if c not in set(exclude)]
     nulls = null_counts(df, cols)
     need = [c for c in cols if nulls.get(c, 0) > 0]
@@ -74,7 +76,8 @@ def numeric_fill_values(df: DataFrame, cols=None, exclude=(), exact: bool = True
 
 def impute_numeric_median(df: DataFrame, cols=None, exclude=("lead_days",), exact: bool = True) -> DataFrame:
     """Fill nulls with the column median; filled columns become double (a fractional median
-    must not be truncated)."""
+    must not be truncated); NaN is null."""
+    df = nan_to_null(df)
     fills = numeric_fill_values(df, cols, exclude, exact)
     if not fills:
         return df

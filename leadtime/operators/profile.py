@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from .stats import numeric_columns, percentile, salt_count, string_columns
+from .stats import nan_to_null, numeric_columns, percentile, salt_count, string_columns
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
-    """Null count and percent per column, only columns with nulls, sorted by count desc."""
+    """Count and percent of missing values (null or NaN) per column, only columns with some, by count desc."""
     cols = df.columns
+    df = nan_to_null(df)
     wide = df.agg(F.count(F.lit(1)).alias("_rows"),
                   *[F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(cols)])
     long = wide.select("_rows", F.explode(F.array(*[
@@ -27,8 +28,9 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 
 
 def numeric_describe(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
-    """count, mean, std, min, 25%, 50%, 75%, max per numeric column (one pass, one row each)."""
+    """count, mean, std, min, 25%, 50%, 75%, max per numeric column (one pass, one row each); NaN is missing."""
     cols = cols or numeric_columns(df)
+    df = nan_to_null(df)
     structs = []
     for c in cols:
         x = F.col(c).cast("double")
@@ -65,7 +67,8 @@ def value_counts_top_k(df: DataFrame, cols, k: int = 5, salt_buckets: int | None
     return top.join(distinct, "column")
 
 
-def categorical_top5(df: DataFrame, max_cols: int = 10, k: int = 5) -> DataFrame:
+def categorical_top5(df: DataFrame, max_cols: int | None = None, k: int = 5) -> DataFrame:
+    """The k most frequent values of every string column, or of the first ``max_cols``."""
     cols = string_columns(df)[:max_cols]
     return value_counts_top_k(df, cols, k)
 
@@ -103,22 +106,16 @@ def quality_constant_columns(df: DataFrame) -> DataFrame:
 
 
 def quality_high_cardinality(df: DataFrame, ratio: float = 0.9) -> DataFrame:
-    """String columns whose distinct count exceeds ratio * rows.  HLL pre-filter at a lower
-    ratio, exact distinct counts only for the candidates."""
+    """String columns whose distinct count exceeds ratio * rows.  Exact counts decide, all columns
+    in one pass (values counted with map-side combining)."""
     cols = string_columns(df)
+    empty = df.sparkSession.createDataFrame([], "column string, distinct long, rows long")
     if not cols:
-        return df.sparkSession.createDataFrame([], "column string, distinct long, rows long")
-    pre = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(cols)]).first()
-    cand = [c for i, c in enumerate(cols) if pre[f"a{i}"] > 0.8 * ratio * pre["_rows"]]
-    if not cand:
-        return df.sparkSession.createDataFrame([], "column string, distinct long, rows long")
-    parts = [df.agg(F.lit(c).alias("column"), F.count_distinct(c).alias("distinct"), F.count(F.lit(1)).alias("rows"))
-             for c in cand]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter(F.col("distinct") > F.lit(ratio) * F.col("rows"))
+        return empty
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in cols])).alias("s")) \
+               .groupBy("s.column", "s.value").agg(F.count(F.lit(1)).alias("n"))
+    counts = values.groupBy("column").agg(F.count("value").alias("distinct"), F.sum("n").alias("rows"))
+    return counts.filter(F.col("distinct") > F.lit(ratio) * F.col("rows"))
 
 
 def quality_negative_target(df: DataFrame, target: str = "lead_days") -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, BooleanType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, FloatType, NumericType, StringType
 
 from ..session import cut_lineage
 
@@ -65,6 +65,12 @@ def string_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name not in ex]
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN of float and double columns becomes null: missing is null everywhere in this library."""
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, (FloatType, DoubleType))]
+    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in cols}) if cols else df
+
+
 def with_row_index(df: DataFrame, order_cols, name: str = "row_idx", checkpoint: bool = True) -> DataFrame:
     """Global 0-based row position by ``order_cols`` (which must identify rows uniquely).
 

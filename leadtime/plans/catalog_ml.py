@@ -24,7 +24,7 @@ def training_tables(spark, sf):
     v = valid(spark, sf)
     tr_v, _ = train_test_split(v, "case_id")
     eng, fmodels = engineer_features(v, fit_on=tr_v, min_samples=500)
-    fm = M.feature_matrix(eng, "case_id", features=M.FEATURES)
+    fm = M.feature_matrix(eng, "case_id", features=M.FEATURES, fit_rows=lambda x: train_test_split(x, "case_id")[0])
     data = cut_lineage(fm.data)
     tr, te = train_test_split(data, "case_id")
     return fm, data, tr, te, fmodels

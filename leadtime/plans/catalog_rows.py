@@ -135,7 +135,7 @@ def q_outlier_report(spark, sf):
 @register("drop_columns_present", """
 SELECT case_no, submit_ts, status_ts, office, office_id, region, status, employer, quantity, amount, discount,
        order_total, priority, lead_days, submit_year, submit_month, submit_quarter, submit_day_of_week,
-       submit_day_of_year, fiscal_year, case_number FROM valid""")
+       submit_day_of_year, fiscal_year, case_number FROM valid""".replace(" status,", ""))
 def q_drop_columns(spark, sf):
     return C.drop_columns_present(valid(spark, sf))
 
@@ -326,7 +326,7 @@ def q_validate(spark, sf):
          .when((F.col("status") == "N") & (F.col("ready") == 1), F.lit("3.7"))
          .otherwise(F.col("case_no").cast("string")).alias("num_in"))
     v = C.validate_requests(req, "office_in", "date_in", "num_in")
-    return v.select("case_id", "office_code", "submit_dt", "case_no",
+    return v.select("case_id", "office_code", "submit_dt", F.col("case_no").cast("long").alias("case_no"),
                     F.col("errors")["office"].alias("err_office"), F.col("errors")["submit_date"].alias("err_submit_date"),
                     F.col("errors")["case_number"].alias("err_case_number"))
 

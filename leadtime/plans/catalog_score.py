@@ -9,13 +9,12 @@ from ..operators.joins import join_back
 from ..session import scratch_path
 from . import models as M
 from .catalog import register, valid
-from .metrics import regression_metrics
+from .metrics import regression_metrics, train_test_split
 
 
 def requests_from_cases(spark, sf):
     """One request per test case: office code in lower case with spaces, ISO submit date,
     case number as text; the rule-based variants make some requests invalid."""
-    from .metrics import train_test_split
     v = valid(spark, sf)
     _, te = train_test_split(v, "case_id")
     return te.select(
@@ -36,11 +35,12 @@ def scoring_setup(spark, sf):
     seasonal, office_m, fy_m = fmodels
     stats = office_m.tables["office"]
     v = valid(spark, sf)
-    eng_train = join_back(v, stats, "office", "inner")
+    tr_v, _ = train_test_split(v, "case_id")
+    eng_train = join_back(tr_v, stats, "office", "inner")
     glob = agg.global_office_defaults(eng_train)
     return dict(model=model, office_stats=stats, global_row=glob, codes=fm.office_codes, rmse=met["rmse"],
                 model_name=spec.name, mae=met["mae"], r2=met["r2"], features=fm.features,
-                seasonal_model=seasonal, fy_model=fy_m)
+                seasonal_model=seasonal, fy_model=fy_m, fills=fm.fills)
 
 
 @register("score_cases")
@@ -49,25 +49,19 @@ def q_score_cases(spark, sf):
     kw = scoring_setup(spark, sf)
     scored, _ = score_requests(requests_from_cases(spark, sf), **kw)
     return scored.select("case_id", "office_key", "predicted_days", "lower_bound", "upper_bound", "predicted_months",
-                         "category", "category_color", "office_known", "office_stats", "submit_date_iso",
+                         "category", "category_color", "office_label", "office_known", "office_stats", "submit_date_iso",
                          "model_name", "model_mae_days", "model_r2", "is_peak_season")
 
 
 @register("score_stream")
 def q_score_stream(spark, sf):
     from ..streaming import read_scored, score_stream
-    name = sf.rstrip("/").split("/")[-1]
-    src = scratch_path(spark, f"stream-in-{name}")
-    out = scratch_path(spark, f"stream-out-{name}")
-    ckpt = scratch_path(spark, f"stream-ckpt-{name}")
+    src, out, ckpt = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
     reqs = requests_from_cases(spark, sf)
     # requests arrive as several files; the stream picks them up two files per micro-batch
     reqs.repartition(4, "case_id").write.mode("overwrite").parquet(src)
-    # a re-run of the check starts from a fresh checkpoint and sink
-    import uuid
-    tag = uuid.uuid4().hex[:8]
-    q = score_stream(spark, src, reqs.schema, f"{out}/{tag}", f"{ckpt}/{tag}", available_now=True,
+    q = score_stream(spark, src, reqs.schema, out, ckpt, available_now=True,
                      max_files_per_trigger=2, **scoring_setup(spark, sf))
     q.awaitTermination()
-    return read_scored(spark, f"{out}/{tag}").select(
+    return read_scored(spark, out).select(
         "case_id", "office_key", "predicted_days", "lower_bound", "upper_bound", "category", "office_known")

@@ -20,7 +20,7 @@ from .catalog_stats import _hash_sql
 def yearly_files(spark, sf) -> str:
     """One CSV folder per fiscal year named FY<year>-cases.csv; odd years use another column
     order and an extra column and lack ``region`` (ragged headers)."""
-    root = scratch_path(spark, f"yearly-{sf.rstrip("/").split("/")[-1]}")
+    root = scratch_path(spark, "yearly")
     v = valid(spark, sf).select("case_id", "office", "region", "status", "fiscal_year")
     years = [r[0] for r in v.select("fiscal_year").distinct().collect()]   # a handful of values
     for y in years:
@@ -65,7 +65,7 @@ def q_head(spark, sf):
 SELECT 'nation.csv' AS lookup, count(*) AS rows FROM nation UNION ALL SELECT 'region.csv', count(*) FROM region
 UNION ALL SELECT 'supplier.csv', count(*) FROM supplier""", ctes=())
 def q_lookups(spark, sf):
-    root = scratch_path(spark, f"lookups-{sf.rstrip("/").split("/")[-1]}")
+    root = scratch_path(spark, "lookups")
     for t in ("nation", "region", "supplier"):
         read_table(spark, sf, t).write.mode("overwrite").option("header", True).csv(f"{root}/{t}.csv")
     lk = S.load_lookups(spark, root, ["status.csv", "nation.csv", "region.csv", "origin.csv", "supplier.csv"])
@@ -93,5 +93,5 @@ def q_coerce(spark, sf):
 
 @register("write_table", "SELECT count(*) AS rows FROM valid")
 def q_write(spark, sf):
-    path = scratch_path(spark, f"written-{sf.rstrip("/").split("/")[-1]}")
+    path = scratch_path(spark, "written")
     return write_table(valid(spark, sf), path, "parquet", partition_by="fiscal_year")

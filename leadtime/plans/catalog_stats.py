@@ -111,12 +111,12 @@ def _hash_sql(key: str, salt: str = "42") -> str:
     f"""SELECT '{c}' AS feature, regr_slope(CAST(lead_days AS DOUBLE), CAST({c} AS DOUBLE)) AS slope,
          regr_intercept(CAST(lead_days AS DOUBLE), CAST({c} AS DOUBLE)) AS intercept,
          CAST(min({c}) AS DOUBLE) AS x_min, CAST(max({c}) AS DOUBLE) AS x_max, count(*) AS n
-       FROM (SELECT * FROM ci WHERE {c} IS NOT NULL AND lead_days IS NOT NULL ORDER BY {_hash_sql('case_id')}, case_id LIMIT 3000)"""
+       FROM ci WHERE {c} IS NOT NULL AND lead_days IS NOT NULL"""
     for c in CORR_COLS if c != "lead_days") + f""")
 SELECT fits.feature, {r('slope', 'slope', 4)}, {r('intercept', 'intercept', 4)}, x_min, x_max, n
 FROM fits JOIN rk USING (feature) WHERE pos <= 6""")
 def q_scatter_fit(spark, sf):
-    out = CR.scatter_fit_top_features(corr_input(spark, sf), "case_id", "lead_days", 6, 3000)
+    out = CR.scatter_fit_top_features(corr_input(spark, sf), "lead_days", 6)
     return out.withColumns({"slope": F.round("slope", 4), "intercept": F.round("intercept", 4)})
 
 

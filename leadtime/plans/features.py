@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import cyclical_encoding
 from ..functions.flags import PEAK_INDEX_THRESHOLD, complexity_score, deviation_from_office, peak_season_flag
 from ..operators import aggregates as agg
+from ..operators.stats import scalars
 from ..roles import ROLES, CaseRoles
 from ..session import cut_lineage
 
@@ -114,9 +115,16 @@ class OfficeStats(Estimator):
 
 
 class FiscalYearTrendModel(_LookupModel):
+    """A year that training had gets its index; any other lies on the line through the first and last."""
+
     def _transform(self, df: DataFrame) -> DataFrame:
         fy = self.settings["fiscal_year"]
-        return df.join(self.tables["year"], fy, "left") if fy in df.columns else df
+        if fy not in df.columns:
+            return df
+        year = self.tables["year"]
+        lo, hi = scalars(year.agg(F.min(fy).alias("lo"), F.max(fy).alias("hi")), "lo", "hi")
+        line = (F.col(fy) - lo).cast("double") / F.greatest(hi - lo, F.lit(1))
+        return df.join(year, fy, "left").withColumn("fiscal_year_index", F.coalesce("fiscal_year_index", line))
 
 
 class FiscalYearTrend(Estimator):

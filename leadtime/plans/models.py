@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_bucket
-from ..operators.clean import LEAKAGE_COLS
+from ..operators.clean import LEAKAGE_COLS, drop_columns_present
 from ..operators.encode import apply_codes, label_codes
 from ..operators.impute import numeric_fill_values
-from ..operators.stats import numeric_columns
+from ..operators.stats import nan_to_null, numeric_columns
 from ..operators.windows import contiguous_folds
 from ..session import cut_lineage
 from .metrics import regression_metrics
@@ -51,18 +51,23 @@ class FeatureMatrix:
 
 
 def feature_matrix(df: DataFrame, key: str, target: str = "lead_days", features=None, office: str | None = "office",
-                   leakage=LEAKAGE_COLS) -> FeatureMatrix:
+                   leakage=LEAKAGE_COLS, fit_rows=None) -> FeatureMatrix:
     """Drop leakage columns and rows without target, label-code the office, keep numeric
-    features, fill remaining nulls with the column median."""
-    out = df.drop(*[c for c in leakage if c in df.columns and c != key]).filter(F.col(target).isNotNull())
+    features, fill remaining nulls with the column median; NaN is null.
+
+    ``fit_rows`` (frame -> frame, e.g. the training side of a split by key) chooses the rows that codes
+    and medians are learned from, all rows by default; an office that they lack has code 0.
+    """
+    fit_rows = fit_rows or (lambda x: x)
+    out = drop_columns_present(nan_to_null(df), [c for c in leakage if c != key]).filter(F.col(target).isNotNull())
     codes = None
     if office and office in out.columns:
-        codes = label_codes(out, office)
-        out = apply_codes(out, office, codes, "office_code")
+        codes = label_codes(fit_rows(out), office)
+        out = apply_codes(out, office, codes, "office_code", default=0)
     feats = list(features) if features else [c for c in numeric_columns(out, exclude=(target,)) if c != key]
     feats = [c for c in feats if c in out.columns]
     out = out.select(key, F.col(target).cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in feats])
-    fills = numeric_fill_values(out, feats)
+    fills = numeric_fill_values(fit_rows(out), feats)
     if fills:
         out = out.fillna(fills)
     return FeatureMatrix(out, feats, fills, codes)

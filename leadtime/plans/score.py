@@ -52,7 +52,8 @@ def list_offices(stats: DataFrame, key: str = "office", labels: DataFrame | None
 
 
 def request_features(valid_req: DataFrame, office_stats: DataFrame, global_row: DataFrame | None,
-                     codes: DataFrame | None, fy_min=None, fy_max=None, seasonal_model=None, fy_model=None) -> DataFrame:
+                     codes: DataFrame | None, fy_min=None, fy_max=None, seasonal_model=None, fy_model=None,
+                     fills: dict | None = None) -> DataFrame:
     """Feature row for each validated request, with the training feature names.
 
     Without fitted models the reference's serving rules apply: static peak months / indices and
@@ -90,20 +91,30 @@ def request_features(valid_req: DataFrame, office_stats: DataFrame, global_row:
     out = join_fallback_global(out, "office_key", office_stats, "office", global_row)
     if codes is not None:
         out = encode_apply_default(out, "office_key", codes, "office_code", 0)
-    return out.fillna(0.0, subset=["seasonal_index_month", "seasonal_index_quarter", "fiscal_year_index"])
+    # A month or quarter that training never saw is an average one; what else is missing takes the
+    # fill value of training.
+    out = out.fillna(1.0, subset=["seasonal_index_month", "seasonal_index_quarter"])
+    known = {c: v for c, v in (fills or {}).items() if c in out.columns}
+    return out.fillna(known) if known else out
 
 
 def score_requests(requests: DataFrame, model: PipelineModel, office_stats: DataFrame, global_row: DataFrame | None,
                    codes: DataFrame | None, rmse: float, model_name: str, mae: float, r2: float, features,
-                   fy_min=None, fy_max=None, seasonal_model=None, fy_model=None,
-                   prediction_col: str = "prediction") -> tuple[DataFrame, DataFrame]:
-    """Validate, build features, predict, add interval / category / office profile.
+                   fy_min=None, fy_max=None, seasonal_model=None, fy_model=None, fills: dict | None = None,
+                   labels: DataFrame | None = None, prediction_col: str = "prediction") -> tuple[DataFrame, DataFrame]:
+    """Validate, build features, predict, add interval / category / office profile and label.
+
+    ``labels`` (code, label) names offices; an office without a label is its own code.
 
     Returns (scored valid requests, quarantined requests with their error map).
     """
     v = validate_requests(requests)
     ok, bad = split_valid(v)
-    feats = request_features(ok, office_stats, global_row, codes, fy_min, fy_max, seasonal_model, fy_model)
+    feats = request_features(ok, office_stats, global_row, codes, fy_min, fy_max, seasonal_model, fy_model, fills)
+    if labels is not None:
+        feats = map_lookup(feats, "office_key", labels, "code", "label", "office_label")
+    else:
+        feats = feats.withColumn("office_label", F.col("office_key"))
     pred = model.transform(feats)
     p = F.greatest(F.col(prediction_col), F.lit(0.0))
     iv = prediction_interval(prediction_col, rmse)
@@ -120,7 +131,7 @@ def score_requests(requests: DataFrame, model: PipelineModel, office_stats: Data
     scored = pred.select(
         *requests.columns,
         *[e.alias(k) for k, e in iv.items()], *[e.alias(k) for k, e in cat.items()],
-        "office_key", "office_known", prof.alias("office_stats"),
+        "office_key", "office_label", "office_known", prof.alias("office_stats"),
         F.date_format("submit_dt", "yyyy-MM-dd").alias("submit_date_iso"),
         F.lit(model_name).alias("model_name"), F.bround(F.lit(float(mae)), 1).alias("model_mae_days"),
         F.bround(F.lit(float(r2)), 4).alias("model_r2"), (F.col("is_peak_season") == 1).alias("is_peak_season"),
@@ -129,10 +140,12 @@ def score_requests(requests: DataFrame, model: PipelineModel, office_stats: Data
 
 
 def save_scoring_bundle(path: str, model: PipelineModel, office_codes: DataFrame, office_stats: DataFrame,
-                        global_row: DataFrame, feature_models: dict, meta: dict) -> None:
+                        global_row: DataFrame, feature_models: dict, meta: dict, fills: dict | None = None,
+                        labels: DataFrame | None = None) -> None:
     """Everything serving needs, saved together so scoring never re-fits an encoder:
     the PipelineModel, the office code table, office statistics and global defaults, the fitted
-    lookup models (seasonal / fiscal year) and metadata (rmse, mae, r2, model name, features)."""
+    lookup models (seasonal / fiscal year), the fill values of training, office labels and metadata (rmse,
+    mae, r2, model name, features, and which of the other parts there are)."""
     import json
     model.write().overwrite().save(f"{path}/model")
     office_codes.write.mode("overwrite").parquet(f"{path}/office_codes")
@@ -140,6 +153,9 @@ def save_scoring_bundle(path: str, model: PipelineModel, office_codes: DataFrame
     global_row.write.mode("overwrite").parquet(f"{path}/global_row")
     for name, m in feature_models.items():
         m.save(f"{path}/features/{name}")
+    if labels is not None:
+        labels.write.mode("overwrite").parquet(f"{path}/labels")
+    meta = {**meta, "feature_models": sorted(feature_models), "fills": fills or {}, "labels": labels is not None}
     spark = office_codes.sparkSession
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
@@ -153,10 +169,10 @@ def load_scoring_bundle(spark, path: str) -> dict:
               office_stats=spark.read.parquet(f"{path}/office_stats"), global_row=spark.read.parquet(f"{path}/global_row"),
               rmse=meta["rmse"], model_name=meta["model_name"], mae=meta["mae"], r2=meta["r2"],
               features=meta["features"])
-    loaders = {"seasonal_model": SeasonalIndexModel, "fy_model": FiscalYearTrendModel}
-    for name, cls in loaders.items():
-        try:
-            kw[name] = cls.load(spark, f"{path}/features/{name}")
-        except Exception:  # noqa: BLE001 - bundle saved without that model: serve the static rule
-            kw[name] = None
+    kw["fills"] = meta["fills"]
+    kw["labels"] = spark.read.parquet(f"{path}/labels") if meta["labels"] else None
+    # The metadata says which models were saved; a failing read of one is an error, never a reason
+    # to serve the static rule instead.
+    for name, cls in (("seasonal_model", SeasonalIndexModel), ("fy_model", FiscalYearTrendModel)):
+        kw[name] = cls.load(spark, f"{path}/features/{name}") if name in meta["feature_models"] else None
     return kw

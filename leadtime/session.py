@@ -7,9 +7,12 @@ DataFrames.  ``get_session`` is for scripts, tests and the bench.
 from __future__ import annotations
 
 import os
+import re
+import shlex
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job wants: UTC (day arithmetic must not shift with the host zone),
@@ -27,11 +30,20 @@ BASE_CONF = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "leadtime", extra: dict | None = None) -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.appName(app_name).master(master or f"local[{cpus}]")
+    """A session for scripts.  Where the submit command names a master, that one is used; only without
+    any does the session run on this machine, with shuffle partitions for its cores."""
+    builder = SparkSession.builder.appName(app_name)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
-    conf["spark.driver.memory"] = os.environ.get("LEADTIME_DRIVER_MEMORY", "16g")
+    named = master or SparkConf().get("spark.master", None) or _submitted_master()
+    if named is None or named.startswith("local"):
+        cpus = os.environ.get("BENCH_CPUS", "8")
+        conf["spark.driver.memory"] = os.environ.get("LEADTIME_DRIVER_MEMORY", "8g")
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
+        conf["spark.sql.files.minPartitionNum"] = cpus
+        if named is None or master:
+            builder = builder.master(master or f"local[{cpus}]")
+    elif shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -41,14 +53,33 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _submitted_master() -> str | None:
+    """The master in the submit arguments of a Python process that starts its own JVM."""
+    words = shlex.split(os.environ.get("PYSPARK_SUBMIT_ARGS", ""))
+    for i, w in enumerate(words):
+        if w == "--master" and i + 1 < len(words):
+            return words[i + 1]
+        if w.startswith("--master="):
+            return w.partition("=")[2]
+    return None
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Driver and executors are one process on one machine (``local-cluster`` is not)."""
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests, a laptop) a private folder is created.
+    Only a local session may do without the setting: it gets a private folder.  On a cluster each
+    executor would write to its own disk, so there a missing setting is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="leadtime-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:
@@ -57,9 +88,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint location for materialised tables."""
+    """A new folder name under the shared checkpoint location; no two calls give the same."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/leadtime-tables/{name}"
+    return f"{base}/leadtime-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application; call it when no result is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{ensure_checkpoint_dir(spark).rstrip('/')}/leadtime-tables/{spark.sparkContext.applicationId}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
@@ -70,14 +109,6 @@ def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
     eager checkpoint computes the plan once to count and again to write.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, f"cut/{name}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, f"cut-{name}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when a scan yields fewer partitions than the cluster has
-    task slots (a small file with a single row group is one task).  Large inputs already split
-    into many partitions are returned unchanged, so no shuffle is added at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

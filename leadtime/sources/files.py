@@ -7,13 +7,15 @@ files with different headers binds columns by position and silently swaps values
 
 from __future__ import annotations
 
+import csv
 import logging
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_order
-from ..operators.stats import top_n_per_group
+from ..operators.stats import nan_to_null, top_n_per_group, with_row_index
 
 log = logging.getLogger(__name__)
 
@@ -40,37 +42,79 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(out)
 
 
-def _header(spark: SparkSession, path: str, sep: str) -> tuple | None:
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a text file on any Hadoop file system, decompressed by its suffix; no Spark job."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    stream = hpath.getFileSystem(conf).open(hpath)
     try:
-        cols = spark.read.option("header", True).option("sep", sep).csv(path).columns
-        return tuple(cols) if cols else None
-    except Exception as e:  # noqa: BLE001 - an unreadable file is skipped, as documented
-        log.warning("skipping unreadable file %s: %s", path, e)
-        return None
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(hpath)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+            codec.createInputStream(stream) if codec else stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
+def _header(spark: SparkSession, path: str, sep: str) -> tuple[tuple | None, str | None]:
+    """(column names, None), or (None, why the file holds no table).  A failing storage raises."""
+    line = _first_line(spark, path)
+    if line is None or not line.strip():
+        return None, "no header line"
+    if chr(0) in line:
+        return None, "the header line is not text"
+    names = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep))
+    names = [n.strip() or f"_c{i}" for i, n in enumerate(names)]
+    return tuple(n if names.count(n) == 1 else f"{n}{i}" for i, n in enumerate(names)), None
+
+
+def read_headers(spark: SparkSession, paths, sep: str = ",") -> tuple[dict[tuple, list[str]], list[tuple[str, str]]]:
+    """Files by header, and (path, reason) of the files that hold no table."""
+    groups: dict[tuple, list[str]] = {}
+    skipped = []
+    for p in paths:
+        header, why = _header(spark, p, sep)
+        if header is None:
+            skipped.append((p, why))
+        else:
+            groups.setdefault(header, []).append(p)
+    return groups, skipped
+
+
+def skipped_files(spark: SparkSession, pattern_or_paths, sep: str = ",") -> DataFrame:
+    """(path, reason) of the files that :func:`scan_multi_file_union` leaves out."""
+    paths = pattern_or_paths if isinstance(pattern_or_paths, (list, tuple)) else list_files(spark, pattern_or_paths)
+    return spark.createDataFrame(read_headers(spark, paths, sep)[1], "path string, reason string")
+
+
+def _tag(tag_pattern: str):
+    """The tag in the file's name; of a part file, the tag in the name of its folder."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    folder = F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-2))
+    own = F.regexp_extract(name, tag_pattern, 1)
+    return F.when(own != "", own).when(name.startswith("part-") & (F.regexp_extract(folder, tag_pattern, 1) != ""),
+                                       F.regexp_extract(folder, tag_pattern, 1))
 
 
 def scan_multi_file_union(spark: SparkSession, pattern_or_paths, tag_col: str = "fiscal_year",
                           tag_pattern: str = YEAR_TAG_PATTERN, sep: str = ",", tag_type: str = "string") -> DataFrame:
-    """Read every file, tag rows with a value parsed from the file path, union by column name.
+    """Read every file, tag rows with a value parsed from the file name, union by column name.
 
     Files are grouped by header, so the number of Spark readers equals the number of distinct
     headers (not files); all values are read as strings (types are decided later by
-    ``coerce_numeric_columns``).  A file whose header cannot be read is skipped.
+    ``coerce_numeric_columns``).  A file without a header line holds no table and is left out
+    (:func:`skipped_files` lists those); a storage error raises.  A name without a tag gives null.
     """
     paths = pattern_or_paths if isinstance(pattern_or_paths, (list, tuple)) else list_files(spark, pattern_or_paths)
-    groups: dict[tuple, list[str]] = {}
-    for p in paths:
-        h = _header(spark, p, sep)
-        if h is not None:
-            groups.setdefault(h, []).append(p)
+    groups, skipped = read_headers(spark, paths, sep)
+    for p, why in skipped:
+        log.warning("left out %s: %s", p, why)
     if not groups:
         raise FileNotFoundError(f"no readable files in {pattern_or_paths}")
     parts = []
     for header, files in groups.items():
-        schema = ", ".join(f"`{c}` string" for c in header)
+        schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in header)
         df = spark.read.option("header", True).option("sep", sep).schema(schema).csv(files)
-        tag = F.regexp_extract(F.col("_metadata.file_path"), tag_pattern, 1)
-        parts.append(df.withColumn(tag_col, F.when(tag != "", tag).cast(tag_type)))
+        parts.append(df.withColumn(tag_col, _tag(tag_pattern).cast(tag_type)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -80,7 +124,8 @@ def scan_multi_file_union(spark: SparkSession, pattern_or_paths, tag_col: str =
 def sample_capped_per_group(df: DataFrame, group: str, n: int, key: str, seed: str = "42",
                             margin: float = 0.1) -> DataFrame:
     """At most n rows per group, the n smallest md5(key || seed) order values; groups with <= n
-    rows are kept whole.  Deterministic and exact.
+    rows are kept whole.  Deterministic and exact.  Null is a group like any other; a null key
+    orders as the empty string.
 
     The order value is uniform on [0, 2^32), so a per-group threshold of about
     n / count * 2^32 (plus slack) preselects ~1.1 n candidates per group: the final ranking sees
@@ -89,34 +134,43 @@ def sample_capped_per_group(df: DataFrame, group: str, n: int, key: str, seed: s
     """
     space = float(2 ** 32)
     h = df.withColumn("_h", hash_order(key, seed))
-    counts = h.groupBy(group).agg(F.count(F.lit(1)).alias("_cnt"))            # one row per group
+    same = h[group].eqNullSafe(F.col("_g"))
+    counts = h.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_cnt"))            # one row per group
     want = F.least(F.col("_cnt"), F.lit(n))
     slack = F.lit(n * (1.0 + margin) + 10.0 * (n ** 0.5) + 10.0)
-    thr = counts.select(group, "_cnt", F.when(F.col("_cnt") <= n, F.lit(space))
+    thr = counts.select("_g", "_cnt", F.when(F.col("_cnt") <= n, F.lit(space))
                         .otherwise(F.least(F.lit(space), F.ceil(slack / F.col("_cnt") * F.lit(space)))).alias("_t"))
-    cand = h.join(thr, group).filter(F.col("_h") < F.col("_t"))
-    got = cand.groupBy(group).agg(F.count(F.lit(1)).alias("_got"))
-    short = thr.join(got, group, "left").filter(F.coalesce(F.col("_got"), F.lit(0)) < F.least(F.col("_cnt"), F.lit(n)))
+    cand = h.join(thr, same).filter(F.col("_h") < F.col("_t"))
+    got = cand.groupBy("_g", "_cnt").agg(F.count(F.lit(1)).alias("_got"))
+    # A group with a row has at least one candidate, so every group is in ``got``; rows all above
+    # the threshold are caught by the difference to the groups that are.
+    full = got.filter(F.col("_got") >= want).select(F.col("_g").alias("_f"), F.lit(True).alias("_ok"))
+    short = counts.join(full, F.col("_g").eqNullSafe(F.col("_f")), "left").filter(F.col("_ok").isNull()).select("_g")
     w = Window.partitionBy(group).orderBy("_h", key)
-    ok = (cand.join(short.select(group), group, "left_anti")
+    ok = (cand.drop("_g").join(short, F.col(group).eqNullSafe(F.col("_g")), "left_anti")
               .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
               .drop("_h", "_cnt", "_t", "_r"))
-    fallback = top_n_per_group(h.join(short.select(group), group, "left_semi"), [group],
+    fallback = top_n_per_group(h.join(short, same, "left_semi"), [group],
                                [F.col("_h"), F.col(key)], n, salt_col=key).drop("_h", "rank")
     return ok.unionByName(fallback.select(*ok.columns))
 
 
-def scan_random_cap(df: DataFrame, n: int, key: str, seed: str = "42", large: int = 10_000) -> DataFrame:
-    """At most n rows of one table, the n smallest md5(key || seed) order values.
+def scan_random_cap(df: DataFrame, n: int, key: str, seed: str = "42", margin: float = 0.1) -> DataFrame:
+    """At most n rows of one table, the n smallest (md5(key || seed), key) order values; a null key
+    orders as the empty string.
 
-    Small caps are an ordered limit (every task keeps n rows, one task merges them).  Above
-    ``large`` rows that merge would hold n rows per task, so the cap goes through the
-    hash-threshold preselection of :func:`sample_capped_per_group` with a single group instead.
+    One way for every n: the order value is uniform, so a threshold leaves about 1.1 n rows, which
+    a range-partitioned sort numbers; no task holds n rows.  Should the threshold leave fewer
+    than n (vanishingly rare), all rows are numbered.
     """
-    if n <= large:
-        return df.withColumn("_h", hash_order(key, seed)).orderBy("_h", key).limit(n).drop("_h")
-    g = "_cap_group"
-    return sample_capped_per_group(df.withColumn(g, F.lit(0)), g, n, key, seed).drop(g)
+    h = df.withColumn("_h", hash_order(key, seed))
+    total = h.count()
+    space = 2 ** 32
+    limit = min(space, math.ceil((n * (1.0 + margin) + 10.0 * n ** 0.5 + 10.0) / max(total, 1) * space))
+    numbered = with_row_index(h.filter(F.col("_h") < limit), ["_h", key], "_i")
+    if limit < space and numbered.filter(F.col("_i") == n - 1).isEmpty():
+        numbered = with_row_index(h, ["_h", key], "_i")
+    return numbered.filter(F.col("_i") < n).drop("_h", "_i")
 
 
 def scan_head(df: DataFrame, n: int | None, order_key: str) -> DataFrame:
@@ -125,11 +179,14 @@ def scan_head(df: DataFrame, n: int | None, order_key: str) -> DataFrame:
 
 
 def load_lookups(spark: SparkSession, folder: str, names, fmt: str = "csv") -> dict:
-    """{name: DataFrame} for the lookup files that exist; missing ones are skipped."""
+    """{name: DataFrame} for the lookup files that exist; missing ones are skipped.
+
+    A name stands for exactly one file or folder: itself, with ``.<fmt>`` added if it has none.
+    """
     out = {}
     for name in names:
-        path = f"{folder.rstrip('/')}/{name}"
-        found = list_files(spark, path + ("*" if not name.endswith(f".{fmt}") else ""))
+        file = name if name.endswith(f".{fmt}") else f"{name}.{fmt}"
+        found = list_files(spark, f"{folder.rstrip('/')}/{file}")
         if not found:
             log.info("lookup %s not found, skipped", name)
             continue
@@ -156,7 +213,8 @@ def scan_pruned_columns(df: DataFrame, key: str, other: str) -> DataFrame:
 
 
 def coerce_numeric_columns(df: DataFrame, cols=None) -> DataFrame:
-    """String column -> double only if every non-null value parses as a number (one pass)."""
+    """String column -> double only if every non-null value parses as a number (one pass); the
+    text NaN is a missing number."""
     from ..operators.stats import string_columns
     cols = cols or string_columns(df)
     if not cols:
@@ -164,4 +222,4 @@ def coerce_numeric_columns(df: DataFrame, cols=None) -> DataFrame:
     row = df.agg(*[(F.count(c) == F.count(F.col(c).try_cast("double"))).alias(f"ok{i}")
                    for i, c in enumerate(cols)]).first()
     good = [c for i, c in enumerate(cols) if row[f"ok{i}"]]
-    return df.withColumns({c: F.col(c).try_cast("double") for c in good}) if good else df
+    return nan_to_null(df.withColumns({c: F.col(c).try_cast("double") for c in good})) if good else df

@@ -16,7 +16,8 @@ from ..plans.score import score_requests
 
 
 def score_stream(spark: SparkSession, source_dir: str, schema: StructType | str, sink_dir: str, checkpoint_dir: str,
-                 available_now: bool = True, max_files_per_trigger: int | None = None, **score_kw):
+                 available_now: bool = True, max_files_per_trigger: int | None = None,
+                 trigger_interval: str = "10 seconds", **score_kw):
     """Start the scoring stream; with ``available_now`` it processes everything present and stops.
 
     ``score_kw`` are the arguments of :func:`leadtime.plans.score.score_requests` after the
@@ -28,12 +29,17 @@ def score_stream(spark: SparkSession, source_dir: str, schema: StructType | str,
     requests = reader.parquet(source_dir)
 
     def _batch(batch: DataFrame, batch_id: int) -> None:
-        scored, bad = score_requests(batch, **score_kw)
-        scored.write.mode("overwrite").parquet(f"{sink_dir}/scored/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{sink_dir}/quarantine/batch={batch_id}")
+        # The source is read once for both outputs.
+        batch.persist()
+        try:
+            scored, bad = score_requests(batch, **score_kw)
+            scored.write.mode("overwrite").parquet(f"{sink_dir}/scored/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{sink_dir}/quarantine/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = requests.writeStream.foreachBatch(_batch).option("checkpointLocation", checkpoint_dir)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger_interval)
     return w.start()
 
 

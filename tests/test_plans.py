@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadtime.plans import models as M
@@ -17,13 +18,15 @@ def test_fit_uses_train_rows_only(spark, sf):
     tr, te = train_test_split(v, "case_id")
     m1 = OfficeStats(min_samples=5).fit(tr)
     changed = te.withColumn("lead_days", F.col("lead_days") + 1000)     # altering test rows ...
-    m2 = OfficeStats(min_samples=5).fit(tr.unionByName(changed).filter(F.col("case_id").isin(
-        [r.case_id for r in tr.select("case_id").collect()])))
+    # The split is by key, so the training side of the altered table is what a fit may see.
+    m2 = OfficeStats(min_samples=5).fit(train_test_split(tr.unionByName(changed), "case_id")[0])
+    every = OfficeStats(min_samples=5).fit(tr.unionByName(changed))
     def rounded(rows):
         return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
     a = rounded(m1.tables["office"].collect())
     b = rounded(m2.tables["office"].collect())
     assert a == b                                                       # ... leaves the fitted table alone
+    assert rounded(every.tables["office"].collect()) != a               # a fit on all rows would have seen them
 
 
 def test_seasonal_index_weighted_by_rows(spark, sf):
@@ -147,3 +150,33 @@ def test_scoring_bundle_roundtrip(spark, sf, tmp_path):
     a = sorted(tuple(r) for r in score_requests(reqs, **kw)[0].select(*cols).collect())
     b = sorted(tuple(r) for r in score_requests(reqs, **back)[0].select(*cols).collect())
     assert a == b
+
+
+def test_new_years_labels_and_missing_bundle_parts(spark, sf, tmp_path):
+    from leadtime.plans.catalog_score import scoring_setup
+    from leadtime.plans.features import FiscalYearTrend
+    from leadtime.plans.score import load_scoring_bundle, save_scoring_bundle, score_requests
+    v = valid_cases(cases(spark, sf))
+    trend = FiscalYearTrend().fit(v)
+    lo, hi = v.agg(F.min("fiscal_year"), F.max("fiscal_year")).first()
+    later = spark.createDataFrame([(hi,), (hi + 2,)], "fiscal_year int")
+    got = {r.fiscal_year: r.fiscal_year_index for r in trend.transform(later).collect()}
+    assert got[hi] == 1.0 and abs(got[hi + 2] - (hi + 2 - lo) / (hi - lo)) < 1e-12
+    kw = scoring_setup(spark, sf)
+    office = kw["office_stats"].select("office").first()[0]
+    labels = spark.createDataFrame([(office, "Main office")], "code string, label string")
+    reqs = spark.createDataFrame([(office.lower(), "2031-02-03", "5"), ("nowhere", "2031-02-03", None), ("x", "no", "1")],
+                                 "office string, submit_date string, case_number string")
+    scored, bad = score_requests(reqs, **kw, labels=labels)
+    rows = {r.office_key: r for r in scored.collect()}
+    assert rows[office].office_label == "Main office" and rows["NOWHERE"].office_label == "NOWHERE"
+    assert rows[office].office_known and not rows["NOWHERE"].office_known and bad.count() == 1
+    path = str(tmp_path / "bundle")
+    meta = {k: kw[k] for k in ("rmse", "model_name", "mae", "r2")} | {"features": list(kw["features"])}
+    save_scoring_bundle(path, kw["model"], kw["codes"], kw["office_stats"], kw["global_row"], {"fy_model": kw["fy_model"]}, meta, kw["fills"], labels)
+    back = load_scoring_bundle(spark, path)
+    assert back["seasonal_model"] is None and back["fy_model"] is not None and back["labels"].count() == 1
+    import shutil
+    shutil.rmtree(f"{path}/features/fy_model")
+    with pytest.raises(Exception):
+        load_scoring_bundle(spark, path)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadtime.functions import dates as D
@@ -93,3 +94,45 @@ def test_days_independent_of_session_zone(spark):
         assert df.select(D.lead_time_days("a", "b")).first()[0] == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_dates_with_fractions_zones_and_single_digits(spark):
+    texts = ["2020-01-05 10:11:12.123456", "2020-01-05T10:11:12Z", "2020-01-05T12:11:12+02:00", "1/5/2020", "2020-1-5", "05-Jan-20", "soon", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [str(r[0]) for r in df.select(D.parse_dates_coerce("t")).collect()]
+    assert got == ["2020-01-05 10:11:12.123456", "2020-01-05 10:11:12", "2020-01-05 10:11:12", *["2020-01-05 00:00:00"] * 3, "None", "None"]
+    assert tuple(D.unparsed_dates(df, ["t"]).first()) == ("t", 7, 1)
+
+
+def test_nan_flag_is_zero_and_timestamp_is_no_level(spark):
+    from leadtime.functions import flags as FL
+    from leadtime.roles import ROLES
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "raw double")
+    out = FL.binary_flags(df, ROLES.with_(flags={"raw": "is_raw"}))
+    assert [r.is_raw for r in out.collect()] == [0, 1, 0]
+    hot = spark.sql("SELECT true AS status_N, false AS status_R, timestamp'2020-01-01' AS status_ts")
+    assert hot.select(FL.decode_onehot(hot, "status").alias("s")).first().s == "N"
+
+
+def test_too_many_levels_and_long_case_numbers(spark):
+    from leadtime.operators import clean, encode
+    df = spark.range(20).select(F.col("id").cast("string").alias("c"))
+    with pytest.raises(ValueError, match="more than 10 levels"):
+        encode.encode_one_hot(df, "c", max_levels=10)
+    req = spark.createDataFrame([("A", "2020-01-01", "1" * 19), ("A", "2020-01-01", "-1")], "office string, submit_date string, case_number string")
+    assert [len(r.errors) for r in clean.validate_requests(req).collect()] == [0, 1]
+
+
+def test_missing_counts_nan(spark):
+    from leadtime.operators import impute, profile
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (3.0,), (None,)], "x double")
+    assert profile.missing_by_column(df).first().missing == 2
+    assert impute.impute_report(df).first().null_cells == 2
+    assert sorted(r.x for r in impute.impute_numeric_median(df).collect()) == [1.0, 2.0, 2.0, 3.0]
+    assert profile.numeric_describe(df).first()["max"] == 3.0
+
+
+def test_outcome_columns_leave_with_the_leakage_list(spark):
+    from leadtime.operators.clean import drop_columns_present
+    df = spark.sql("SELECT 1 AS x, 'A' AS status, true AS status_N, timestamp'2020-01-01' AS status_ts")
+    assert drop_columns_present(df).columns == ["x", "status_ts"]

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from leadtime.sources import files as S
@@ -69,5 +71,52 @@ def test_capped_sample_exact_on_both_paths(spark):
 def test_random_cap_large_path_equals_small_path(spark):
     df = spark.createDataFrame([(f"k{i}",) for i in range(400)], "k string")
     small = sorted(r.k for r in S.scan_random_cap(df, 150, "k").collect())
-    large = sorted(r.k for r in S.scan_random_cap(df, 150, "k", large=10).collect())
+    large = sorted(r.k for r in S.scan_random_cap(df, 150, "k", margin=-3).collect())  # no row is under the threshold
     assert small == large and len(small) == 150
+
+
+def test_file_without_table_is_listed_and_storage_errors_raise(spark, tmp_path):
+    _write(tmp_path / "FY2021-a.csv", "a,b\n1,2\n")
+    _write(tmp_path / "FY2022-b.csv", "")
+    _write(tmp_path / "FY2023-c.csv", "\n\n")
+    got = S.skipped_files(spark, str(tmp_path / "FY*.csv")).collect()
+    assert [(r.path.split("/")[-1], r.reason) for r in got] == [("FY2022-b.csv", "no header line"), ("FY2023-c.csv", "no header line")]
+    with pytest.raises(Exception, match="FileNotFound|does not exist"):
+        S.scan_multi_file_union(spark, [str(tmp_path / "FY2024-gone.csv")])
+
+
+def test_tag_is_read_from_the_file_name(spark, tmp_path):
+    d = tmp_path / "FY1999-old"
+    d.mkdir()
+    _write(d / "FY2021-x-1.csv", "a\n1\n")
+    _write(d / "plain.csv", "a\n2\n")
+    _write(d / "part-0000.csv", "a\n3\n")
+    got = {r.a: r.fiscal_year for r in S.scan_multi_file_union(spark, [str(p) for p in sorted(d.iterdir())]).collect()}
+    assert got == {"1": "2021", "2": None, "3": "1999"}
+
+
+def test_null_groups_and_null_keys_stay(spark):
+    rows = [(None, f"k{i}") for i in range(30)] + [("g", "x"), (None, None)]
+    df = spark.createDataFrame(rows, "g string, k string")
+    assert S.sample_capped_per_group(df, "g", 100, "k").count() == 32
+    capped = S.sample_capped_per_group(df, "g", 5, "k").collect()
+    assert sorted(str(r.g) for r in capped) == ["None"] * 5 + ["g"]
+    assert S.scan_random_cap(df, 100, "k").count() == 32 and S.scan_random_cap(df, 10, "k").count() == 10
+
+
+def test_random_cap_is_one_order_for_every_size(spark):
+    from leadtime.functions.keys import hash_order
+    df = spark.range(20000).select(F.col("id").cast("string").alias("k"))
+    want = [r.k for r in df.withColumn("h", hash_order("k", "42")).orderBy("h", "k").limit(50).collect()]
+    assert sorted(r.k for r in S.scan_random_cap(df, 50, "k").collect()) == sorted(want)
+
+
+def test_lookup_names_are_exact(spark, tmp_path):
+    _write(tmp_path / "status.csv", "code\n1\n")
+    _write(tmp_path / "status_old.csv", "code\n2\n3\n")
+    assert S.load_lookups(spark, str(tmp_path), ["status"])["status"].count() == 1
+
+
+def test_nan_is_missing_on_ingest(spark):
+    df = spark.createDataFrame([("NaN",), ("1.5",)], "n string")
+    assert sorted(str(r.n) for r in S.coerce_numeric_columns(df).collect()) == ["1.5", "None"]
