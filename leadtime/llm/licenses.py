@@ -101,7 +101,8 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", keep
                   templates=TEMPLATES, cosine: float = COSINE) -> DataFrame:
     """``files`` (columns ``keep``, by default all but the text) with ``own_license``, ``own_score``, ``license`` and
     ``inherited_from`` (the directory, null if the licence is the file's own or there is none)."""
-    kept = [c for c in (keep if keep is not None else files.columns) if c != text and c != path]
+    new = {path, "own_license", "own_score", "license", "inherited_from"}
+    kept = [c for c in (keep if keep is not None else [c for c in files.columns if c != text]) if c not in new]
     t, p = F.col(f"`{text}`"), F.col(f"`{path}`").cast("string")
     name = F.regexp_extract(p, r"([^/]*)$", 1)
     special = F.coalesce(name.rlike(LICENSE_FILE), F.lit(False))

@@ -1,9 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations throughout.
 
 1. Seeds: spans of four formats (e-mail, IP address, payment card, phone number), each checked.
-2. Candidates: words of ``MIN_CHARS`` or more with two digits or an ``@``; a candidate that touches a seed is a
-   known instance.  Its lexical patterns are the two words before it, and the word before and the one
-   after it.
+2. Instances: seeds are known ones; candidates are words of ``MIN_CHARS`` or more with two digits or an
+   ``@`` that touch no seed.  An instance's lexical patterns are the two words before it, and the word
+   before and the one after it.
 3. The graph of patterns and instances (distinct values) is scored in ``ROUNDS`` rounds: a pattern's
    confidence is the mean confidence of its instances, zero unless at least ``SUPPORT`` distinct known
    values show it; an instance's confidence is a noisy-or over its patterns, one for known ones.
@@ -112,11 +112,7 @@ def candidates(docs: DataFrame, text: str, seeds: str, out: str) -> DataFrame:
     df = df.withColumn(parts, _pieces(t, CANDIDATE, F.col(f"`{found}`")))
     m, p = F.col(f"`{found}`"), F.col(f"`{parts}`")
     placed = _placed(m, p, lambda s, e, v: F.struct((s - 1).alias("start"), (e - 1).alias("end"), v.alias("match")))
-    # Contexts: the last two words of the piece before, the first of the piece after.  Digits read 0.
-    near = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-    tail = lambda c: near(F.regexp_extract(F.right(c, F.lit(80)), r"((?:\S+\s+)?\S+)\s*$", 1))
-    head = lambda c: near(F.regexp_extract(F.left(c, F.lit(80)), r"^\s*(\S+)", 1))
-    context = F.transform(p, lambda c: F.struct(tail(c).alias("before"), head(c).alias("after")))
+    context = F.transform(p, lambda c: F.struct(_tail(c).alias("before"), _head(c).alias("after")))
     with_context = F.transform(placed, lambda x, i: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"),
         F.get(context, i)["before"].alias("before"), F.get(context, i + 1)["after"].alias("after")))
@@ -129,16 +125,41 @@ def candidates(docs: DataFrame, text: str, seeds: str, out: str) -> DataFrame:
         n = F.greatest(F.length(x["match"]) - a - b, F.lit(0))
         return F.struct((x["start"] + a).alias("start"), (x["start"] + a + n).alias("end"),
                         F.substr(x["match"], a + 1, n).alias("value"), x["before"].alias("before"), x["after"].alias("after"))
-    likely = lambda x: (F.length(x["value"]) >= MIN_CHARS) & x["value"].rlike("@|[0-9][^0-9]*[0-9]")
     seed = F.col(f"`{seeds}`")
-    last = lambda c: F.regexp_extract(c, r"(\S+)$", 1)
-    final = F.transform(F.filter(F.transform(with_context, trimmed), likely), lambda x: F.struct(
-        x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"),
-        F.exists(seed, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])).alias("known"),
-        F.filter(F.array(F.when(x["before"].rlike(r"\S\s+\S"), F.concat(x["before"], F.lit(" _"))),
-                         F.when((x["before"] != "") & (x["after"] != ""), F.concat_ws(" ", last(x["before"]), F.lit("_"), x["after"]))),
-                 lambda y: y.isNotNull()).alias("patterns")))
-    return df.withColumn(out, F.when(F.size(m) > 0, final)).drop(found, parts)
+    likely = lambda x: ((F.length(x["value"]) >= MIN_CHARS) & x["value"].rlike("@|[0-9][^0-9]*[0-9]")
+                        & ~F.exists(seed, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
+    instance = lambda x, known: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"), F.lit(known).alias("known"),
+        _patterns(x["before"], x["after"]).alias("patterns"))
+    fresh = F.transform(F.filter(F.transform(with_context, trimmed), likely), lambda x: instance(x, False))
+    # A seed may hold spaces, so its context is read around its span.
+    own = F.col(f"`{text}`")
+    first = lambda x: F.greatest(x["start"] - 80, F.lit(0))
+    around = F.transform(seed, lambda x: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), F.substr(own, x["start"] + 1, x["end"] - x["start"]).alias("value"),
+        _tail(F.substr(own, first(x) + 1, x["start"] - first(x))).alias("before"), _head(F.substr(own, x["end"] + 1, F.lit(80))).alias("after")))
+    known = F.transform(around, lambda x: instance(x, True))
+    return df.withColumn(out, F.when(F.size(m) > 0, F.concat(known, fresh))).drop(found, parts)
+
+
+# Contexts: the last two words before, the first after, within 80 characters; digits read 0.
+def _near(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[0-9]", "0")
+
+
+def _tail(c: Column) -> Column:
+    return _near(F.regexp_extract(F.right(c, F.lit(80)), r"((?:\S+\s+)?\S+)\s*$", 1))
+
+
+def _head(c: Column) -> Column:
+    return _near(F.regexp_extract(F.left(c, F.lit(80)), r"^\s*(\S+)", 1))
+
+
+def _patterns(before: Column, after: Column) -> Column:
+    last = F.regexp_extract(before, r"(\S+)$", 1)
+    return F.filter(F.array(F.when(before.rlike(r"\S\s+\S"), F.concat(before, F.lit(" _"))),
+                            F.when((before != "") & (after != ""), F.concat_ws(" ", last, F.lit("_"), after))),
+                    lambda y: y.isNotNull())
 
 
 def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
