@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, scratch_path
 from . import models as M
 from .catalog import r, register, valid
-from .catalog_stats import _ENG_SQL, engineered
+from .catalog_rows import _FLOORED_SQL
+from .catalog_stats import _ENG_SQL, _METRICS_BODY, _hash_sql, engineered
 from .features import engineer_features
 from .metrics import regression_metrics, train_test_split
 
@@ -53,13 +54,42 @@ def q_impute_fm(spark, sf):
     return fm.data.agg(F.count(F.lit(1)).alias("rows"), F.avg("std_holes").alias("std_holes"))
 
 
+# The linear learners are checked value by value on one feature, where their fits have closed forms:
+# least squares; ridge, whose slope shrinks by S / (S + alpha) over the standardised feature's sum of
+# squares S; lasso, whose standardised slope is soft-thresholded.  Trees are fitted on all features.
+ONE = ("office_mean_days",)
+ONE_SPECS = (M.ModelSpec("linear", "linear", {}, True), M.ModelSpec("ridge", "ridge", {"alpha": 1.0}, True),
+             M.ModelSpec("lasso", "lasso", {"alpha": 0.5, "maxIter": 5000}, True))
+TRAIN_SQL = f"""
+, tr AS (SELECT * FROM valid WHERE {_hash_sql('case_id', '')} % 100 < 80)
+""" + _FLOORED_SQL.replace("FROM valid", "FROM tr") + f"""
+, xy AS (SELECT case_id, CAST(lead_days AS DOUBLE) AS label, office_mean_days AS x, {_hash_sql('case_id', '')} % 100 < 80 AS train
+         FROM valid LEFT JOIN fs USING (office))"""
+_FIT_SQL = """count(*) AS n, avg(x) AS mx, avg(label) AS my, coalesce(covar_pop(label, x) / nullif(var_pop(x), 0), 0) AS b,
+  coalesce(covar_pop(label, x) / nullif(stddev_samp(x), 0), 0) AS c, coalesce(nullif(stddev_samp(x), 0), 1) AS s"""
+_SLOPES = {"linear": "b", "ridge": "b * (n - 1) / (n - 1 + 1.0)",
+           "lasso": "sign(c) * greatest(abs(c) - 0.5, 0) * n / (n - 1) / s"}
+ONE_PREDS_SQL = TRAIN_SQL + f"""
+, fit AS (SELECT {_FIT_SQL} FROM xy WHERE train)
+, preds AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS model, case_id, label, my + {e} * (x - mx) AS prediction FROM xy, fit WHERE NOT train"
+                                     for m, e in _SLOPES.items()) + f""")
+, mt AS (SELECT model, {_METRICS_BODY} FROM preds GROUP BY model)"""
+_MT = f"n, {r('mae', 'mae', 4)}, {r('rmse', 'rmse', 4)}, {r('r2', 'r2')}, {r('mape', 'mape', 4)}"
+
+
+def _rounded_metrics(met):
+    return met.withColumns({c: F.round(c, 4) for c in ("mae", "rmse", "mape")})
+
+
 def _fit_one(spec_name):
     def q(spark, sf):
         fm, _, tr, te, _ = training_tables(spark, sf)
-        spec = next(s for s in M.QUICK_SPECS if s.name == spec_name)
-        model = M.build_estimator(spec, fm.features, tr).fit(tr)
+        spec = next((s for s in ONE_SPECS if s.name == spec_name), None)
+        features = fm.features if spec is None else list(ONE)
+        spec = spec or next(s for s in M.QUICK_SPECS if s.name == spec_name)
+        model = M.build_estimator(spec, features, tr).fit(tr)
         preds = model.transform(te).select(F.lit(spec.name).alias("model"), "case_id", "label", "prediction")
-        return regression_metrics(preds)
+        return _rounded_metrics(regression_metrics(preds))
     q.__doc__ = f"Fit the {spec_name} spec on the train split, metrics on the test split."
     return q
 
@@ -67,11 +97,20 @@ def _fit_one(spec_name):
 for _key, _spec in (("fit_linear", "linear"), ("fit_ridge", "ridge"), ("fit_lasso", "lasso"),
                     ("fit_random_forest", "random_forest"), ("fit_randomized_forest", "randomized_forest"),
                     ("fit_gbt", "gradient_boosting")):
-    register(_key)(_fit_one(_spec))
+    register(_key, ONE_PREDS_SQL + f"\nSELECT model, {_MT} FROM mt WHERE model = '{_spec}'" if _spec in _SLOPES else None)(_fit_one(_spec))
 
 
-@register("compare_models")
+@register("compare_models", ONE_PREDS_SQL + f"""
+SELECT model, {_MT}, CAST(row_number() OVER (ORDER BY mae, model) AS INTEGER) AS rank FROM mt""")
 def q_compare(spark, sf):
+    # seconds of training are no result that another engine could repeat
+    _, _, tr, te, _ = training_tables(spark, sf)
+    met, _, _ = M.compare_models(tr, te, list(ONE), "case_id", ONE_SPECS)
+    return _rounded_metrics(met.drop("train_seconds"))
+
+
+@register("compare_all_models")
+def q_compare_all(spark, sf):
     fm, _, tr, te, _ = training_tables(spark, sf)
     met, _, _ = M.compare_models(tr, te, fm.features, "case_id", M.QUICK_SPECS)
     return met
@@ -82,8 +121,22 @@ _CV_SPECS = (M.ModelSpec("random_forest", "rf", {"numTrees": 8, "minInstancesPer
              M.ModelSpec("gradient_boosting", "gbt", {"maxIter": 8, "stepSize": 0.1, "maxDepth": 4}))
 
 
-@register("cross_validate")
+@register("cross_validate", TRAIN_SQL + f"""
+, fo AS (SELECT *, ntile(5) OVER (ORDER BY case_id) AS fold FROM xy)
+, fit AS (SELECT k.range AS held, {_FIT_SQL} FROM fo, range(1, 6) k WHERE fold <> k.range GROUP BY 1)
+, preds AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS model, fold, label, my + {e} * (x - mx) AS prediction FROM fo JOIN fit ON held = fold"
+                                     for m, e in list(_SLOPES.items())[:2]) + f""")
+, mt AS (SELECT model, fold, {_METRICS_BODY} FROM preds GROUP BY model, fold)
+SELECT model, {', '.join(r(f'avg({c})', f'cv_{c}_mean', 4) for c in ('mae', 'rmse', 'r2'))},
+  {', '.join(r(f'stddev_pop({c})', f'cv_{c}_std', 4) for c in ('mae', 'rmse', 'r2'))}, count(*) AS folds FROM mt GROUP BY model""")
 def q_cv(spark, sf):
+    _, data, _, _, _ = training_tables(spark, sf)
+    summary, _ = M.cross_validate(data, list(ONE), "case_id", ONE_SPECS[:2], k=5)
+    return summary.withColumns({c: F.round(c, 4) for c in summary.columns if c.startswith("cv_")})
+
+
+@register("cross_validate_trees")
+def q_cv_trees(spark, sf):
     fm, data, _, _, _ = training_tables(spark, sf)
     summary, _ = M.cross_validate(data, fm.features, "case_id", _CV_SPECS, k=5)
     return summary
@@ -130,20 +183,35 @@ def q_importance(spark, sf):
     return M.feature_importance(m, fm.features, 20)
 
 
-@register("learning_curve")
+_CURVE_SIZES = (0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 1.0)
+
+
+@register("learning_curve", TRAIN_SQL + f"""
+, hb AS (SELECT *, {_hash_sql('case_id', 'lc')} % 1000 AS b, {_hash_sql('case_id', 'fold')} % 3 AS f FROM xy)
+, sz AS (SELECT unnest([{', '.join(f'{s}::DOUBLE' for s in _CURVE_SIZES)}]) AS size)
+, su AS (SELECT size, k.range AS held, label, x, f FROM hb, sz, range(0, 3) k WHERE b < CAST(round(size * 1000) AS BIGINT))
+, fit AS (SELECT size, held, {_FIT_SQL} FROM su WHERE f <> held GROUP BY 1, 2)
+, mt AS (SELECT size, held, f = held AS cv, avg(abs(label - (my + b * (x - mx)))) AS mae, count(*) AS n
+         FROM su JOIN fit USING (size, held) GROUP BY 1, 2, 3)
+SELECT size, {', '.join(r(f"{fn}(CASE WHEN {cond} THEN {c} END)", f"{m}_{c2}", 4) for m, cond in (('train', 'NOT cv'), ('cv', 'cv'))
+                         for fn, c, c2 in (('avg', 'mae', 'mae_mean'), ('stddev_pop', 'mae', 'mae_std'), ('avg', 'n', 'rows')))}
+FROM mt GROUP BY size""")
 def q_learning(spark, sf):
-    fm, data, _, _, _ = training_tables(spark, sf)
-    return M.learning_curve(data, fm.features, "case_id", M.QUICK_SPECS[0], sizes=(0.2, 0.6, 1.0), k=3)
+    _, data, _, _, _ = training_tables(spark, sf)
+    out = M.learning_curve(data, list(ONE), "case_id", ONE_SPECS[0], sizes=_CURVE_SIZES, k=3)
+    return out.withColumns({c: F.round(c, 4) for c in out.columns if c != "size"})
 
 
-@register("write_model_report")
+@register("write_model_report", ONE_PREDS_SQL + f"""
+SELECT model, n, {r('mae', 'mae', 4)}, {r('rmse', 'rmse', 4)}, {r('r2', 'r2', 4)}, {r('mape', 'mape', 4)},
+       row_number() OVER (ORDER BY mae, model) AS rank, '["office_mean_days"]' AS features FROM mt WHERE model <> 'lasso'""")
 def q_report(spark, sf):
     from ..sources.sinks import write_model_report
-    fm, _, tr, te, _ = training_tables(spark, sf)
-    met, fitted, _ = M.compare_models(tr, te, fm.features, "case_id", M.QUICK_SPECS[:2])
+    _, _, tr, te, _ = training_tables(spark, sf)
+    met, fitted, _ = M.compare_models(tr, te, list(ONE), "case_id", ONE_SPECS[:2])
     best = met.orderBy("rank").first()["model"]
     path = scratch_path(spark, "model-report")
-    write_model_report(fitted[best], met, fm.features, path)
+    write_model_report(fitted[best], met.drop("train_seconds"), ONE, path)
     return spark.read.json(f"{path}/report")
 
 
