@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from .common import append_columns
 
 # Distinct words kept between slices of one worker; beyond it the table starts anew.
-WORDS_KEPT = 400_000
-SLICE_BYTES = 16_000_000
+WORDS_KEPT = 250_000
+SLICE_BYTES = 4_000_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:

@@ -13,7 +13,7 @@ from ..session import cut_lineage
 
 # Text handed to one vectorised step; longer batches are cut at row borders.  A single longer
 # text still goes through whole.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
 
 
 def append_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, DataType]],

@@ -12,6 +12,7 @@ languages by hash bins reaches the driver (its size is fixed by those two number
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,7 @@ BINS = 1 << 15
 ROWS_PER_LANGUAGE = 3000
 CODE_SEED = 7
 AMBIGUOUS_BELOW = 0.6
+SLICE_CHARS = 1_000_000  # a slice's n-grams take about 100 bytes a character
 _ORDERS = 4
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
 _tables: dict[str, np.ndarray] = {}
@@ -72,6 +74,23 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate(bins), np.concatenate(owners), has
 
 
+def pieces(texts: list[str | None]) -> Iterator[tuple[list[str | None], np.ndarray]]:
+    """Groups of texts of ``SLICE_CHARS`` at most, with the number of the text each belongs to.  A longer text
+    comes in several pieces; only the n-grams across their borders differ."""
+    part, of, held = [], [], 0
+    for k, t in enumerate(texts):
+        for a in range(0, max(len(t or ""), 1), SLICE_CHARS):
+            piece = t[a:a + SLICE_CHARS] if t else t
+            if part and held + len(piece or "") > SLICE_CHARS:
+                yield part, np.array(of)
+                part, of, held = [], [], 0
+            part.append(piece)
+            of.append(k)
+            held += len(piece or "")
+    if part:
+        yield part, np.array(of)
+
+
 def codewords(n: int, seed: int = CODE_SEED) -> np.ndarray:
     """n x bits matrix of 0 and 1 with every bit telling languages apart and rows far from each other.
 
@@ -104,12 +123,17 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score in 0 to 1 and the lead over the second language, per text."""
-        bins, owner, has = features(texts)
         n, bits = len(texts), self.code.shape[1]
         if not self.languages:
             return [UNDETERMINED] * n, [0.0] * n, [0.0] * n
-        size = np.maximum(np.bincount(owner, minlength=n), 1)
-        side = np.stack([np.bincount(owner, self.weights[:, b][bins], n) for b in range(bits)], 1) if bits else np.zeros((n, 0))
+        size, side, has = np.zeros(n), np.zeros((n, bits)), np.zeros(n, bool)
+        for part, of in pieces(texts):
+            bins, owner, letters = features(part)
+            size += np.bincount(of, np.bincount(owner, minlength=len(part)), n)
+            for b in range(bits):
+                side[:, b] += np.bincount(of, np.bincount(owner, self.weights[:, b][bins], len(part)), n)
+            has[of[letters]] = True
+        size = np.maximum(size, 1)
         side /= np.sqrt(size)[:, None]  # n-grams of a text overlap: its evidence grows slower than their number
         signs = 2.0 * self.code - 1
         loss = np.stack([(np.logaddexp(0, -signs[k] * side) * self.reliability).sum(1) for k in range(len(signs))], 1)
@@ -138,10 +162,12 @@ def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang",
     def make():
         def work(texts, langs):
             # One row of counts a language and slice, on the slice's last row of that language.
-            bins, owner, _ = features(texts)
             names = sorted(set(langs))
             at = np.array([names.index(x) for x in langs])
-            table = np.bincount(at[owner] * BINS + bins, minlength=len(names) * BINS).reshape(-1, BINS)
+            table = np.zeros((len(names), BINS), np.int64)
+            for part, of in pieces(texts):
+                bins, owner, _ = features(part)
+                table += np.bincount(at[of][owner] * BINS + bins, minlength=len(names) * BINS).reshape(-1, BINS)
             out = [None] * len(texts)
             for k, name in enumerate(names):
                 some = np.flatnonzero(table[k])
@@ -149,7 +175,7 @@ def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang",
             return [out]
         return work
     cell = T.StructType([T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType())])
-    counts = (append_columns(picked, ["text", "lang"], [("cells", T.ArrayType(cell))], make, ["lang"])
+    counts = (append_columns(picked, ["text", "lang"], [("cells", T.ArrayType(cell))], make, ["lang"], SLICE_CHARS)
               .select("lang", F.explode("cells").alias("cell"))
               .groupBy("lang", "cell.bin").agg(F.sum("cell.n").alias("n")).toPandas())  # languages x BINS at most
     names = sorted(r["lang"] for r in totals)
@@ -181,7 +207,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix:
             return [lang, score, [s < AMBIGUOUS_BELOW for s in score]]
         return work
     return append_columns(docs, [text], [(prefix + "pred", T.StringType()), (prefix + "score", T.DoubleType()),
-                                         (prefix + "ambiguous", T.BooleanType())], make)
+                                         (prefix + "ambiguous", T.BooleanType())], make, most=SLICE_CHARS)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

@@ -65,3 +65,15 @@ def test_ambiguous_is_flagged():
     model = L.LanguageModel(["a", "b"], np.array([[0], [1]], np.int8), np.zeros((L.BINS, 1)), np.ones(1))
     lang, score, lead = model.predict(["xyz", None])
     assert lang == ["a", "und"] and score == [0.5, 0.0] and lead == [0.0, 0.0]
+
+
+def test_long_texts_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(L, "SLICE_CHARS", 10)
+    texts = ["abc def ghi jkl mno", None, "", "xy", "z" * 35]
+    got = list(L.pieces(texts))
+    assert all(sum(len(p or "") for p in part) <= 10 for part, _ in got)
+    whole = {}
+    for part, of in got:
+        for p, k in zip(part, of.tolist(), strict=True):
+            whole[k] = whole.get(k, "") + (p or "")
+    assert whole == {k: t or "" for k, t in enumerate(texts)}
