@@ -14,7 +14,7 @@ from ..operators.charts import numeric_hist_grid
 from ..operators.joins import join_back
 from .catalog import r, register, valid
 from .catalog_rows import _FLOORED_SQL, floored_stats
-from .metrics import error_distribution, model_scorecard, regression_metrics, residual_table, train_test_split
+from .metrics import error_distribution, model_scorecard, regression_metrics, residual_points, residual_table, train_test_split
 
 # Numeric columns of the correlation input (one with nulls, one constant).
 CORR_COLS = ("lead_days", "quantity", "amount_n", "discount", "order_total", "submit_month", "submit_day_of_week",
@@ -244,6 +244,13 @@ def q_residual(spark, sf):
     return residual_table(predictions(spark, sf).filter(F.col("model") == "office_mean"))
 
 
+@register("residual_points", PRED_SQL + f"""
+SELECT case_id, {r('label', 'label')}, {r('prediction', 'prediction')}, {r('label - prediction', 'residual')} FROM preds
+WHERE model = 'office_mean' ORDER BY {_hash_sql('case_id')}, case_id LIMIT 3000""")
+def q_residual_points(spark, sf):
+    return residual_points(predictions(spark, sf).filter(F.col("model") == "office_mean"), "case_id", 3000)
+
+
 @register("cumulative_error_curve", PRED_SQL + """
 , e AS (SELECT model, round(ceil(abs(label - prediction) / 0.1) * 0.1, 6) AS error_le, count(*) AS count FROM preds GROUP BY 1, 2)
 SELECT model, error_le, count,

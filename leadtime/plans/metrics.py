@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import split_label
+from ..functions.keys import hash_order, split_label
 from ..operators.charts import histogram
 from ..operators.stats import percentile
 
@@ -53,6 +53,13 @@ def residual_table(preds: DataFrame, label: str = "label", prediction: str = "pr
     return histogram(res, "residual", bins)
 
 
+def residual_points(preds: DataFrame, key: str, n: int = 3000, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """A hash sample of (label, prediction, residual) rows, for the residual and actual-against-predicted plots."""
+    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+    rows = preds.select(key, y.alias("label"), p.alias("prediction"), (y - p).alias("residual"))
+    return rows.withColumn("_h", hash_order(key, "42")).orderBy("_h", key).limit(n).drop("_h")
+
+
 def model_scorecard(metrics: DataFrame, name: str = "model") -> DataFrame:
     """Min-max normalised metrics over the models (higher = better): MAE/RMSE/MAPE inverted,
     R2 direct, +1e-9 in each denominator.  Windows run over the metrics table (one row per model)."""

@@ -220,35 +220,71 @@ def cross_validate_sampled(df: DataFrame, features, key: str, specs, pct: int =
     return cross_validate(hash_sample(df, key, pct), features, key, specs, k)
 
 
-# Search distributions of the reference (forests / boosting).
-FOREST_SPACE = {"numTrees": [100, 200, 300, 500], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4, 5, 10],
-                "featureSubsetStrategy": ["sqrt", "log2", "0.5", "all"]}
-BOOST_SPACE = {"maxIter": [100, 200, 300, 500], "stepSize": [0.01, 0.05, 0.1, 0.2], "maxDepth": [3, 4, 5, 6, 8],
-               "subsamplingRate": [0.6, 0.8, 1.0], "minInstancesPerNode": [1, 5, 10, 20]}
+@dataclass(frozen=True)
+class Ints:
+    """A whole number from ``low`` to ``high``, both included, all equally likely."""
+
+    low: int
+    high: int
+
+
+@dataclass(frozen=True)
+class Floats:
+    """A number between ``low`` and ``high``, all equally likely."""
+
+    low: float
+    high: float
+    as_text: bool = False      # featureSubsetStrategy takes a share as text
+
+
+# Search distributions (forest, randomised forest, boosting, boosted presets) and draws of
+# each.  Unlimited depth and depths over 30 are 30, the deepest tree Spark builds; a minimum number
+# of rows to split and penalties on leaf weights have no counterpart in Spark's trees.
+FOREST_SPACE = {"numTrees": Ints(100, 599), "maxDepth": [30, 10, 20, 30, 30], "minInstancesPerNode": Ints(1, 9),
+                "featureSubsetStrategy": ["sqrt", "log2", "0.5", "0.7", "all"], "bootstrap": [True, False]}
+RANDOMIZED_SPACE = {"numTrees": Ints(100, 599), "maxDepth": [30, 10, 20, 30], "minInstancesPerNode": Ints(1, 9),
+                    "featureSubsetStrategy": ["sqrt", "log2", "0.5", "0.7"]}
+BOOST_SPACE = {"maxIter": Ints(100, 499), "stepSize": Floats(0.01, 0.31), "maxDepth": Ints(3, 7),
+               "subsamplingRate": Floats(0.6, 1.0), "minInstancesPerNode": Ints(1, 19)}
+BOOSTED_SPACE = {"maxIter": Ints(200, 799), "stepSize": Floats(0.01, 0.16), "maxDepth": Ints(3, 9),
+                 "subsamplingRate": Floats(0.6, 1.0), "featureSubsetStrategy": Floats(0.5, 1.0, True),
+                 "minInstancesPerNode": Ints(1, 19)}
+SPACES = {"rf": (FOREST_SPACE, 30), "xrf": (RANDOMIZED_SPACE, 30), "gbt": (BOOST_SPACE, 20)}
+
+
+def _draw(rnd: random.Random, values):
+    if isinstance(values, Ints):
+        return rnd.randint(values.low, values.high)
+    if isinstance(values, Floats):
+        x = rnd.uniform(values.low, values.high)
+        return f"{x:.4f}" if values.as_text else x
+    return rnd.choice(values)
 
 
 def draw_param_maps(learner, space: dict, n: int, seed: int = 42) -> list:
-    """n parameter maps drawn (with a seeded generator) from the value lists of ``space``."""
+    """n parameter maps drawn (with a seeded generator) from the ranges and value lists of ``space``."""
     rnd = random.Random(seed)
     maps = []
     for _ in range(n):
         pm = {}
         for name, values in sorted(space.items()):
             if learner.hasParam(name):
-                pm[learner.getParam(name)] = rnd.choice(values)
+                pm[learner.getParam(name)] = _draw(rnd, values)
         maps.append(pm)
     return maps
 
 
-def random_search(train: DataFrame, features, key: str, spec: ModelSpec, space: dict | None = None, n_draws: int = 30,
+def random_search(train: DataFrame, features, key: str, spec: ModelSpec, space: dict | None = None, n_draws: int | None = None,
                   k: int = 5, seed: int = 42, parallelism: int = 2, subsample_pct: int | None = None):
-    """Randomised search with contiguous-fold CV scored by MAE; best draw refit on the whole of
+    """Randomised search (by default over the learner's usual ranges and number of draws) with contiguous-fold
+    CV scored by MAE; best draw refit on the whole of
     ``train``.  With ``subsample_pct`` the search runs on a hash sample and the refit on all."""
     if spec.kind in ("linear", "ridge", "lasso"):
         # nothing to tune: the reference skips the search and keeps the plain fit
         empty = train.sparkSession.createDataFrame([], "draw int, params string, cv_mae double, cv_mae_std double")
         return empty, build_estimator(spec, features, train).fit(train), {}
-    space = space or (BOOST_SPACE if spec.kind == "gbt" else FOREST_SPACE)
+    usual, draws = SPACES[spec.kind]
+    space, n_draws = space or usual, n_draws or draws
     search_df = hash_sample(train, key, subsample_pct) if subsample_pct else train
     folded = contiguous_folds(search_df, [key], k, "fold").withColumn("fold", F.col("fold") - 1)
     pipe = build_estimator(spec, features, search_df)

@@ -180,3 +180,16 @@ def test_new_years_labels_and_missing_bundle_parts(spark, sf, tmp_path):
     shutil.rmtree(f"{path}/features/fy_model")
     with pytest.raises(Exception):
         load_scoring_bundle(spark, path)
+
+
+def test_search_ranges_are_drawn_within_bounds(spark):
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+    for learner, space in ((RandomForestRegressor(), M.FOREST_SPACE), (RandomForestRegressor(), M.RANDOMIZED_SPACE),
+                           (GBTRegressor(), M.BOOST_SPACE), (GBTRegressor(), M.BOOSTED_SPACE)):
+        maps = M.draw_param_maps(learner, space, 40)
+        assert maps == M.draw_param_maps(learner, space, 40) and len({str(m) for m in maps}) > 30
+        for m in maps:
+            for p, v in m.items():
+                r = space[p.name]
+                assert v in r if isinstance(r, list) else r.low <= float(v) <= r.high
+    assert M.SPACES["rf"][1] == 30 and M.SPACES["gbt"][1] == 20
