@@ -77,20 +77,21 @@ def template_idf(templates=TEMPLATES) -> list[tuple[str, float]]:
 
 
 def score_statements(statements: DataFrame, templates=TEMPLATES, cosine: float = COSINE) -> DataFrame:
-    """Distinct ``statements.statement`` that match: statement, license, score."""
+    """``statements`` (sid, statement) that match a template: sid, license, score.  Terms travel with the
+    short ``sid``, which must tell statements apart, and never with the text."""
     spark = statements.sparkSession
     weights, unseen = template_weights(templates)
     w = F.broadcast(spark.createDataFrame(weights, "template int, license string, term string, weight double"))
     idf = F.broadcast(spark.createDataFrame(template_idf(templates), "term string, idf double"))
-    terms = (statements.select("statement").distinct()
-             .select("statement", F.explode(F.regexp_extract_all(F.lower("statement"), F.lit(TERM), F.lit(0))).alias("term"))
-             .groupBy("statement", "term").agg(F.count("*").alias("f")))
-    norms = (terms.join(idf, "term", "left").groupBy("statement")
+    terms = (statements.select("sid", "statement").distinct()
+             .select("sid", F.explode(F.regexp_extract_all(F.lower("statement"), F.lit(TERM), F.lit(0))).alias("term"))
+             .groupBy("sid", "term").agg(F.count("*").alias("f")))
+    norms = (terms.join(idf, "term", "left").groupBy("sid")
              .agg(F.sqrt(F.sum(F.pow(F.col("f") * F.coalesce("idf", F.lit(unseen)), 2))).alias("norm")))
-    dots = terms.join(w, "term").groupBy("statement", "template", "license").agg(F.sum(F.col("f") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, "statement").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= cosine)
-    best = scored.groupBy("statement").agg(F.min(F.struct((-F.col("score")).alias("m"), F.col("license"))).alias("b"))
-    return best.select("statement", F.col("b.license").alias("license"), (-F.col("b.m")).alias("score"))
+    dots = terms.join(w, "term").groupBy("sid", "template", "license").agg(F.sum(F.col("f") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, "sid").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= cosine)
+    best = scored.groupBy("sid").agg(F.min(F.struct((-F.col("score")).alias("m"), F.col("license"))).alias("b"))
+    return best.select("sid", F.col("b.license").alias("license"), (-F.col("b.m")).alias("score"))
 
 
 def _folder(path: Column) -> Column:
@@ -115,9 +116,10 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", keep
         F.array_distinct(F.concat(said, whole)).alias("statements"),
         F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(31), t).alias("b"), F.length(t).alias("n"), special.alias("s")).alias("key")),
         "license-statements")
-    stated = table.where(F.size("statements") > 0).select("key", F.explode("statements").alias("statement")).distinct()
+    sid = F.struct(F.xxhash64("statement").alias("a"), F.xxhash64(F.lit(37), "statement").alias("b"), F.length("statement").alias("n"))
+    stated = table.where(F.size("statements") > 0).select("key", F.explode("statements").alias("statement")).withColumn("sid", sid)
     scored = score_statements(stated, templates, cosine)
-    own = (stated.join(scored, "statement").groupBy("key")
+    own = (stated.select("key", "sid").distinct().join(scored, "sid").groupBy("key")
            .agg(F.min(F.struct((-F.col("score")).alias("m"), F.col("license"))).alias("b"))
            .select("key", F.col("b.license").alias("own_license"), (-F.col("b.m")).alias("own_score")))
     found = (table.drop("statements").withColumn("folder", F.when(F.col("path").isNotNull(), _folder(F.col("path"))))
