@@ -28,21 +28,23 @@ def requests_from_cases(spark, sf):
         F.col("case_no").cast("string").alias("case_number"))
 
 
-def scoring_setup(spark, sf):
-    """Fit the one-feature linear scorer on the training split; serve statistics fitted on train, with the
-    row-weighted mean over training rows for unknown offices."""
+def scoring_setup(spark, sf, one_feature: bool = False):
+    """Fit a linear scorer (on all features, or on the one that the oracles can follow) on the training
+    split; serve statistics fitted on train, with the row-weighted mean over training rows for
+    unknown offices."""
     from .catalog_ml import ONE, ONE_SPECS, training_tables
     fm, _, tr, te, fmodels = training_tables(spark, sf)
     spec = ONE_SPECS[0]
-    model = M.build_estimator(spec, list(ONE), tr).fit(tr)
+    features = list(ONE) if one_feature else fm.features
+    model = M.build_estimator(spec, features, tr).fit(tr)
     met = regression_metrics(model.transform(te).select(F.lit(spec.name).alias("model"), "label", "prediction")).first()
     seasonal, office_m, fy_m = fmodels
     stats = office_m.tables["office"]
     tr_v, _ = train_test_split(valid(spark, sf), "case_id")
     glob = agg.global_office_defaults(join_back(tr_v, stats, "office", "inner"))
     return dict(model=model, office_stats=stats, global_row=glob, codes=fm.office_codes, rmse=met["rmse"],
-                model_name=spec.name, mae=met["mae"], r2=met["r2"], features=list(ONE),
-                seasonal_model=seasonal, fy_model=fy_m, fills=fm.fills, labels=office_labels(spark, sf))
+                model_name=spec.name, mae=met["mae"], r2=met["r2"], features=features,
+                seasonal_model=seasonal, fy_model=fy_m, fills=fm.fills)
 
 
 def office_labels(spark, sf):
@@ -88,7 +90,7 @@ SELECT {_SCORED},
   is_peak_season FROM sc""")
 def q_score_cases(spark, sf):
     from .score import score_requests
-    scored, _ = score_requests(requests_from_cases(spark, sf), **scoring_setup(spark, sf))
+    scored, _ = score_requests(requests_from_cases(spark, sf), **scoring_setup(spark, sf, True), labels=office_labels(spark, sf))
     return scored.select("case_id", "office_key", "office_label", "office_known", "predicted_days", "lower_bound", "upper_bound",
                          "predicted_months", "category", "category_color", "office_stats.*", "submit_date_iso",
                          "model_name", "model_mae_days", "model_r2", "is_peak_season")
@@ -101,7 +103,7 @@ SELECT case_id, CASE WHEN no_office THEN 'Required field.' END AS err_office,
 def q_quarantine(spark, sf):
     """Requests that scoring refuses, with the reasons."""
     from .score import score_requests
-    _, bad = score_requests(requests_from_cases(spark, sf), **scoring_setup(spark, sf))
+    _, bad = score_requests(requests_from_cases(spark, sf), **scoring_setup(spark, sf, True), labels=office_labels(spark, sf))
     return bad.select("case_id", F.col("errors")["office"].alias("err_office"), F.col("errors")["submit_date"].alias("err_submit_date"),
                       F.col("errors")["case_number"].alias("err_case_number"))
 
@@ -114,7 +116,7 @@ def q_score_stream(spark, sf):
     # requests arrive as several files; the stream picks them up two files per micro-batch
     reqs.repartition(4, "case_id").write.mode("overwrite").parquet(src)
     q = score_stream(spark, src, reqs.schema, out, ckpt, available_now=True,
-                     max_files_per_trigger=2, **scoring_setup(spark, sf))
+                     max_files_per_trigger=2, **scoring_setup(spark, sf, True), labels=office_labels(spark, sf))
     q.awaitTermination()
     return read_scored(spark, out).select("case_id", "office_key", "office_label", "office_known", "predicted_days", "lower_bound",
                                           "upper_bound", "predicted_months", "category")
