@@ -7,8 +7,10 @@ sequences at small edit distance meet again after an edit, so few copied symbols
 
 * Windows of a document start at every ``stride``-th word and reach as far as the longest walk; an
   item is embedded from each start in its first half, so some window meets some start exactly.
-* Bit sampling: each repetition hashes a few sampled steps of one of several walks; samples range over
-  short, middle and long spans, so short items have repetitions too.  ``tests/llm`` measures recall.
+* Bit sampling: each repetition hashes a few sampled steps of one of several walks.
+* Anchors make the search complete, whatever the length of an item and the others of its block: an item that
+  may differ by k edits is cut into k + 1 pieces, one of which every match holds unchanged.  The first
+  ``ANCHOR`` words of each piece are looked up at every word of a document.
 * Candidates (document place, item) are checked exactly: the least edit distance of the whole item
   to any stretch of the document's words near that place.  A leak has 1 - edits / words >= 0.8.
 
@@ -39,6 +41,7 @@ STRIDE = 4
 WALKS = 3
 STEPS = 24
 SAMPLED = 7          # steps per repetition
+ANCHOR = 4           # words of a piece that are looked up
 SPANS = ((14, 3), (24, 2))  # (steps a repetition samples from, repetitions), for each walk
 SEED = 20
 SLICE_CHARS = 1_500_000  # small enough for the processor's caches
@@ -147,11 +150,29 @@ class Plan:
 PAD = np.zeros(STEPS + 1, np.uint64)
 
 
+def most_edits(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    return np.floor((1 - similarity) * sizes + 1e-9).astype(np.int64)
+
+
+def runs(symbols: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Per length, ascending: a key for the run of so many symbols from each place on.  Good until the next."""
+    n = len(symbols)
+    padded = np.concatenate([symbols, np.zeros(ANCHOR, np.uint64)])
+    k = np.full(n, 0x2545F4914F6CDD1D, np.uint64)
+    for j in range(max(lengths, default=0)):
+        k ^= padded[j:j + n]
+        k *= np.uint64(0xD6E8FEB86659FD93)
+        k ^= k >> np.uint64(32)
+        if j + 1 in lengths:
+            yield j + 1, k
+
+
 class Index:
-    """Keys of a block of items, from each start in an item's first half."""
+    """Keys of a block of items: walks from each start in an item's first half, and the anchors of its pieces
+    for matches of ``similarity``."""
 
-    def __init__(self, items: list[np.ndarray], plan: Plan, stride: int):
-        self.items, self.plan, self.stride = items, plan, stride
+    def __init__(self, items: list[np.ndarray], plan: Plan, stride: int, similarity: float = SIMILARITY):
+        self.items, self.plan, self.stride, self.similarity = items, plan, stride, similarity
         sizes = np.array([len(x) for x in items], np.int64)
         begin = np.cumsum(sizes) - sizes
         symbols = np.concatenate([*items, PAD])
@@ -162,6 +183,16 @@ class Index:
         for k, ok in plan.keys(symbols, begin[item] + shift, (begin + sizes)[item]):
             keys.append(k[ok])
             payload.append((item << 32 | shift)[ok])
+        pieces = np.minimum(most_edits(sizes, similarity) + 1, sizes)
+        item = np.repeat(np.arange(len(items)), pieces)
+        j = np.arange(len(item)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        shift = j * sizes[item] // pieces[item]
+        length = np.minimum((j + 1) * sizes[item] // pieces[item] - shift, ANCHOR)
+        self.lengths = np.unique(length).tolist()
+        for m, k in runs(symbols, self.lengths):
+            own = length == m
+            keys.append(k[(begin[item] + shift)[own]])
+            payload.append((item << 32 | shift)[own])
         keys, payload = np.concatenate(keys), np.concatenate(payload)
         order = np.argsort(keys, kind="stable")
         self.keys, self.payload = keys[order], payload[order]
@@ -188,23 +219,33 @@ class Index:
         return out
 
     def candidates(self, symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Rows (word the item would begin at, item), once each."""
+        """Rows (word the item would begin at, item, text), once each."""
         n = len(symbols)
         first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if n else np.zeros(0, np.int64)
         place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
         starts = np.flatnonzero(place % self.stride == 0)
         padded = np.concatenate([symbols, PAD])
         found = []
-        for k, _ in self.plan.keys(padded, starts):
+
+        def look_up(k: np.ndarray, starts: np.ndarray | None, length: int = 1) -> None:
             hit = np.flatnonzero(self.filter[k >> np.uint64(64 - _FILTER_BITS)])
             key = k[hit]
             low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
             many = high - low
             hit, low, many = hit[many > 0], low[many > 0], many[many > 0]
+            start = hit if starts is None else starts[hit]
+            inside = owner[np.minimum(start + length, n) - 1] == owner[start]
+            start, low, many = start[inside], low[inside], many[inside]
             at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
             p = self.payload[at]
-            found.append(np.stack([np.repeat(starts[hit], many) - (p & 0xFFFFFFFF), p >> 32], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            start = np.repeat(start, many)
+            found.append(np.stack([start - (p & 0xFFFFFFFF), p >> 32, owner[start]], 1))
+
+        for k, _ in self.plan.keys(padded, starts):
+            look_up(k, starts)
+        for length, k in runs(symbols, self.lengths):
+            look_up(k, None, length)
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
 def closest(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
@@ -228,7 +269,8 @@ def closest(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
 
 
 def leaks_in(texts: list[str | None], index: Index, similarity: float = SIMILARITY) -> list[list[tuple[int, int, float, int, int]]]:
-    """Per text the leaks (item, edits, similarity, start, end); code points, end exclusive."""
+    """Per text the leaks (item, edits, similarity, start, end); code points, end exclusive.  All are found if
+    ``similarity`` is not below that of the index."""
     h, owner, begin, end = words(texts)
     out: list[list] = [[] for _ in texts]
     best: dict[tuple[int, int], tuple] = {}
@@ -237,23 +279,19 @@ def leaks_in(texts: list[str | None], index: Index, similarity: float = SIMILARI
     found = index.candidates(h, owner)
     if not len(found):
         return out
-    at, item = found[:, 0], found[:, 1]
+    at, item, d = found[:, 0], found[:, 1], found[:, 2]
     n = index.sizes[item]
-    most = np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
-    # The item's words may begin before the window's document or end after it: look at both ends' documents.
-    ends = np.stack([owner[np.clip(at, 0, len(owner) - 1)], owner[np.clip(at + n - 1, 0, len(owner) - 1)]])
-    twice = np.flatnonzero(ends[0] != ends[1])
-    pick = np.concatenate([np.arange(len(at)), twice])
-    d = np.concatenate([ends[0], ends[1][twice]])
-    at, item, n, most = at[pick], item[pick], n[pick], most[pick]
+    most = most_edits(n, similarity)
     lo = np.maximum(bounds[d], at - 2 * most - 1)
     hi = np.minimum(bounds[d + 1], at + n + 2 * most + 1)
+    # Where a match of this candidate can lie.
+    least, last = np.maximum(bounds[d], at - most), np.minimum(bounds[d + 1], at + n + most)
     ok = np.flatnonzero(hi - lo >= n - most)
     ok = ok[index.plausible(h, lo[ok], hi[ok], item[ok], (n - most)[ok])]
-    for d, k, lo, hi, most in zip(*(x[ok].tolist() for x in (d, item, lo, hi, most)), strict=True):
+    for d, k, lo, hi, least, last, most in zip(*(x[ok].tolist() for x in (d, item, lo, hi, least, last, most)), strict=True):
         # A region that an earlier candidate of the same item covered need not be looked at again.
         done = seen.setdefault((d, k), [])
-        if any(x <= lo + most and hi - most <= y for x, y in done):
+        if any(x <= least and last <= y for x, y in done):
             continue
         done.append((lo, hi))
         edits, s, e = closest(index.items[k], h[lo:hi])
@@ -295,7 +333,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: s
     parts = []
     for b, (ids, items) in enumerate(_blocks(benchmark, item_id, item_text)):
         stride = max(1, min(STRIDE, min(map(len, items)) // 4))
-        shipped = docs.sparkSession.sparkContext.broadcast((ids, Index(items, Plan(), stride)))
+        shipped = docs.sparkSession.sparkContext.broadcast((ids, Index(items, Plan(), stride, similarity)))
 
         def make(shipped=shipped):
             ids, index = shipped.value

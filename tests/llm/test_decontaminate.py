@@ -102,3 +102,43 @@ def test_odd_rows_blocks_and_empty_tables(spark, odd_docs, no_docs, monkeypatch)
     assert D.leak_rows(no_docs, bench).count() == 0 and D.leak_rows(docs, bench.limit(0)).count() == 0
     kept = D.without_leaks(odd_docs.unionByName(extra), bench)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
+
+
+def test_every_length_is_found_whatever_its_block():
+    rng = random.Random(21)
+    lengths = [n for n in (5, 6, 7, 8, 9, 10, 11, 14, 15, 19, 20, 24, 30, 45, 60) for _ in range(40)]
+    items = [" ".join(rng.choices(VOCAB, k=n)) for n in lengths]
+    hashes = [D.words([t])[0] for t in items]
+    wanted, found = {}, {}
+    for low in (0, 16):                                     # a block with short items, and one without
+        own = [k for k, n in enumerate(lengths) if n >= low]
+        stride = max(1, min(D.STRIDE, min(lengths[k] for k in own) // 4))       # as find_leaks takes it
+        index = D.Index([hashes[k] for k in own], D.Plan(), stride)
+        for share in (0.0, 0.2):
+            texts = [" ".join(rng.choices(VOCAB, k=rng.randrange(70)) + edited(rng, items[k].split(), int(share * lengths[k] + 1e-9))
+                              + rng.choices(VOCAB, k=rng.randrange(70))) for k in own]
+            for k, text, rows in zip(own, texts, D.leaks_in(texts, index), strict=True):
+                edits = edit_distance_within(tokens(items[k]), tokens(text))
+                if edits <= int(0.2 * lengths[k] + 1e-9):
+                    at = (low, lengths[k], share)
+                    wanted[at] = wanted.get(at, 0) + 1
+                    found[at] = found.get(at, 0) + any((own[r[0]], r[1]) == (k, edits) for r in rows)
+    assert found == wanted and all(n == 40 for n in wanted.values()), {k: (found[k], n) for k, n in wanted.items() if found[k] < n}
+
+
+def test_item_that_outlasts_a_text_on_both_sides():
+    item = "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10"
+    for stride in (1, 4):
+        index = D.Index([D.words([item])[0]], D.Plan(), stride)
+        rows = D.leaks_in(["some other words", "b2 c3 d4 e5 f6 g7 h8 i9", "more words here"], index)
+        assert [[(r[0], r[1]) for r in x] for x in rows] == [[], [(0, 2)], []]
+
+
+def test_match_at_the_end_is_not_taken_for_one_seen_before():
+    item = "a b c d e f g h i j".split()
+    index = D.Index([D.words([" ".join(item)])[0]], D.Plan(), 4)
+    rng = random.Random(4)
+    for _ in range(400):
+        text = rng.choices(item, k=rng.randrange(6)) + item[:rng.randrange(10)] + rng.choices(item, k=rng.randrange(5)) + item[rng.randrange(3):]
+        want = edit_distance_within(item, text)
+        assert [r[1] for r in D.leaks_in([" ".join(text)], index)[0]] == ([want] if want <= 2 else [])
