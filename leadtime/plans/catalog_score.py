@@ -82,18 +82,27 @@ _SCORED = """case_id, office_key, office_label, office_known, round_even(p, 1) A
   CASE WHEN p < office_mean_days - 0.5 * office_std_days THEN 'Fast' WHEN p > office_mean_days + 0.5 * office_std_days THEN 'Slow' ELSE 'Normal' END AS category"""
 
 
-@register("score_cases", _scoring_sql() + f"""
+def _score_cases(spark, sf, one_feature):
+    from .score import score_requests
+    scored, _ = score_requests(requests_from_cases(spark, sf), **scoring_setup(spark, sf, one_feature), labels=office_labels(spark, sf))
+    return scored.select("case_id", "office_key", "office_label", "office_known", "predicted_days", "lower_bound", "upper_bound",
+                         "predicted_months", "category", "category_color", "office_stats.*", "submit_date_iso",
+                         "model_name", "model_mae_days", "model_r2", "is_peak_season")
+
+
+@register("score_cases")
+def q_score_cases(spark, sf):
+    return _score_cases(spark, sf, False)
+
+
+@register("score_cases_one", _scoring_sql() + f"""
 SELECT {_SCORED},
   CASE WHEN p < office_mean_days - 0.5 * office_std_days THEN 'green' WHEN p > office_mean_days + 0.5 * office_std_days THEN 'red' ELSE 'orange' END AS category_color,
   {', '.join(f"CAST(trunc({c}) AS INTEGER) AS {n}" if k is None else f"round_even({c} * {k}, 1) AS {n}" for c, n, k in _STAT_NAMES)},
   strftime(d, '%Y-%m-%d') AS submit_date_iso, 'linear' AS model_name, round_even(mae, 1) AS model_mae_days, round_even(r2, 4) AS model_r2,
   is_peak_season FROM sc""")
-def q_score_cases(spark, sf):
-    from .score import score_requests
-    scored, _ = score_requests(requests_from_cases(spark, sf), **scoring_setup(spark, sf, True), labels=office_labels(spark, sf))
-    return scored.select("case_id", "office_key", "office_label", "office_known", "predicted_days", "lower_bound", "upper_bound",
-                         "predicted_months", "category", "category_color", "office_stats.*", "submit_date_iso",
-                         "model_name", "model_mae_days", "model_r2", "is_peak_season")
+def q_score_cases_one(spark, sf):
+    return _score_cases(spark, sf, True)
 
 
 @register("score_quarantine", _scoring_sql() + """
@@ -108,15 +117,24 @@ def q_quarantine(spark, sf):
                       F.col("errors")["case_number"].alias("err_case_number"))
 
 
-@register("score_stream", _scoring_sql() + f"\nSELECT {_SCORED} FROM sc")
-def q_score_stream(spark, sf):
+def _score_stream(spark, sf, one_feature):
     from ..streaming import read_scored, score_stream
     src, out, ckpt = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
     reqs = requests_from_cases(spark, sf)
     # requests arrive as several files; the stream picks them up two files per micro-batch
     reqs.repartition(4, "case_id").write.mode("overwrite").parquet(src)
     q = score_stream(spark, src, reqs.schema, out, ckpt, available_now=True,
-                     max_files_per_trigger=2, **scoring_setup(spark, sf, True), labels=office_labels(spark, sf))
+                     max_files_per_trigger=2, **scoring_setup(spark, sf, one_feature), labels=office_labels(spark, sf))
     q.awaitTermination()
     return read_scored(spark, out).select("case_id", "office_key", "office_label", "office_known", "predicted_days", "lower_bound",
                                           "upper_bound", "predicted_months", "category")
+
+
+@register("score_stream")
+def q_score_stream(spark, sf):
+    return _score_stream(spark, sf, False)
+
+
+@register("score_stream_one", _scoring_sql() + f"\nSELECT {_SCORED} FROM sc")
+def q_score_stream_one(spark, sf):
+    return _score_stream(spark, sf, True)

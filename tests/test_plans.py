@@ -193,3 +193,61 @@ def test_search_ranges_are_drawn_within_bounds(spark):
                 r = space[p.name]
                 assert v in r if isinstance(r, list) else r.low <= float(v) <= r.high
     assert M.SPACES["rf"][1] == 30 and M.SPACES["gbt"][1] == 20
+
+
+def test_registered_scoring_and_stream_serve_all_features(spark, sf):
+    import __spark_entry__ as E
+    qs = E.queries()
+    b = {r.case_id: r for r in qs["score_cases"](spark, sf).collect()}
+    s = {r.case_id: r for r in qs["score_stream"](spark, sf).collect()}
+    one = {r.case_id: r for r in qs["score_cases_one"](spark, sf).collect()}
+    assert b and set(b) == set(s) == set(one)
+    for k, r in s.items():
+        assert all(getattr(r, c) == getattr(b[k], c) for c in ("office_key", "office_label", "office_known"))
+        assert all(abs(getattr(r, c) - getattr(b[k], c)) <= 0.11 for c in ("predicted_days", "lower_bound", "upper_bound"))
+    by_office = {}
+    for k in b:
+        by_office.setdefault(b[k].office_key, []).append(k)
+    several = [v for v in by_office.values() if len(v) > 2]
+    # One feature gives each office one prediction; with all of them dates and case numbers count too.
+    assert several and all(len({one[k].predicted_days for k in v}) == 1 for v in several)
+    assert all(len({b[k].predicted_days for k in v}) > 1 for v in several)
+
+
+def test_registered_fits_and_report_use_all_features(spark, sf):
+    import json
+
+    import numpy as np
+
+    import __spark_entry__ as E
+    from leadtime.plans.catalog_ml import training_tables
+    qs, oracle = E.queries(), E.oracle_sql()
+    fm, _, tr, te, _ = training_tables(spark, sf)
+    (x, y), (tx, ty) = ((d[list(fm.features)].to_numpy(), d["label"].to_numpy()) for d in (tr.toPandas(), te.toPandas()))
+    mean, std = x.mean(0), x.std(0, ddof=1)
+    std[std == 0] = 1
+    z, tz, at = (x - mean) / std, (tx - mean) / std, y.mean()
+    slopes = {"fit_linear": np.linalg.lstsq(z, y - at, rcond=1e-9)[0],
+              "fit_ridge": np.linalg.solve(z.T @ z + np.eye(z.shape[1]), z.T @ (y - at))}
+    for key, w in slopes.items():
+        got = qs[key](spark, sf).first()
+        assert got.n == len(ty) and abs(got.mae - abs(ty - at - tz @ w).mean()) < 0.01 * got.mae
+        one = qs[f"{key}_one"](spark, sf).first()
+        assert (got.mae, got.rmse) != (one.mae, one.rmse)
+    report = qs["write_model_report"](spark, sf).collect()
+    assert {r.model for r in report} == {"linear", "ridge"}
+    assert all(json.loads(r.features) == list(fm.features) and len(fm.features) == len(M.FEATURES) for r in report)
+    for key in (*slopes, "fit_lasso", "compare_models", "cross_validate", "learning_curve", "write_model_report", "score_cases", "score_stream"):
+        assert key not in oracle and f"{key}_one" in oracle
+
+
+def test_registered_curve_folds_and_comparison_cover_all_learners(spark, sf):
+    import __spark_entry__ as E
+    qs = E.queries()
+    names = {"linear", "ridge", "lasso", "random_forest", "randomized_forest", "gradient_boosting"}
+    assert {r.model for r in qs["compare_models"](spark, sf).collect()} == names
+    cv = qs["cross_validate"](spark, sf).collect()
+    assert {r.model for r in cv} == names and all(r.folds == 5 for r in cv)
+    curve = {r["size"]: r for r in qs["learning_curve"](spark, sf).collect()}
+    one = {r["size"]: r for r in qs["learning_curve_one"](spark, sf).collect()}
+    assert set(curve) == set(one) and len(curve) == 8 and all(curve[k].train_mae_mean != one[k].train_mae_mean for k in one)
