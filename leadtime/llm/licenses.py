@@ -7,6 +7,10 @@ DataFrame operations throughout.
 * Terms are runs of ASCII letters and digits, inner dots and hyphens included; weights are term
   frequency times ln((1 + N) / (1 + df)) + 1 over the N templates.  A statement's licence is the template
   of the greatest cosine, if that is at least ``COSINE``; of equals the first by name.
+* Statements without a licence, and paragraphs of several lines with a licence word, are held against
+  ``HEADERS`` (file headers, SPDX lines, openings of licence texts): the best run of as many terms as
+  the template has counts, so that a header inside a longer text is found.  Runs start at every eighth
+  of the template's length.
 * A file's own licence is that of its best statement.  A file without one takes that of the nearest
   directory above it (its own first) that holds a licence file with a licence; of several licence files
   in a directory the first path counts.
@@ -50,9 +54,40 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+_GNU = "under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+_SPDX = {"AGPL-3.0": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"), "Apache-2.0": ("Apache-2.0",), "BSD-3-Clause": ("BSD-3-Clause",),
+         "CC-BY-4.0": ("CC-BY-4.0",), "CC-BY-NC-4.0": ("CC-BY-NC-4.0",), "CC-BY-SA-4.0": ("CC-BY-SA-4.0",), "CC0-1.0": ("CC0-1.0",),
+         "GPL-2.0": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"), "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"),
+         "LGPL-3.0": ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"), "MIT": ("MIT",), "MPL-2.0": ("MPL-2.0",)}
+# Usual file headers, SPDX lines and openings of licence texts.
+HEADERS = (
+    *((name, f"SPDX-License-Identifier: {x}") for name, ids in _SPDX.items() for x in ids),
+    ("AGPL-3.0", _GNU.format("Affero General Public License", 3)),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+                     "conditions are met"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+    ("GPL-2.0", _GNU.format("General Public License", 2)),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", _GNU.format("General Public License", 3)),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License", 3)),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+            '(the "Software"), to deal in the Software without restriction'),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+                "with this file, You can obtain one at"),
+)
 TRIGGER = r"(?i)licen[cs]e|copyright|rights reserved|public domain|permission is hereby|redistribution and use|released under"
 SENTENCE_END = r"[.!?]\s+|\n"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+PARAGRAPH_END = r"\n[ \t\r]*\n"
 LICENSE_FILE = r"(?i)^(?:licen[cs]e|copying|unlicense|notice)(?:[._-][^/]*)?$"
 
 
@@ -94,12 +129,45 @@ def score_statements(statements: DataFrame, templates=TEMPLATES, cosine: float =
     return best.select("sid", F.col("b.license").alias("license"), (-F.col("b.m")).alias("score"))
 
 
+def score_runs(statements: DataFrame, templates=HEADERS, cosine: float = COSINE) -> DataFrame:
+    """``statements`` (sid, statement) of which some run of as many terms as a template has matches it: sid,
+    license, score of the best run.  A shorter statement is one run."""
+    spark = statements.sparkSession
+    weights, unseen = template_weights(templates)
+    idf = dict(template_idf(templates))
+    sizes = [len(re.findall(TERM, text.lower())) for _, text in templates]
+    w = F.broadcast(spark.createDataFrame([(k, t, x, (x / idf[t]) ** 2) for k, _, t, x in weights],
+                                          "template int, term string, weight double, share double"))
+    about = F.broadcast(spark.createDataFrame([(k, name, m, max(1, m // 8)) for k, ((name, _), m) in enumerate(zip(templates, sizes, strict=True))],
+                                              "template int, license string, size int, step int"))
+    idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
+    terms = (statements.select("sid", "statement").distinct()
+             .select("sid", F.regexp_extract_all(F.lower("statement"), F.lit(TERM), F.lit(0)).alias("terms"))
+             .select("sid", F.size("terms").alias("n"), F.posexplode("terms").alias("pos", "term")))
+    # No run has a greater cosine than the root of the template's weight that the whole statement shares.
+    near = (terms.select("sid", "term").distinct().join(w, "term").groupBy("sid", "template").agg(F.sum("share").alias("share"))
+            .where(F.col("share") >= cosine * cosine - 1e-9).select("sid", "template").join(about, "template"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - F.col("size") + 1) / F.col("step"))).cast("int")
+    last = F.least(F.floor(F.col("pos") / F.col("step")),
+                   F.greatest(F.lit(0), F.ceil((F.col("n") - F.col("size")) / F.col("step")))).cast("int")
+    placed = terms.join(near, "sid").withColumn("a", first).withColumn("b", last).where("a <= b")
+    counted = (placed.select("sid", "template", "license", "term", F.explode(F.sequence("a", "b")).alias("run"))
+               .groupBy("sid", "template", "license", "run", "term").agg(F.count("*").alias("f"))
+               .join(w.select("template", "term", "weight"), ["template", "term"], "left").join(idfs, "term", "left"))
+    scored = (counted.groupBy("sid", "template", "license", "run")
+              .agg(F.sum(F.col("f") * F.coalesce("weight", F.lit(0.0))).alias("dot"),
+                   F.sqrt(F.sum(F.pow(F.col("f") * F.coalesce("idf", F.lit(unseen)), 2))).alias("norm"))
+              .withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= cosine))
+    best = scored.groupBy("sid").agg(F.min(F.struct((-F.col("score")).alias("m"), F.col("license"))).alias("b"))
+    return best.select("sid", F.col("b.license").alias("license"), (-F.col("b.m")).alias("score"))
+
+
 def _folder(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"^(.*)/[^/]*$", 1), "/+$", "")
 
 
 def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", keep: list[str] | None = None,
-                  templates=TEMPLATES, cosine: float = COSINE) -> DataFrame:
+                  templates=TEMPLATES, cosine: float = COSINE, headers=HEADERS) -> DataFrame:
     """``files`` (columns ``keep``, by default all but the text) with ``own_license``, ``own_score``, ``license`` and
     ``inherited_from`` (the directory, null if the licence is the file's own or there is none)."""
     new = {path, "own_license", "own_score", "license", "inherited_from"}
@@ -111,18 +179,25 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", keep
     none = F.array().cast("array<string>")
     said = F.when(t.rlike(TRIGGER), parts).otherwise(none)
     whole = F.when(special & (t != ""), F.array(t)).otherwise(none)
+    lines = F.filter(F.split(t, PARAGRAPH_END, -1), lambda s: s.rlike(TRIGGER) & s.contains("\n"))
+    paragraphs = F.when(t.rlike(TRIGGER) & ~special, lines).otherwise(none)
     table = cut_lineage(files.select(
         *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], p.alias("path"), special.alias("special"),
-        F.array_distinct(F.concat(said, whole)).alias("statements"),
+        F.array_distinct(F.concat(said, whole)).alias("statements"), F.array_distinct(paragraphs).alias("paragraphs"),
         F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(31), t).alias("b"), F.length(t).alias("n"), special.alias("s")).alias("key")),
         "license-statements")
     sid = F.struct(F.xxhash64("statement").alias("a"), F.xxhash64(F.lit(37), "statement").alias("b"), F.length("statement").alias("n"))
     stated = table.where(F.size("statements") > 0).select("key", F.explode("statements").alias("statement")).withColumn("sid", sid)
     scored = score_statements(stated, templates, cosine)
+    if headers:
+        lines = table.where(F.size("paragraphs") > 0).select("key", F.explode("paragraphs").alias("statement")).withColumn("sid", sid)
+        left = stated.join(scored, "sid", "left_anti").unionByName(lines)
+        scored = scored.unionByName(score_runs(left, headers, cosine))
+        stated = stated.unionByName(lines)
     own = (stated.select("key", "sid").distinct().join(scored, "sid").groupBy("key")
            .agg(F.min(F.struct((-F.col("score")).alias("m"), F.col("license"))).alias("b"))
            .select("key", F.col("b.license").alias("own_license"), (-F.col("b.m")).alias("own_score")))
-    found = (table.drop("statements").withColumn("folder", F.when(F.col("path").isNotNull(), _folder(F.col("path"))))
+    found = (table.drop("statements", "paragraphs").withColumn("folder", F.when(F.col("path").isNotNull(), _folder(F.col("path"))))
              .join(own, "key", "left"))
     holders = (found.where("special and own_license is not null and folder is not null").groupBy("folder")
                .agg(F.min(F.struct("path", "own_license")).alias("b"))

@@ -37,3 +37,36 @@ def test_similar_licences_are_told_apart(spark):
     got = run(spark, [("a", "Licensed under CC BY-SA 4.0."), ("b", "This work is licensed under the GNU General Public License, version 2."),
                       ("c", "a long sentence that only mentions a license once among many many other words of no meaning at all")])
     assert got["a"][0] == "CC-BY-SA-4.0" and got["b"][0] == "GPL-2.0" and got["c"][0] is None
+
+
+APACHE = """/*
+ * Copyright 2020 The Authors
+ *
+ * Licensed to the Foundation under one or more contributor license agreements; see the
+ * NOTICE file.  The Foundation licenses this file to You under the Apache License, Version
+ * 2.0 (the "License"); you may not use this file except in compliance with the
+ * License.  You may obtain a copy of the License at the address below.
+ */"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {}General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version."""
+
+
+def test_usual_headers_and_licence_files(spark):
+    want = {
+        "mit.c": ("// SPDX-License-Identifier: MIT", "MIT"), "apache.py": ("# SPDX-License-Identifier: Apache-2.0\nx = 1", "Apache-2.0"),
+        "gpl.h": ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"), "zlib.c": ("// SPDX-License-Identifier: Zlib", None),
+        "one.txt": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License', "Apache-2.0"),
+        "wrapped.java": (APACHE + "\n\nclass X {}", "Apache-2.0"),
+        "g3.py": (GPL.format("", 3) + "\n\nimport os", "GPL-3.0"), "g2.py": (GPL.format("", 2) + "\n\nimport os", "GPL-2.0"),
+        "l3.py": (GPL.format("Lesser ", 3), "LGPL-3.0"), "a3.py": (GPL.format("Affero ", 3), "AGPL-3.0"),
+        "p/LICENSE": ("                                 Apache License\n                           Version 2.0, January 2004\n"
+                      "                        http://www.apache.org/licenses/\n\n" + "some clause of many words that goes on and on " * 200, "Apache-2.0"),
+        "q/COPYING": ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + "everyone is permitted to copy and distribute " * 300, "GPL-3.0"),
+        "prose.txt": ("A driving license is\nneeded for this, and a copyright notice\nmay be put on the door.", None),
+    }
+    got = run(spark, [(k, t) for k, (t, _) in want.items()])
+    assert {k: v[0] for k, v in got.items()} == {k: x for k, (_, x) in want.items()}
+    before = run(spark, [(k, t) for k, (t, _) in want.items()], headers=())
+    assert [k for k in want if before[k][0] != want[k][1]]
