@@ -144,13 +144,17 @@ def score_runs(statements: DataFrame, templates=HEADERS, cosine: float = COSINE)
     terms = (statements.select("sid", "statement").distinct()
              .select("sid", F.regexp_extract_all(F.lower("statement"), F.lit(TERM), F.lit(0)).alias("terms"))
              .select("sid", F.size("terms").alias("n"), F.posexplode("terms").alias("pos", "term")))
-    # No run has a greater cosine than the root of the template's weight that the whole statement shares.
-    near = (terms.select("sid", "term").distinct().join(w, "term").groupBy("sid", "template").agg(F.sum("share").alias("share"))
-            .where(F.col("share") >= cosine * cosine - 1e-9).select("sid", "template").join(about, "template"))
-    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - F.col("size") + 1) / F.col("step"))).cast("int")
-    last = F.least(F.floor(F.col("pos") / F.col("step")),
-                   F.greatest(F.lit(0), F.ceil((F.col("n") - F.col("size")) / F.col("step")))).cast("int")
-    placed = terms.join(near, "sid").withColumn("a", first).withColumn("b", last).where("a <= b")
+    # A run's cosine is at most the root of the template's weight that it shares.  A run that starts in block b of
+    # ``size`` terms lies in blocks b and b + 1; only where these share enough are runs made.
+    block = F.floor(F.col("pos") / F.col("size")).cast("int")
+    near = (terms.select("sid", "pos", "term").join(w.select("template", "term", "share"), "term").join(about.select("template", "size"), "template")
+            .select("sid", "template", "share", F.explode(F.array(block, block - 1)).alias("block")).where("block >= 0")
+            .groupBy("sid", "template", "block").agg(F.sum("share").alias("share"))
+            .where(F.col("share") >= cosine * cosine - 1e-9).select("sid", "template", "block").join(about, "template"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - F.col("size") + 1) / F.col("step")), F.ceil(F.col("block") * F.col("size") / F.col("step")))
+    last = F.least(F.floor(F.col("pos") / F.col("step")), F.ceil((F.col("block") + 1) * F.col("size") / F.col("step")) - 1,
+                   F.greatest(F.lit(0), F.ceil((F.col("n") - F.col("size")) / F.col("step"))))
+    placed = terms.join(near, "sid").withColumn("a", first.cast("int")).withColumn("b", last.cast("int")).where("a <= b")
     counted = (placed.select("sid", "template", "license", "term", F.explode(F.sequence("a", "b")).alias("run"))
                .groupBy("sid", "template", "license", "run", "term").agg(F.count("*").alias("f"))
                .join(w.select("template", "term", "weight"), ["template", "term"], "left").join(idfs, "term", "left"))
