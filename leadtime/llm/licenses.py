@@ -143,7 +143,9 @@ def score_runs(statements: DataFrame, templates=HEADERS, cosine: float = COSINE)
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     terms = (statements.select("sid", "statement").distinct()
              .select("sid", F.regexp_extract_all(F.lower("statement"), F.lit(TERM), F.lit(0)).alias("terms"))
-             .select("sid", F.size("terms").alias("n"), F.posexplode("terms").alias("pos", "term")))
+             .select("sid", F.posexplode("terms").alias("pos", "term")))
+    # Not as size("terms"), which would carry the statement along with each of its terms.
+    lengths = terms.groupBy("sid").agg((F.max("pos") + 1).alias("n"))
     # A run's cosine is at most the root of the template's weight that it shares.  A run that starts in block b of
     # ``size`` terms lies in blocks b and b + 1; only where these share enough are runs made.
     block = F.floor(F.col("pos") / F.col("size")).cast("int")
@@ -154,7 +156,7 @@ def score_runs(statements: DataFrame, templates=HEADERS, cosine: float = COSINE)
     first = F.greatest(F.lit(0), F.ceil((F.col("pos") - F.col("size") + 1) / F.col("step")), F.ceil(F.col("block") * F.col("size") / F.col("step")))
     last = F.least(F.floor(F.col("pos") / F.col("step")), F.ceil((F.col("block") + 1) * F.col("size") / F.col("step")) - 1,
                    F.greatest(F.lit(0), F.ceil((F.col("n") - F.col("size")) / F.col("step"))))
-    placed = terms.join(near, "sid").withColumn("a", first.cast("int")).withColumn("b", last.cast("int")).where("a <= b")
+    placed = terms.join(near.join(lengths, "sid"), "sid").withColumn("a", first.cast("int")).withColumn("b", last.cast("int")).where("a <= b")
     counted = (placed.select("sid", "template", "license", "term", F.explode(F.sequence("a", "b")).alias("run"))
                .groupBy("sid", "template", "license", "run", "term").agg(F.count("*").alias("f"))
                .join(w.select("template", "term", "weight"), ["template", "term"], "left").join(idfs, "term", "left"))
