@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, bpe, decontaminate, langid, licenses, personal, secrets, simhash, vectors, warc
+from . import (attribution, bpe, chat, collocations, decontaminate, langid, licenses, personal, secrets, simhash, vectors,
+               warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,3 +111,15 @@ def op10(spark, sf_dir):
     """Tokens of every line of every document, each document encoded as a whole."""
     return attribution.line_table(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_RANKS),
                                   public_tokenizers.PATTERN)
+
+
+@register("op12_chat_formatting", chat.oracle_sql())
+def op12(spark, sf_dir):
+    """Every conversation formatted with a loss mask, and read back, as digests."""
+    return chat.chat_digest(table(spark, sf_dir, "conversations"))
+
+
+@register("op13_collocations", collocations.oracle_sql())
+def op13(spark, sf_dir):
+    """The 2000 strongest phrases of two and three words in each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
