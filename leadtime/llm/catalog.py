@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (attribution, bpe, chat, collocations, decontaminate, langid, licenses, personal, secrets, simhash, vectors,
+from . import (attribution, bpe, chat, collocations, decontaminate, langid, licenses, personal, secrets, simhash, trie, vectors,
                warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,12 @@ def op10(spark, sf_dir):
                                   public_tokenizers.PATTERN)
 
 
+@register("op11_conversation_trie", trie.oracle_sql())
+def op11(spark, sf_dir):
+    """Prefix trie of the rebuilt conversations, with the totals of every subtree."""
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 @register("op12_chat_formatting", chat.oracle_sql())
 def op12(spark, sf_dir):
     """Every conversation formatted with a loss mask, and read back, as digests."""
