@@ -204,14 +204,16 @@ def subtree_totals(tree: DataFrame, values: list[str]) -> DataFrame:
     """
     active = cut_lineage(tree.select("key", "parent", *values), "active")
     totals, chains = [], []
-    while not active.isEmpty():
+    while True:
         kids = active.where("parent IS NOT NULL").groupBy(F.col("parent").alias("key")).agg(F.count("*").alias("kids"), F.min("key").alias("child"))
         seen = cut_lineage(active.join(kids, "key", "left").withColumn("kids", F.coalesce("kids", F.lit(0))), "children")
-        unary = seen.where("kids = 1")
-        if unary.isEmpty():
+        shape = seen.agg(F.count_if(F.col("kids") == 1).alias("unary"), F.count_if(F.col("kids") > 1).alias("inner"), F.count("*").alias("n")).first()
+        if not shape["n"]:
+            break
+        if not shape["unary"]:
             rest, gained = seen.where("kids <> 1"), []
         else:
-            chain = cut_lineage(_compress(unary.select("key", "parent", "child", *values), values), "chain")
+            chain = _compress(seen.where("kids = 1").select("key", "parent", "child", *values), values)
             chains.append(chain)
             tops = chain.where("top").select(F.col("end").alias("key"), F.col("parent").alias("_up"), F.lit(True).alias("_moved"))
             rest = cut_lineage(seen.where("kids <> 1").join(tops, "key", "left").withColumn(
@@ -219,6 +221,8 @@ def subtree_totals(tree: DataFrame, values: list[str]) -> DataFrame:
             gained = [chain.where("top").select(F.col("parent").alias("key"), *values)]
         leaves = rest.where("kids = 0")
         totals.append(leaves.select("key", *values))
+        if not shape["inner"]:
+            break
         gained.append(leaves.select(F.col("parent").alias("key"), *values))
         sums = reduce(DataFrame.unionByName, gained).where("key IS NOT NULL")
         active = cut_lineage(_add(rest.where("kids > 1").select("key", "parent", *values), sums, values), "active")
