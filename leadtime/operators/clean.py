@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from ..roles import present
+from .quantiles import column_quantiles
 from .stats import median, one_pass, percentile, scalars
 
 # Columns that leak the outcome (known only after processing) or the target.
@@ -33,7 +34,9 @@ def drop_missing_target(df: DataFrame, target: str = "lead_days") -> DataFrame:
 
 def iqr_bounds(df: DataFrame, col: str, k: float = 3.0, exact: bool = True) -> DataFrame:
     """One-row table: q1, q3, lower, upper (linear-interpolated quartiles)."""
-    q = one_pass(df, {"_q": percentile(F.col(col).cast("double"), F.array(F.lit(0.25), F.lit(0.75)), exact)})
+    x = F.col(col).cast("double")
+    q = column_quantiles(df, {"_q": x}, (0.25, 0.75)) if exact else \
+        one_pass(df, {"_q": percentile(x, F.array(F.lit(0.25), F.lit(0.75)), exact)})
     q = q.select(F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     return q.select("q1", "q3", (F.col("q1") - F.lit(k) * iqr).alias("lower"), (F.col("q3") + F.lit(k) * iqr).alias("upper"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .stats import nan_to_null, numeric_columns, percentile, string_columns
 
 UNKNOWN = "Unknown"
@@ -70,8 +71,12 @@ def numeric_fill_values(df: DataFrame, cols=None, exclude=(), exact: bool = True
     need = [c for c in cols if nulls.get(c, 0) > 0]
     if not need:
         return {}
-    row = df.agg(*[percentile(F.col(c).cast("double"), 0.5, exact).alias(c) for c in need]).first()
-    return {c: row[c] for c in need if row[c] is not None}
+    if exact:
+        found = quantiles(df, {c: F.col(c) for c in need}, (0.5,)).collect()  # one row a column
+        medians = {row["column"]: row["q"][0] for row in found}
+    else:
+        medians = df.agg(*[percentile(F.col(c).cast("double"), 0.5, exact).alias(c) for c in need]).first().asDict()
+    return {c: medians[c] for c in need if medians.get(c) is not None}
 
 
 def impute_numeric_median(df: DataFrame, cols=None, exclude=("lead_days",), exact: bool = True) -> DataFrame:

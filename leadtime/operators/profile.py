@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from .quantiles import quantiles
 from .stats import nan_to_null, numeric_columns, percentile, salt_count, string_columns
 
 
@@ -28,21 +29,22 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 
 
 def numeric_describe(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
-    """count, mean, std, min, 25%, 50%, 75%, max per numeric column (one pass, one row each); NaN is missing."""
+    """count, mean, std, min, 25%, 50%, 75%, max per numeric column; NaN is missing.  One pass for the moments;
+    quartiles are exact and distributed (``exact=False``: sketches in that one pass)."""
     cols = cols or numeric_columns(df)
     df = nan_to_null(df)
+    probs = (0.25, 0.5, 0.75)
     structs = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), exact)
+        q = [] if exact else [percentile(x, F.array(*[F.lit(p) for p in probs]), exact).alias("q")]
         structs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-                                F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("q"),
-                                F.max(x).alias("max")))
-    wide = df.agg(F.array(*structs).alias("a"))
-    return (wide.select(F.explode("a").alias("s"))
-                .select("s.column", "s.count", "s.mean", "s.std", "s.min",
-                        F.col("s.q")[0].alias("p25"), F.col("s.q")[1].alias("p50"), F.col("s.q")[2].alias("p75"),
-                        "s.max"))
+                                F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *q, F.max(x).alias("max")))
+    long = df.agg(F.array(*structs).alias("a")).select(F.inline("a"))
+    if exact:  # one row a column on both sides
+        long = long.join(quantiles(df, {c: F.col(c) for c in cols}, probs).select("column", "q"), "column", "left")
+    return long.select("column", "count", "mean", "std", "min",
+                       *[F.col("q")[i].alias(name) for i, name in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def value_counts_top_k(df: DataFrame, cols, k: int = 5, salt_buckets: int | None = None) -> DataFrame:
@@ -144,6 +146,15 @@ def quality_report(df: DataFrame, target: str = "lead_days") -> DataFrame:
     return out
 
 
+def profile_raw_columns(df: DataFrame, order_key: str, n: int = 1000) -> DataFrame:
+    """The columns of a raw file in order: (position from 1, column, type, filled), ``filled`` the values that are there in
+    the first n rows by order key."""
+    head = df.orderBy(order_key).limit(n)
+    one = [F.struct(F.lit(i).alias("position"), F.lit(name).alias("column"), F.lit(kind).alias("type"),
+                    F.count(F.col(f"`{name}`")).alias("filled")) for i, (name, kind) in enumerate(df.dtypes, 1)]
+    return head.agg(F.array(*one).alias("a")).select(F.inline("a"))
+
+
 def profile_raw_file(df: DataFrame, order_key: str, status: str = "status", n: int = 1000) -> DataFrame:
     """First n rows by order key: row count, column count and value counts of ``status``."""
     head = df.orderBy(order_key).limit(n)

@@ -228,6 +228,17 @@ def q_profile_raw(spark, sf):
     return P.profile_raw_file(cases(spark, sf), "case_id", "status", 1000)
 
 
+RAW_COLUMNS = ("case_id", "office", "status", "priority", "submit_ts", "status_ts")
+
+
+@register("profile_raw_columns", ", head AS (SELECT * FROM cases ORDER BY case_id LIMIT 1000)\n" + " UNION ALL ".join(
+    f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS column, {f"CAST(count({c}) AS BIGINT)"} AS filled FROM head"
+    for i, c in enumerate(RAW_COLUMNS, 1)), ctes=("cases",))
+def q_profile_columns(spark, sf):
+    # the name of a type differs between engines
+    return P.profile_raw_columns(cases(spark, sf).select(*RAW_COLUMNS), "case_id", 1000).drop("type")
+
+
 # Oracle for the sf0.01 data: counts before filling, 'Unknown' for text, medians for numbers,
 # employer (1,500 values) and city (25) -> sorted codes, state (5 + 'Unknown') and naics (5) -> one-hot.
 _PETITIONS_PROCESS_SQL = """

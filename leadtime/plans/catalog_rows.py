@@ -108,10 +108,10 @@ def q_case_number(spark, sf):
 @register("outliers_iqr", """
 , b AS (SELECT quantile_cont(CAST(lead_days AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(lead_days AS DOUBLE), 0.75) AS q3 FROM valid)
 SELECT case_id, lead_days FROM valid, b
-WHERE lead_days >= q1 - 1.5 * (q3 - q1) AND lead_days <= q3 + 1.5 * (q3 - q1)""")
+WHERE lead_days >= q1 - 0.5 * (q3 - q1) AND lead_days <= q3 + 0.5 * (q3 - q1)""")
 def q_outliers_iqr(spark, sf):
-    # k = 1.5 here (the reference default 3 keeps every row of the driver data)
-    return C.outliers_iqr(valid(spark, sf), "lead_days", 1.5).select("case_id", "lead_days")
+    # k = 0.5 here: 3 (the default) and 1.5 keep every row of the driver data
+    return C.outliers_iqr(valid(spark, sf), "lead_days", 0.5).select("case_id", "lead_days")
 
 
 @register("outliers_zscore", """
@@ -126,10 +126,10 @@ def q_outliers_z(spark, sf):
 SELECT (SELECT count(*) FROM valid) AS rows_before, count(*) AS rows_after,
        (SELECT count(*) FROM valid) - count(*) AS removed,
        round(((SELECT count(*) FROM valid) - count(*)) * 100.0 / (SELECT count(*) FROM valid), 6) AS removed_pct
-FROM valid, b WHERE lead_days >= q1 - 1.5 * (q3 - q1) AND lead_days <= q3 + 1.5 * (q3 - q1)""")
+FROM valid, b WHERE lead_days >= q1 - 0.5 * (q3 - q1) AND lead_days <= q3 + 0.5 * (q3 - q1)""")
 def q_outlier_report(spark, sf):
     v = valid(spark, sf)
-    return C.outlier_report(v, C.outliers_iqr(v, "lead_days", 1.5))
+    return C.outlier_report(v, C.outliers_iqr(v, "lead_days", 0.5))
 
 
 @register("drop_columns_present", """

@@ -6,11 +6,15 @@ aggregation; nothing is collected per model.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_order, split_label
 from ..operators.charts import histogram
+from ..operators.quantiles import quantiles
 from ..operators.stats import percentile
 
 
@@ -39,10 +43,18 @@ def error_distribution(preds: DataFrame, label: str = "label", prediction: str =
                        tolerances=(7, 14, 30), exact: bool = True) -> DataFrame:
     """P50/P75/P90 of |error| and % of rows within each tolerance (days)."""
     ae = F.abs(F.col(label).cast("double") - F.col(prediction).cast("double"))
-    q = percentile(ae, F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)), exact)
-    aggs = [q.alias("_q")] + [(F.avg((ae <= F.lit(float(t))).cast("double")) * F.lit(100.0)).alias(f"within_{t}d_pct")
-                              for t in tolerances]
-    return preds.groupBy(*group).agg(*aggs).select(
+    probs = (0.5, 0.75, 0.9)
+    within = [(F.avg((ae <= F.lit(float(t))).cast("double")) * F.lit(100.0)).alias(f"within_{t}d_pct")
+              for t in tolerances]
+    if exact:
+        q = quantiles(preds, {"error": ae}, probs, group)
+        names = [f"_group{i}" for i in range(len(group))]
+        both = preds.groupBy(*group).agg(*within).join(
+            q.select(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], F.col("q").alias("_q")),
+            reduce(and_, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names, strict=True)]), "left")
+    else:
+        both = preds.groupBy(*group).agg(percentile(ae, F.array(*[F.lit(p) for p in probs]), exact).alias("_q"), *within)
+    return both.select(
         *group, F.col("_q")[0].alias("abs_err_p50"), F.col("_q")[1].alias("abs_err_p75"), F.col("_q")[2].alias("abs_err_p90"),
         *[f"within_{t}d_pct" for t in tolerances])
 
