@@ -1,10 +1,8 @@
 """Correlation and regression aggregates (§2.6).
 
-Pearson correlation is pairwise-complete (rows where both values exist) and written as
-covar_pop / (stddev_pop * stddev_pop) over those rows with ``try_divide``: a constant column
-gives null instead of raising under ANSI mode.  All pairs needed by one table are fused into a
-single aggregation; the only driver round-trip is the ranking of columns by |corr|, a table
-with one row per numeric column.
+Pearson correlation is pairwise-complete (rows where both values exist); a constant side gives null.  All
+pairs of a table come from one pass of blocked cross-products (``moments``); the only driver round-trips are
+the column means and the ranking of columns by |corr|, one row per numeric column.
 """
 
 from __future__ import annotations
@@ -13,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_order
+from .moments import correlation, pair_moments
 from .stats import numeric_columns
 
 # Engineered features whose correlation with the target is reported.
@@ -23,32 +22,17 @@ ENGINEERED_FEATURES = (
 )
 
 
-def pearson(x: str, y: str) -> Column:
-    """Aggregate expression: pairwise-complete Pearson r of two columns (null if either is constant)."""
-    a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    both = a.isNotNull() & b.isNotNull()
-    a2, b2 = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_pop(a2, b2), F.stddev_pop(a2) * F.stddev_pop(b2))
-
-
 def pair_corr(df: DataFrame, pairs) -> DataFrame:
-    """(row, col, corr) for each (x, y) column pair.
-
-    Every input row emits one (pair, x, y) row per pair through a generator, rows missing
-    either value are dropped (pairwise-complete), and one grouped aggregation with three
-    codegen'd statistics per group computes all pairs; the partial aggregate of each task holds
-    one small buffer per pair, whatever the number of rows.
-    """
+    """(row, col, corr) for each (x, y) column pair, null where no two rows have both values."""
     pairs = list(pairs)
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"),
-                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])))
-    long = long.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    got = long.groupBy("row", "col").agg(
-        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
-    # pairs with no complete row at all still appear, with a null correlation
-    dom = df.sparkSession.createDataFrame(pairs, "row string, col string")
-    return F.broadcast(dom).join(got, ["row", "col"], "left")
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "row string, col string, corr double")
+    return pair_moments(df, pairs).select("row", "col", correlation().alias("corr"))
+
+
+def by_strength() -> list[Column]:
+    """Strongest first; what differs only by rounding goes by name."""
+    return [F.desc(F.round(F.abs("corr"), 12)), F.asc("feature")]
 
 
 def corr_with(df: DataFrame, target: str, cols=None) -> DataFrame:
@@ -60,12 +44,12 @@ def corr_with(df: DataFrame, target: str, cols=None) -> DataFrame:
 def corr_with_target_abs(df: DataFrame, target: str = "lead_days", top_n: int = 15) -> DataFrame:
     """|corr| with the target, target itself included (= 1), top-N by value (ties by name)."""
     c = corr_with(df, target).filter(F.col("corr").isNotNull())
-    return c.select("feature", F.abs("corr").alias("abs_corr")).orderBy(F.desc("abs_corr"), "feature").limit(top_n)
+    return c.orderBy(*by_strength()).select("feature", F.abs("corr").alias("abs_corr")).limit(top_n)
 
 
 def corr_with_target_signed(df: DataFrame, target: str = "lead_days", top_n: int = 15) -> DataFrame:
     c = corr_with(df, target).filter((F.col("feature") != target) & F.col("corr").isNotNull())
-    return c.orderBy(F.desc(F.abs("corr")), "feature").limit(top_n)
+    return c.orderBy(*by_strength()).limit(top_n)
 
 
 def top_features(df: DataFrame, target: str, n: int, include_target: bool = False) -> list[str]:
@@ -73,7 +57,7 @@ def top_features(df: DataFrame, target: str, n: int, include_target: bool = Fals
     c = corr_with(df, target).filter(F.col("corr").isNotNull())
     if not include_target:
         c = c.filter(F.col("feature") != target)
-    rows = c.orderBy(F.desc(F.abs("corr")), "feature").limit(n).collect()
+    rows = c.orderBy(*by_strength()).limit(n).collect()
     return [r["feature"] for r in rows]
 
 
@@ -82,14 +66,12 @@ def corr_matrix(df: DataFrame, target: str = "lead_days", max_cols: int | None =
     correlated with the target, after dropping zero-variance columns.  Long form (row, col, corr)."""
     cols = top_features(df, target, max_cols or len(df.columns), include_target=True)
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i)]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "row string, col string, corr double")
     return pair_corr(df, pairs)
 
 
 def corr_engineered(df: DataFrame, target: str = "lead_days", features=ENGINEERED_FEATURES) -> DataFrame:
     cols = [c for c in features if c in df.columns]
-    return corr_with(df, target, cols).orderBy(F.desc(F.abs("corr")), "feature")
+    return corr_with(df, target, cols).orderBy(*by_strength())
 
 
 def hash_sample(df: DataFrame, key: str, n: int, salt: str = "42") -> DataFrame:

@@ -132,6 +132,20 @@ def q_kde(spark, sf):
     return out.withColumn("density", F.round("density", 12))
 
 
+@register("kde_curve_by_group", f"""
+, st AS (SELECT region, min(amount) AS lo, max(amount) AS hi, count(*) AS n, stddev_samp(amount) * power(CAST(count(*) AS DOUBLE), -0.2) AS h
+         FROM (SELECT region, CAST(amount AS DOUBLE) AS amount FROM valid WHERE amount IS NOT NULL AND region IS NOT NULL) GROUP BY region HAVING max(amount) > min(amount))
+, p AS (SELECT region, (CAST(amount AS DOUBLE) - lo) * 1023.0 / (hi - lo) AS spot FROM valid JOIN st USING (region) WHERE amount IS NOT NULL)
+, q AS (SELECT region, CAST(least(floor(spot), 1022) AS INTEGER) AS b, spot - least(floor(spot), 1022) AS f FROM p)
+, w AS (SELECT region, b, sum(w) AS w FROM (SELECT region, b, sum(1 - f) AS w FROM q GROUP BY ALL UNION ALL SELECT region, b + 1, sum(f) FROM q GROUP BY ALL) GROUP BY ALL)
+, g AS (SELECT range AS i FROM range(0, 200))
+, c AS (SELECT region, i, lo + (hi - lo) * i / 199.0 AS x, n, h, sum(w * exp(-0.5 * power((lo + (hi - lo) * i / 199.0 - (lo + (hi - lo) * b / 1023.0)) / h, 2))) AS s
+        FROM w JOIN st USING (region), g GROUP BY region, i, lo, hi, n, h)
+SELECT region, CAST(i AS INTEGER) AS i, {r('x', 'x')}, round(s / (n * h * sqrt(2 * pi())), 12) AS density FROM c""")
+def q_kde_group(spark, sf):
+    return CH.kde_binned(valid(spark, sf), "amount", 200, 1024, "region").withColumn("density", F.round("density", 12))
+
+
 @register("box_stats", f"""
 , q AS (SELECT quantile_cont({D}, 0.25) AS q1, quantile_cont({D}, 0.5) AS med, quantile_cont({D}, 0.75) AS q3 FROM valid)
 SELECT {r('q1', 'q1')}, {r('med', 'median')}, {r('q3', 'q3')},
