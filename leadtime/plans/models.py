@@ -11,13 +11,12 @@ from __future__ import annotations
 import json
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +24,11 @@ from ..functions.keys import hash_bucket
 from ..operators.clean import LEAKAGE_COLS, drop_columns_present
 from ..operators.encode import apply_codes, label_codes
 from ..operators.impute import numeric_fill_values
-from ..operators.stats import nan_to_null, numeric_columns
+from ..operators.stats import nan_to_null, numeric_columns, ntile_from_index, with_row_index
 from ..operators.windows import contiguous_folds
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
+from .extra_trees import DEEPEST, ExtraTreesRegressor
+from .linear import LINEAR_KINDS, fold_metrics, size_metrics
 from .metrics import regression_metrics
 
 # Training features in order (office is label-coded; the rest come from the
@@ -88,7 +89,7 @@ REFERENCE_SPECS = (
     ModelSpec("ridge", "ridge", {"alpha": 1.0}, True),
     ModelSpec("lasso", "lasso", {"alpha": 0.5, "maxIter": 5000}, True),
     ModelSpec("random_forest", "rf", {"numTrees": 200, "minInstancesPerNode": 5, "maxDepth": 30}),
-    ModelSpec("randomized_forest", "xrf", {"numTrees": 200, "minInstancesPerNode": 5, "maxDepth": 30}),
+    ModelSpec("randomized_forest", "xrf", {"numTrees": 200, "minInstancesPerNode": 5, "maxDepth": DEEPEST}),
     ModelSpec("gradient_boosting", "gbt", {"maxIter": 200, "stepSize": 0.1, "maxDepth": 5}),
 )
 # Boosted presets standing in for the gradient-boosting libraries' settings.
@@ -133,13 +134,15 @@ def build_estimator(spec: ModelSpec, features, train: DataFrame | None = None, s
     elif spec.kind == "lasso":
         learner = LinearRegression(featuresCol=fcol, regParam=p.get("alpha", 0.5), elasticNetParam=1.0,
                                    standardization=False, maxIter=p.get("maxIter", 100))
-    elif spec.kind in ("rf", "xrf"):
-        rf = dict(numTrees=p.get("numTrees", 100), minInstancesPerNode=p.get("minInstancesPerNode", 1),
-                  maxDepth=p.get("maxDepth", 10), seed=seed, featuresCol=fcol, maxBins=p.get("maxBins", 64))
-        if spec.kind == "rf":
-            learner = RandomForestRegressor(featureSubsetStrategy="all", bootstrap=True, **rf)
-        else:   # nearest Spark learner to extremely randomised trees: no bootstrap, random feature subsets
-            learner = RandomForestRegressor(featureSubsetStrategy="onethird", bootstrap=False, **rf)
+    elif spec.kind == "rf":
+        learner = RandomForestRegressor(featureSubsetStrategy=p.get("featureSubsetStrategy", "all"), bootstrap=True,
+                                        numTrees=p.get("numTrees", 100), minInstancesPerNode=p.get("minInstancesPerNode", 1),
+                                        maxDepth=p.get("maxDepth", 10), seed=seed, featuresCol=fcol, maxBins=p.get("maxBins", 64))
+    elif spec.kind == "xrf":
+        learner = ExtraTreesRegressor(featureSubsetStrategy=p.get("featureSubsetStrategy", "all"),
+                                      numTrees=p.get("numTrees", 100), minInstancesPerNode=p.get("minInstancesPerNode", 1),
+                                      minInstancesToSplit=p.get("minInstancesToSplit", 2),
+                                      maxDepth=p.get("maxDepth", DEEPEST), seed=seed, featuresCol=fcol)
     elif spec.kind == "gbt":
         learner = GBTRegressor(featuresCol=fcol, maxIter=p.get("maxIter", 100), stepSize=p.get("stepSize", 0.1),
                                maxDepth=p.get("maxDepth", 5), subsamplingRate=p.get("subsamplingRate", 1.0),
@@ -186,16 +189,21 @@ def cross_validate(df: DataFrame, features, key: str, specs, k: int = 5, order_k
                    fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
     """k contiguous folds (ntile order of ``order_key``); per spec and fold: fit on the other
     folds, score the held-out fold.  Returns per-model mean/std(pop) of MAE, RMSE, R2 over folds,
-    and the per-fold metrics."""
+    and the per-fold metrics.  Linear learners of all folds take two passes together (``linear``);
+    other learners are fitted fold by fold."""
     folded = df if fold_col in df.columns else contiguous_folds(df, [order_key or key], k, fold_col)
+    flat = [s for s in specs if s.kind in LINEAR_KINDS]
+    tables = [fold_metrics(folded, features, flat, F.col(fold_col), range(1, k + 1))] if flat else []
     preds = []
-    for spec in specs:
+    for spec in [s for s in specs if s.kind not in LINEAR_KINDS]:
         for f in range(1, k + 1):
             tr = folded.filter(F.col(fold_col) != f)
             te = folded.filter(F.col(fold_col) == f)
             m = build_estimator(spec, features, tr).fit(tr)
             preds.append(_pred_rows(m, te, spec.name, key, f))
-    per_fold = regression_metrics(_union(preds), group=("model", "fold"))
+    if preds:
+        tables.append(regression_metrics(_union(preds), group=("model", "fold")))
+    per_fold = _union(tables)
     summary = per_fold.groupBy("model").agg(
         *[F.avg(c).alias(f"cv_{c}_mean") for c in ("mae", "rmse", "r2")],
         *[F.stddev_pop(c).alias(f"cv_{c}_std") for c in ("mae", "rmse", "r2")],
@@ -238,12 +246,12 @@ class Floats:
 
 
 # Search distributions (forest, randomised forest, boosting, boosted presets) and draws of
-# each.  Unlimited depth and depths over 30 are 30, the deepest tree Spark builds; a minimum number
-# of rows to split and penalties on leaf weights have no counterpart in Spark's trees.
+# each.  For Spark's own forests unlimited depth and depths over 30 are 30, the deepest they build; a minimum
+# number of rows to split and penalties on leaf weights have no counterpart in them.
 FOREST_SPACE = {"numTrees": Ints(100, 599), "maxDepth": [30, 10, 20, 30, 30], "minInstancesPerNode": Ints(1, 9),
                 "featureSubsetStrategy": ["sqrt", "log2", "0.5", "0.7", "all"], "bootstrap": [True, False]}
-RANDOMIZED_SPACE = {"numTrees": Ints(100, 599), "maxDepth": [30, 10, 20, 30], "minInstancesPerNode": Ints(1, 9),
-                    "featureSubsetStrategy": ["sqrt", "log2", "0.5", "0.7"]}
+RANDOMIZED_SPACE = {"numTrees": Ints(100, 599), "maxDepth": [DEEPEST, 10, 20, 30], "minInstancesPerNode": Ints(1, 9),
+                    "minInstancesToSplit": Ints(2, 19), "featureSubsetStrategy": ["sqrt", "log2", "0.5", "0.7"]}
 BOOST_SPACE = {"maxIter": Ints(100, 499), "stepSize": Floats(0.01, 0.31), "maxDepth": Ints(3, 7),
                "subsamplingRate": Floats(0.6, 1.0), "minInstancesPerNode": Ints(1, 19)}
 BOOSTED_SPACE = {"maxIter": Ints(200, 799), "stepSize": Floats(0.01, 0.16), "maxDepth": Ints(3, 9),
@@ -275,10 +283,16 @@ def draw_param_maps(learner, space: dict, n: int, seed: int = 42) -> list:
 
 
 def random_search(train: DataFrame, features, key: str, spec: ModelSpec, space: dict | None = None, n_draws: int | None = None,
-                  k: int = 5, seed: int = 42, parallelism: int = 2, subsample_pct: int | None = None):
+                  k: int = 5, seed: int = 42, parallelism: int = 2, subsample_pct: int | None = None,
+                  state: str | None = None):
     """Randomised search (by default over the learner's usual ranges and number of draws) with contiguous-fold
     CV scored by MAE; best draw refit on the whole of
-    ``train``.  With ``subsample_pct`` the search runs on a hash sample and the refit on all."""
+    ``train``.  With ``subsample_pct`` the search runs on a hash sample and the refit on all.
+
+    Every (draw, fold) is fitted once, and its metrics are written as a row of their own under the folder ``state``
+    (by default a scratch folder).  A search that is started again with the same folder and arguments goes on
+    with what is missing; a folder of another search is an error.
+    """
     if spec.kind in ("linear", "ridge", "lasso"):
         # nothing to tune: the reference skips the search and keeps the plain fit
         empty = train.sparkSession.createDataFrame([], "draw int, params string, cv_mae double, cv_mae_std double")
@@ -286,36 +300,66 @@ def random_search(train: DataFrame, features, key: str, spec: ModelSpec, space:
     usual, draws = SPACES[spec.kind]
     space, n_draws = space or usual, n_draws or draws
     search_df = hash_sample(train, key, subsample_pct) if subsample_pct else train
-    folded = contiguous_folds(search_df, [key], k, "fold").withColumn("fold", F.col("fold") - 1)
+    folded = cut_lineage(contiguous_folds(search_df, [key], k, "fold"), "folds")
     pipe = build_estimator(spec, features, search_df)
-    learner = pipe.getStages()[-1]
-    maps = draw_param_maps(learner, space, n_draws, seed)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, numFolds=k, foldCol="fold",
-                        evaluator=RegressionEvaluator(metricName="mae"), parallelism=parallelism, seed=seed)
-    cvm = cv.fit(folded)
-    rows = [(i, json.dumps({p.name: v for p, v in m.items()}), float(cvm.avgMetrics[i]), float(cvm.stdMetrics[i]))
-            for i, m in enumerate(maps)]
-    res = train.sparkSession.createDataFrame(rows, "draw int, params string, cv_mae double, cv_mae_std double")
-    best_i = min(range(len(maps)), key=lambda i: cvm.avgMetrics[i])
-    best = pipe.copy(maps[best_i]).fit(train) if subsample_pct else cvm.bestModel
-    return res, best, maps[best_i]
+    maps = draw_param_maps(pipe.getStages()[-1], space, n_draws, seed)
+    named = [json.dumps({p.name: v for p, v in sorted(m.items(), key=lambda x: x[0].name)}) for m in maps]
+    spark, state = train.sparkSession, state or scratch_path(train.sparkSession, "search")
+
+    def run(draw: int, fold: int) -> None:
+        model = pipe.copy(maps[draw]).fit(folded.where(F.col("fold") != fold))
+        preds = _pred_rows(model, folded.where(F.col("fold") == fold), spec.name, key)
+        row = regression_metrics(preds).select(F.lit(draw).alias("draw"), F.lit(fold).alias("fold"), F.lit(named[draw]).alias("params"),
+                                               "n", "mae", "rmse", "r2", "mape")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{state}/{_run_name(draw, fold)}")
+
+    runs = [(d, f) for d in range(len(maps)) for f in range(1, k + 1)]
+    done = _finished_runs(spark, state)
+    with ThreadPoolExecutor(parallelism) as pool:
+        list(pool.map(lambda r: run(*r), [r for r in runs if _run_name(*r) not in done]))
+    rows = spark.read.parquet(*[f"{state}/{_run_name(*r)}" for r in runs])
+    found = rows.groupBy("draw", "params").agg(
+        F.avg("mae").alias("cv_mae"), F.stddev_pop("mae").alias("cv_mae_std"), F.avg("rmse").alias("cv_rmse"), F.avg("r2").alias("cv_r2"),
+        F.count("*").alias("folds"))
+    scores = {r["draw"]: r for r in found.collect()}   # one row a draw
+    if len(scores) != len(maps) or any(scores[i]["params"] != named[i] for i in scores):
+        raise ValueError(f"{state} holds the runs of another search")
+    best_i = min(scores, key=lambda i: (scores[i]["cv_mae"], i))
+    return found, pipe.copy(maps[best_i]).fit(train), maps[best_i]
+
+
+def _run_name(draw: int, fold: int) -> str:
+    return f"draw-{draw}-fold-{fold}"
+
+
+def _finished_runs(spark: SparkSession, state: str) -> set[str]:
+    """Names of the runs below ``state`` that were written to their end."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(state)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return set()
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return {n for n in names if fs.exists(hadoop.Path(f"{state}/{n}/_SUCCESS"))}
 
 
 def stacking(train: DataFrame, test: DataFrame, features, key: str, base_specs, k: int = 3, alpha: float = 10.0):
     """Out-of-fold predictions of the base learners (k contiguous folds) train a standardised
-    ridge meta-learner; bases are refit on all of train for the test predictions."""
-    folded = contiguous_folds(train, [key], k, "fold")
-    oof = None
+    ridge meta-learner; bases are refit on all of train for the test predictions.
+
+    Out-of-fold predictions are one long table (row position, label, model, prediction), pivoted by position,
+    so rows that share a key stay apart and nothing is joined.
+    """
+    placed = cut_lineage(_folds_by_position(train, key, k), "folds")
+    parts = []
     for spec in base_specs:
-        parts = []
         for f in range(1, k + 1):
-            tr, te = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
+            tr, te = placed.filter(F.col("fold") != f), placed.filter(F.col("fold") == f)
             m = build_estimator(spec, features, tr).fit(tr)
-            parts.append(m.transform(te).select(key, F.col("prediction").alias(f"p_{spec.name}")))
-        col = _union(parts)
-        oof = col if oof is None else oof.join(col, key)
-    meta_in = oof.join(train.select(key, "label"), key)
+            parts.append(m.transform(te).select("position", "label", F.lit(spec.name).alias("model"), "prediction"))
     meta_cols = [f"p_{s.name}" for s in base_specs]
+    meta_in = cut_lineage(_union(parts).groupBy("position", "label").agg(
+        *[F.max(F.when(F.col("model") == s.name, F.col("prediction"))).alias(c) for s, c in zip(base_specs, meta_cols, strict=True)]), "stack")
     meta_spec = ModelSpec("stack_meta", "ridge", {"alpha": alpha}, True)
     meta = build_estimator(meta_spec, meta_cols, meta_in).fit(meta_in)
     test_in = test.select(key, "label", *features)
@@ -326,6 +370,13 @@ def stacking(train: DataFrame, test: DataFrame, features, key: str, base_specs,
     return regression_metrics(preds), preds
 
 
+def _folds_by_position(df: DataFrame, key: str, k: int) -> DataFrame:
+    """``df`` with its row position in the order of ``key`` and the contiguous fold of the position."""
+    idx = with_row_index(df, [key], "position")
+    n = idx.select(F.count(F.lit(1)).alias("n")).scalar()
+    return idx.withColumn("fold", ntile_from_index(F.col("position"), n, k))
+
+
 def feature_importance(model: PipelineModel, features, top_n: int = 20) -> DataFrame:
     """Tree importances, or |coefficient| for linear learners; top-N by value."""
     learner = model.stages[-1]
@@ -340,9 +391,12 @@ def feature_importance(model: PipelineModel, features, top_n: int = 20) -> DataF
 
 def learning_curve(df: DataFrame, features, key: str, spec: ModelSpec, sizes=(0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 1.0),
                    k: int = 3) -> DataFrame:
-    """Train vs CV MAE (mean, std over k hash folds) on nested hash-prefix samples."""
+    """Train vs CV MAE (mean, std over k hash folds) on nested hash-prefix samples.  A linear learner takes two
+    passes for all sizes and folds (``linear``); others are fitted for each."""
     base = df.withColumn("_b", hash_bucket(key, 1000, "lc")).withColumn("_f", hash_bucket(key, k, "fold"))
     base = cut_lineage(base)
+    if spec.kind in LINEAR_KINDS:
+        return _linear_curve(base, features, spec, sorted(sizes), k)
     rows = []
     for s in sizes:
         sub = base.filter(F.col("_b") < F.lit(int(round(s * 1000))))
@@ -359,3 +413,14 @@ def learning_curve(df: DataFrame, features, key: str, spec: ModelSpec, sizes=(0.
                                                                     F.stddev_pop("mae").alias("mae_std"),
                                                                     F.avg("n").alias("rows"))
                .orderBy("size"))
+
+
+def _linear_curve(base: DataFrame, features, spec: ModelSpec, sizes, k: int) -> DataFrame:
+    step = F.lit(len(sizes))
+    for i in reversed(range(len(sizes))):
+        step = F.when(F.col("_b") < F.lit(int(round(sizes[i] * 1000))), F.lit(i)).otherwise(step)
+    per = size_metrics(base, features, spec, step, len(sizes), F.col("_f"), k)
+    names = F.array(*[F.lit(float(s)) for s in sizes])
+    return (per.withColumn("model", F.when(F.col("cv"), "cv").otherwise("train"))
+            .groupBy(F.get(names, F.col("step")).alias("size")).pivot("model", ["train", "cv"])
+            .agg(F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"), F.avg("n").alias("rows")).orderBy("size"))
