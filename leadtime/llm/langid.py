@@ -231,6 +231,10 @@ def language_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` without the documents whose language cannot be told (no letter, or no text)."""
+    """``docs`` without the documents whose language cannot be told (no letter, or no text).
+
+    A model without languages tells none; then documents with a letter stay as well.
+    """
     found = identify(docs, model, text, "language of the text: ")
-    return found.where(F.col("`language of the text: pred`") != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
+    told = (F.col("`language of the text: pred`") != UNDETERMINED) | F.col(f"`{text}`").rlike(r"\p{L}")
+    return found.where(told).select(*[F.col(f"`{c}`") for c in docs.columns])

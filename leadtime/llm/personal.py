@@ -112,10 +112,15 @@ def candidates(docs: DataFrame, text: str, seeds: str, out: str) -> DataFrame:
     df = df.withColumn(parts, _pieces(t, CANDIDATE, F.col(f"`{found}`")))
     m, p = F.col(f"`{found}`"), F.col(f"`{parts}`")
     placed = _placed(m, p, lambda s, e, v: F.struct((s - 1).alias("start"), (e - 1).alias("end"), v.alias("match")))
-    context = F.transform(p, lambda c: F.struct(_tail(c).alias("before"), _head(c).alias("after")))
+    # The context is the text around the word, matches before and after it included: two words before it lie in
+    # the last two matches and the pieces after them, as every match is one word.
+    ends = F.transform(p, lambda c: F.struct(F.right(c, F.lit(80)).alias("last"), F.left(c, F.lit(80)).alias("first")))
+    near = lambda a, i, name: F.coalesce(F.get(a, i)[name], F.lit(""))
+    words = F.transform(m, lambda c: F.struct(F.right(c, F.lit(80)).alias("last"), F.left(c, F.lit(80)).alias("first")))
     with_context = F.transform(placed, lambda x, i: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"),
-        F.get(context, i)["before"].alias("before"), F.get(context, i + 1)["after"].alias("after")))
+        F.concat(near(words, i - 2, "last"), near(ends, i - 1, "last"), near(words, i - 1, "last"), near(ends, i, "last")).alias("before"),
+        F.concat(near(ends, i + 1, "first"), near(words, i + 1, "first")).alias("after")))
     # Punctuation around a word is not part of it.
     lead = lambda x: F.length(F.regexp_extract(x["match"], r"^[\s\"'(\[<{,;:=]*", 0))
     trail = lambda x: F.length(F.regexp_extract(x["match"], r"[\"')\]>},;:.!?]*$", 0))
@@ -124,7 +129,9 @@ def candidates(docs: DataFrame, text: str, seeds: str, out: str) -> DataFrame:
         a, b = lead(x), trail(x)
         n = F.greatest(F.length(x["match"]) - a - b, F.lit(0))
         return F.struct((x["start"] + a).alias("start"), (x["start"] + a + n).alias("end"),
-                        F.substr(x["match"], a + 1, n).alias("value"), x["before"].alias("before"), x["after"].alias("after"))
+                        F.substr(x["match"], a + 1, n).alias("value"),
+                        _tail(F.concat(x["before"], F.left(x["match"], a))).alias("before"),
+                        _head(F.concat(F.right(x["match"], F.length(x["match"]) - a - n), x["after"])).alias("after"))
     seed = F.col(f"`{seeds}`")
     likely = lambda x: ((F.length(x["value"]) >= MIN_CHARS) & x["value"].rlike("@|[0-9][^0-9]*[0-9]")
                         & ~F.exists(seed, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))

@@ -37,6 +37,7 @@ _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[\n ]*")
 _TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
 _LANG = re.compile(r"<html\b[^<>]*?\slang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 _LINK = re.compile(r"<a\s[^<>]*?href\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s\"'<>]+))", re.I)
 
 
@@ -106,7 +107,8 @@ def derivatives(rows: DataFrame, response: str = "response", keep: list[str] | N
             title = " ".join(entities.unescape(m[1]).split()) if m else None
             m = _LANG.search(page)
             lang = m[1] if m else None
-            links = list(dict.fromkeys(entities.unescape(a or b or c) for a, b, c in _LINK.findall(page)))
+            # Control characters are no part of a link: a line end would start another field.
+            links = list(dict.fromkeys(_CONTROL.sub("", entities.unescape(a or b or c)) for a, b, c in _LINK.findall(page)))
             shared = [("WARC-Target-URI", r["target"]), ("WARC-Date", r["date"]), ("WARC-Refers-To", source),
                       ("WARC-Source-Payload-Digest", r["payload_digest"])]
             fields = [*[f"source-{line}" for line in (r["http_headers"] or "").split("\r\n") if line],

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +79,36 @@ def test_long_texts_come_in_pieces(monkeypatch):
         for p, k in zip(part, of.tolist(), strict=True):
             whole[k] = whole.get(k, "") + (p or "")
     assert whole == {k: t or "" for k, t in enumerate(texts)}
+
+
+def test_nothing_to_learn_keeps_texts_with_letters(spark, odd_docs, no_docs):
+    from pyspark.sql import functions as F
+    for docs in (odd_docs.withColumn("lang", F.lit(None).cast("string")), odd_docs):
+        kept = L.keep_identified(docs, L.learn(docs.withColumn("lang", F.lit(None).cast("string"))))
+        assert kept.columns == docs.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == ["4", "5", "5", "7", "8", "None"]
+    assert L.keep_identified(no_docs, L.learn(no_docs)).count() == 0
+
+
+def slow_decode(model, text):
+    """Loss-weighted decoding, one n-gram and one bit at a time."""
+    bins, owner, has = L.features([text])
+    side = [sum(float(model.weights[x, b]) for x in bins) / max(len(bins), 1) ** 0.5 for b in range(model.code.shape[1])]
+    loss = {}
+    for k, name in enumerate(model.languages):
+        loss[name] = sum(math.log1p(math.exp(-s * (1 if bit else -1))) * r for s, bit, r in zip(side, model.code[k], model.reliability, strict=True))
+    low = min(loss.values())
+    total = sum(math.exp(low - v) for v in loss.values())
+    best = min(loss, key=lambda n: (loss[n], n))
+    return best, math.exp(low - loss[best]) / total
+
+
+def test_decoding_equals_a_plain_decoder(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = L.learn(docs)
+    rows = docs.where("length(text) between 1 and 4000").select("text").limit(60).collect()
+    names, scores, _ = model.predict([r.text for r in rows])
+    for r, name, score in zip(rows, names, scores, strict=True):
+        if any(c.isalpha() for c in r.text):
+            want, share = slow_decode(model, r.text)
+            assert name == want and abs(score - share) < 1e-3

@@ -1,3 +1,9 @@
+import math
+import random
+import re
+from collections import Counter
+
+import duckdb
 import pytest
 
 from leadtime.llm import licenses as L
@@ -70,3 +76,74 @@ def test_usual_headers_and_licence_files(spark):
     assert {k: v[0] for k, v in got.items()} == {k: x for k, (_, x) in want.items()}
     before = run(spark, [(k, t) for k, (t, _) in want.items()], headers=())
     assert [k for k in want if before[k][0] != want[k][1]]
+
+
+def test_kin_of_a_licence_is_not_the_licence(spark):
+    want = {
+        "a": ("copyright und das Haus mit Licht", None), "b": ("not released under the GPL-3.0 / license at all", None),
+        "c": ("Licensed under CC BY 3.0.", None), "d": (GPL.format("Lesser ", "2.1"), None),
+        "e": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following\nconditions are met", "BSD"),
+        "f": ("Mozilla Public License Version 1.1", None), "g": ("Copyright\nein Absatz mit Lizenz und mit Worten", None),
+        "h": ("Licensed under CC BY-NC-SA 4.0.", None), "i": ("Library terms: GNU Library General Public License, version 2 of the\nLicense", None),
+        "j": ("// SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), "k": ("// SPDX-License-Identifier: GPL-2.0+", "GPL-2.0"),
+    }
+    got = run(spark, [(k, t) for k, (t, _) in want.items()])
+    assert {k: v[0] for k, v in got.items()} == {k: x for k, (_, x) in want.items()}
+
+
+def slow_runs(text, templates=L.HEADERS):
+    """Best (licence, score) over every run of every template, counted term by term."""
+    weights, unseen = L.template_weights(templates)
+    idf, terms = dict(L.template_idf(templates)), re.findall(L.TERM, text.lower())
+    best = None
+    for k, (name, t) in enumerate(templates):
+        own = re.findall(L.TERM, t.lower())
+        w = {x: v for j, _, x, v in weights if j == k}
+        for i in range(max(len(terms) - len(own), 0) + 1):
+            part = Counter(terms[i:i + len(own)])
+            if not part or not L.needed(own) <= set(part) or {x for x in part if x in L.MARKS} != {x for x in own if x in L.MARKS}:
+                continue
+            norm = math.sqrt(sum((f * idf.get(x, unseen)) ** 2 for x, f in part.items()))
+            score = round(sum(f * w.get(x, 0.0) for x, f in part.items()) / norm, 6)
+            if score >= L.COSINE and (best is None or (-score, name) < (-best[1], best[0])):
+                best = (name, score)
+    return best
+
+
+def test_best_run_equals_brute_force(spark):
+    rng = random.Random(6)
+    words = "the of any license copyright version 2.0 3 may not use this gnu general public apache file mit with or licensed under 2 lesser".split()
+    texts = []
+    for _ in range(60):
+        t = " ".join(rng.choices(words, k=rng.randrange(1, 60)))
+        name, header = rng.choice(L.HEADERS)
+        bits = header.split()
+        for _ in range(rng.randrange(4)):
+            bits[rng.randrange(len(bits))] = rng.choice(words)
+        texts.append(f"{t} {' '.join(bits)} {t}")
+    texts += [texts[0], "license " * 3000 + L.HEADERS[-1][1] + " word" * 3000, "copyright"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "sid int, statement string")
+    got = {r.sid: (r.license, r.score) for r in L.score_runs(df).collect()}
+    want = {i: slow_runs(t) for i, t in enumerate(texts[:-2])}
+    want[len(texts) - 2] = ("MPL-2.0", 1.0)
+    assert {i: v for i, v in want.items() if v} == got and len(got) > 20
+
+
+def test_copies_of_a_statement_are_counted_once(spark):
+    text = "Released under the MIT License"
+    df = spark.createDataFrame([(i % 2, text + " the" * (i % 2)) for i in range(40)], "sid int, statement string").repartition(4)
+    one = {r.sid: r.score for r in L.score_statements(df.where("sid = 0").limit(1)).collect()}
+    got = {r.sid: r.score for r in L.score_statements(df).collect()}
+    assert got[0] == one[0] == 1.0 and 0.6 < got[1] < 1
+
+
+def test_query_equals_sql_and_has_no_python(spark, sf):
+    from leadtime.llm.catalog import ORACLE, QUERIES
+    out = QUERIES["op1_license_scan"](spark, sf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Python" not in plan
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    cols = ["doc_id", "path", "own_license", "own_score", "license", "inherited_from"]
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE['op1_license_scan']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in out.select(cols).collect())
