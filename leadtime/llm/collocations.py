@@ -31,11 +31,11 @@ from ..session import cut_lineage
 from .common import slices
 
 MIN_COUNT = 10
-SAMPLE_RATE = 0.125
+SAMPLE_RATE = 0.0625
 SAMPLE_COUNT = 2              # a phrase is proposed if the sample holds it so often
 FILTER_BITS = 1 << 27         # 16 MB, the most that is sent to a task
 COVER = 50                    # a phrase goes if a longer one has this percent of its occurrences or more
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 5_000_000
 NO_LANGUAGE = "und"
 
 # Every separator becomes a full stop, which no word holds; A-Z become a-z.
@@ -60,12 +60,22 @@ def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
 
 
-def phrase_hash(lang: str, phrase: str) -> int:
-    h, *rest = word_hashes(lang, phrase.encode().split(b" "))
-    with np.errstate(over="ignore"):
-        for w in rest:
-            h = _mix(np.array([h]), np.array([w]))[0]
-    return int(h)
+def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
+    """Hashes of many phrases, those of ``count_slice``."""
+    place: dict[tuple[str, str], int] = {}
+    at = [[place.setdefault((x, w), len(place)) for w in p.split(" ")] for x, p in zip(langs, phrases, strict=True)]
+    seeds = {x: xxhash.xxh64_intdigest(x.encode()) for x in set(langs)}
+    of = np.array([xxhash.xxh64_intdigest(w.encode(), seeds[x]) for x, w in place], np.uint64)
+    size = np.array([len(x) for x in at], np.int64)
+    out = np.zeros(len(at), np.uint64)
+    for k in np.unique(size).tolist():
+        rows = np.flatnonzero(size == k)
+        words = of[np.array([at[i] for i in rows], np.int64)]
+        h = words[:, 0]
+        for j in range(1, k):
+            h = _mix(h, words[:, j])
+        out[rows] = h
+    return out
 
 
 def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +100,7 @@ def _filter_of(phrases: DataFrame, bits: int) -> np.ndarray:
     """The bits of ``phrases`` (lang, phrase), put together by Spark; at most ``bits`` / 64 rows reach the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = np.array([phrase_hash(x, p) for x, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], np.uint64)
+            h = phrase_hashes(b.column(0).to_pylist(), b.column(1).to_pylist())
             slot = np.concatenate(_slots(h, bits))
             yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)),
                                               pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))], ["at", "bit"])
@@ -129,49 +139,51 @@ def count_slice(lang: str, texts: list[str], longest: int, now: PhraseFilter | N
         at = np.flatnonzero(c)
         phrases += ["", *[names[i] for i in at]]
         counts += [int(inside.sum()), *c[at].tolist()]
-    # gram: number of the phrase of k words that begins at a place; kept: both its shorter ones are in the set
-    gram, gram_hash, gram_names, start = ids, wh, names, np.flatnonzero(inside)
+    # h: hash of the phrase of k words that begins at each place; has_*: both its shorter phrases are in the set
+    h = wh[ids]
 
     def members(which):
-        return inside.copy() if which is None else inside & which.has(wh)[ids]
+        return inside if which is None else inside & which.has(wh)[ids]
 
     has_now, has_before = members(now), None if before is None else members(before)
-    gram_at = gram
     for k in range(2, longest + 1):
-        # places where a phrase of k words begins, all words in one piece, both shorter phrases in the set
-        can = has_now[:-1] & has_now[1:] if len(has_now) > 1 else np.zeros(0, bool)
-        start = np.flatnonzero(can)
-        if not len(start):
+        if len(has_now) < 2:
             break
-        last = ids[start + k - 1]
-        key = gram_at[start] * n_words + last
-        uniq, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        left, right = uniq // n_words, uniq % n_words
-        new_names = [f"{gram_names[x]} {names[y]}" for x, y in zip(left.tolist(), right.tolist(), strict=True)]
-        new_hash = _mix(gram_hash[left], wh[right])
-        if has_before is None:
-            phrases += new_names
+        can = has_now[:-1] & has_now[1:]
+        seen = None if has_before is None else has_before[:-1] & has_before[1:]
+        start = np.flatnonzero(can if seen is None else can & ~seen)
+        if len(start):
+            key = _numbered([ids[start + i] for i in range(k)], len(words))
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            at = [ids[start[first] + i].tolist() for i in range(k)]
+            phrases += [" ".join([names[i] for i in phrase]) for phrase in zip(*at, strict=True)]
             counts += n.tolist()
-        else:
-            seen = (has_before[:-1] & has_before[1:])[start[first]]
-            new = np.flatnonzero(~seen)
-            phrases += [new_names[i] for i in new]
-            counts += n[new].tolist()
         if k == longest:
             break
-        size = len(can)
-        gram_at = np.zeros(size, np.int64)
-        gram_at[start] = back
-        if has_before is not None:
-            old = np.zeros(size, bool)
-            old[start] = before.has(new_hash)[back]
-            has_before = old & (has_before[:-1] & has_before[1:])
-        has_now = np.zeros(size, bool)
-        has_now[start] = True if now is None else now.has(new_hash)[back]
-        gram_hash, gram_names = new_hash, new_names
+        h = _mix(h[:-1], wh[ids[k - 1:]])
+        has_now = can if now is None else _both(can, now, h)
+        has_before = None if seen is None else _both(seen, before, h)
     return phrases, counts
 
 
+def _both(places: np.ndarray, which: PhraseFilter, h: np.ndarray) -> np.ndarray:
+    """``places`` whose phrase is in the filter."""
+    out, at = np.zeros(len(places), bool), np.flatnonzero(places)
+    out[at] = which.has(h[at])
+    return out
+
+
+def _numbered(words: list[np.ndarray], n_words: int) -> np.ndarray:
+    """One whole number for each row of word numbers, equal for equal rows only."""
+    key, most = words[0], n_words
+    for w in words[1:]:
+        if most * n_words >= 1 << 62:
+            _, key = np.unique(key, return_inverse=True)
+            most = len(key)
+        key, most = key * n_words + w, most * n_words
+    return key
+
+
 def count_phrases(texts: DataFrame, longest: int, now=None, before=None, all_words: bool = True) -> DataFrame:
     """(lang, phrase, n) of ``texts`` (lang, text) for the phrases that ``count_slice`` names.  ``now`` and
     ``before`` are broadcasts of filter words."""
@@ -228,7 +240,7 @@ def _outside(part: DataFrame, now, longest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = PhraseFilter(now.value)
         for b in batches:
-            h = np.array([phrase_hash(x, p) for x, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], np.uint64)
+            h = phrase_hashes(b.column(0).to_pylist(), b.column(1).to_pylist())
             yield b.filter(pa.array(~held.has(h)))
     some = part.where((F.col("phrase") != "") & (F.size(F.split("phrase", " ")) < longest)).select("lang", "phrase")
     return some.mapInArrow(run, "lang string, phrase string")
