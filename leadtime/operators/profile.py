@@ -98,6 +98,26 @@ def _atomic(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
 
 
+# Relative standard error of the distinct-count sketch, and how many of it a column must be under the limit to
+# be left uncounted.
+SKETCH_ERROR = 0.02
+SKETCH_MARGIN = 7
+
+
+def quality_screen(df: DataFrame, target: str | None = None) -> dict:
+    """One scan, one row to the driver: rows, columns with a single value, negative targets and estimated distinct
+    counts of the string columns."""
+    cols, texts = _atomic(df), string_columns(df)
+    at = {c: f"`{c}`" for c in df.columns}
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[((F.count(at[c]) > 0) & (F.min(at[c]) == F.max(at[c]))).alias(f"k{i}") for i, c in enumerate(cols)],
+        *[F.approx_count_distinct(at[c], SKETCH_ERROR).alias(f"d{i}") for i, c in enumerate(texts)],
+        (F.count_if(F.col(at[target]) < 0) if target in df.columns else F.lit(0)).alias("negative")).first()
+    return {"rows": row["rows"], "negative": row["negative"], "constant": [c for i, c in enumerate(cols) if row[f"k{i}"]],
+            "distinct": {c: row[f"d{i}"] for i, c in enumerate(texts)}}
+
+
 def quality_constant_columns(df: DataFrame) -> DataFrame:
     """Columns with exactly one distinct non-null value (min = max, count > 0)."""
     cols = _atomic(df)
@@ -107,10 +127,15 @@ def quality_constant_columns(df: DataFrame) -> DataFrame:
     return wide.select(F.explode("a").alias("s")).filter("s.constant").select("s.column")
 
 
-def quality_high_cardinality(df: DataFrame, ratio: float = 0.9) -> DataFrame:
-    """String columns whose distinct count exceeds ratio * rows.  Exact counts decide, all columns
-    in one pass (values counted with map-side combining)."""
-    cols = string_columns(df)
+def quality_high_cardinality(df: DataFrame, ratio: float = 0.9, screen: dict | None = None) -> DataFrame:
+    """String columns whose distinct count exceeds ratio * rows.
+
+    A sketch of all columns in one scan leaves out those far below the limit (``SKETCH_MARGIN`` standard errors); exact
+    counts of the others decide, in one more scan (values counted with map-side combining).
+    """
+    screen = screen or quality_screen(df)
+    limit = ratio * screen["rows"]
+    cols = [c for c, n in screen["distinct"].items() if n * (1 + SKETCH_MARGIN * SKETCH_ERROR) >= limit]
     empty = df.sparkSession.createDataFrame([], "column string, distinct long, rows long")
     if not cols:
         return empty
@@ -125,21 +150,24 @@ def quality_negative_target(df: DataFrame, target: str = "lead_days") -> DataFra
 
 
 def quality_report(df: DataFrame, target: str = "lead_days") -> DataFrame:
-    """Issue rows (check, value, message) from the four checks; checks with nothing found give no row."""
+    """Issue rows (check, value, message) from the four checks; checks with nothing found give no row.
+
+    One scan screens all checks but duplicates; only duplicates and the columns that the screen leaves open are
+    counted exactly.
+    """
+    screen = quality_screen(df, target)
     dup = quality_duplicates(df).filter(F.col("duplicates") > 0).select(
         F.lit("duplicates").alias("check"), F.col("duplicates").cast("string").alias("value"),
         F.format_string("%d duplicate rows (%.2f%%)", "duplicates", "duplicate_pct").alias("message"))
-    const = quality_constant_columns(df).select(
-        F.lit("constant_column").alias("check"), F.col("column").alias("value"),
-        F.concat(F.lit("column "), F.col("column"), F.lit(" has a single value")).alias("message"))
-    high = quality_high_cardinality(df).select(
+    const = df.sparkSession.createDataFrame(
+        [("constant_column", c, f"column {c} has a single value") for c in screen["constant"]], "check string, value string, message string")
+    high = quality_high_cardinality(df, screen=screen).select(
         F.lit("high_cardinality").alias("check"), F.col("column").alias("value"),
         F.format_string("column %s has %d distinct values", "column", "distinct").alias("message"))
     parts = [dup, const, high]
-    if target in df.columns:
-        parts.append(quality_negative_target(df, target).filter(F.col("negative") > 0).select(
-            F.lit("negative_target").alias("check"), F.col("negative").cast("string").alias("value"),
-            F.format_string("%d rows with negative target", "negative").alias("message")))
+    if screen["negative"]:
+        parts.append(df.sparkSession.createDataFrame(
+            [("negative_target", str(screen["negative"]), f"{screen['negative']} rows with negative target")], "check string, value string, message string"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -10,7 +10,7 @@ from ..operators import charts as CH
 from ..operators import joins as J
 from ..operators.encode import label_codes, encode_apply_default
 from ..roles import ROLES
-from .catalog import petition_table, r, register, valid
+from .registry import petition_table, r, register, valid
 from .catalog_queries import MIN_SAMPLES
 from .catalog_rows import _FLOORED_SQL, _SEASON_SQL, floored_stats
 from .features import FiscalYearTrend, SeasonalIndex

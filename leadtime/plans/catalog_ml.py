@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
 from . import models as M
-from .catalog import r, register, valid
-from .catalog_rows import _FLOORED_SQL
+from .registry import r, register, valid
+from .catalog_rows import _FLOORED_SQL, MIN_SAMPLES
 from .catalog_stats import _ENG_SQL, _METRICS_BODY, _hash_sql, engineered
-from .features import engineer_features
+from .features import case_stages, engineer_features
 from .metrics import regression_metrics, train_test_split
 
 
@@ -152,6 +152,49 @@ def q_cv_one(spark, sf):
     return summary.withColumns({c: F.round(c, 4) for c in summary.columns if c.startswith("cv_")})
 
 
+def _refit_sql(folds: int) -> str:
+    """Office means learned without each fold, and the fits on them: (fold, label, prediction) of ridge and least squares."""
+    out = f", fo AS (SELECT *, ntile({folds}) OVER (ORDER BY case_id) AS fold FROM valid)"
+    for k in range(1, folds + 1):
+        part = _FLOORED_SQL.replace("FROM valid", f"FROM tr{k}").replace(", s AS (", f", s{k} AS (").replace(", m AS (", f", m{k} AS (")
+        part = part.replace(", fs AS (", f", fs{k} AS (").replace("FROM s, m)", f"FROM s{k}, m{k})").replace(" FROM s)", f" FROM s{k})")
+        out += f"""
+, tr{k} AS (SELECT * FROM fo WHERE fold <> {k})
+{part}
+, xy{k} AS (SELECT fold, CAST(lead_days AS DOUBLE) AS label, office_mean_days AS x FROM fo LEFT JOIN fs{k} USING (office))
+, fit{k} AS (SELECT {_FIT_SQL} FROM xy{k} WHERE fold <> {k})"""
+    rows = [f"SELECT '{m}' AS model, fold, label, my + {e} * (x - mx) AS prediction FROM xy{k}, fit{k} WHERE fold = {k}"
+            for k in range(1, folds + 1) for m, e in list(_SLOPES.items())[:2]]
+    return out + "\n, preds AS (" + " UNION ALL ".join(rows) + ")"
+
+
+@register("cross_validate_refitted_one", _refit_sql(3) + f"""
+, mt AS (SELECT model, fold, {_METRICS_BODY} FROM preds GROUP BY model, fold)
+SELECT model, {', '.join(r(f'avg({c})', f'cv_{c}_mean', 4) for c in ('mae', 'rmse', 'r2'))},
+  {', '.join(r(f'stddev_pop({c})', f'cv_{c}_std', 4) for c in ('mae', 'rmse', 'r2'))}, count(*) AS folds FROM mt GROUP BY model""")
+def q_cv_refitted_one(spark, sf):
+    """Office means learned anew in each of three folds."""
+    summary, _ = M.cross_validate_refitted(cut_lineage(valid(spark, sf), "valid"), case_stages(ONE, min_samples=MIN_SAMPLES), list(ONE),
+                                           "case_id", ONE_SPECS[:2], k=3)
+    return summary.withColumns({c: F.round(c, 4) for c in summary.columns if c.startswith("cv_")})
+
+
+@register("cross_validate_refitted")
+def q_cv_refitted(spark, sf):
+    """All 29 features, learned anew in each of five folds."""
+    summary, _ = M.cross_validate_refitted(cut_lineage(valid(spark, sf), "valid"), case_stages(M.FEATURES, min_samples=500), list(M.FEATURES),
+                                           "case_id", ONE_SPECS, k=5)
+    return summary
+
+
+@register("stacking_refitted")
+def q_stacking_refitted(spark, sf):
+    tr, te = train_test_split(cut_lineage(valid(spark, sf), "valid"), "case_id")
+    met, _ = M.stacking_refitted(tr, te, case_stages(M.FEATURES, min_samples=500), list(M.FEATURES), "case_id",
+                                 (M.QUICK_SPECS[0], _CV_SPECS[1]), k=3, alpha=10.0)
+    return met
+
+
 @register("cross_validate_trees")
 def q_cv_trees(spark, sf):
     fm, data, _, _, _ = training_tables(spark, sf)
@@ -167,6 +210,7 @@ def q_cv_sampled(spark, sf):
 
 
 _QUICK_FOREST_SPACE = {"numTrees": [4, 8], "maxDepth": [3, 5], "minInstancesPerNode": [1, 5]}
+_QUICK_RANDOMIZED_SPACE = {"numTrees": [4, 8], "maxDepth": [8, 12], "minInstancesPerNode": M.Ints(3, 9), "minInstancesToSplit": M.Ints(2, 19)}
 _QUICK_BOOST_SPACE = {"maxIter": [4, 8], "stepSize": [0.05, 0.1], "maxDepth": [3, 4]}
 
 
@@ -185,6 +229,24 @@ def q_search_sub(spark, sf):
     return res
 
 
+@register("cross_validate_top")
+def q_cv_top(spark, sf):
+    """The three models with the least hold-out error, cross-validated on five folds."""
+    fm, data, tr, te, _ = training_tables(spark, sf)
+    specs = (*ONE_SPECS, *_CV_SPECS)
+    met, _, _ = M.compare_models(tr, te, fm.features, "case_id", specs)
+    summary, _ = M.cross_validate_top(met, data, fm.features, "case_id", specs, 3, 5)
+    return summary
+
+
+@register("tuned_holdout")
+def q_tuned(spark, sf):
+    """The best draw of a search, refitted on the training side, on the test side."""
+    fm, _, tr, te, _ = training_tables(spark, sf)
+    _, best, _ = M.random_search(tr, fm.features, "case_id", _CV_SPECS[1], _QUICK_RANDOMIZED_SPACE, n_draws=3, k=3)
+    return regression_metrics(best.transform(te).select(F.lit("tuned").alias("model"), "case_id", "label", "prediction"))
+
+
 @register("stacking")
 def q_stacking(spark, sf):
     fm, _, tr, te, _ = training_tables(spark, sf)
@@ -248,6 +310,40 @@ def q_report_one(spark, sf):
     return _report(spark, tr, te, ONE, False)
 
 
+@register("training_report_one", ONE_PREDS_SQL + f"""
+, fo AS (SELECT *, ntile(5) OVER (ORDER BY case_id) AS fold FROM xy)
+, cfit AS (SELECT k.range AS held, {_FIT_SQL} FROM fo, range(1, 6) k WHERE fold <> k.range GROUP BY 1)
+, cp AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS model, fold, label, my + {e} * (x - mx) AS prediction FROM fo JOIN cfit ON held = fold"
+                                  for m, e in _SLOPES.items()) + f""")
+, cm AS (SELECT model, fold, {_METRICS_BODY} FROM cp GROUP BY model, fold)
+, rk AS (SELECT *, row_number() OVER (ORDER BY mae, model) AS rank FROM mt)
+""" + " UNION ALL ".join([f"SELECT 'holdout' AS part, model, CAST(rank AS INTEGER) AS rank, '{c}' AS measure, {r(c, 'value', 4)} FROM rk" for c in ("mae", "rmse", "r2", "mape")]
+                         + [f"SELECT 'cv', model, 0, 'cv_{c}_{k}', {r(f'{fn}({c})', 'value', 4)} FROM cm GROUP BY model"
+                            for c in ("mae", "rmse", "r2") for k, fn in (("mean", "avg"), ("std", "stddev_pop"))]))
+def q_training_report_one(spark, sf):
+    """Hold-out and fold rows of the report, as read back."""
+    from ..sources.sinks import report_rows, write_training_report
+    _, data, tr, te, _ = training_tables(spark, sf)
+    met, fitted, _ = M.compare_models(tr, te, list(ONE), "case_id", ONE_SPECS)
+    cv, _ = M.cross_validate(data, list(ONE), "case_id", ONE_SPECS, k=5)
+    best = met.orderBy("rank").first()["model"]
+    return write_training_report(fitted[best], report_rows(met, cv), ONE, scratch_path(spark, "report")).drop("params").fillna(0, ["rank"])
+
+
+@register("training_report")
+def q_training_report(spark, sf):
+    """The whole report on 29 features: ranking, folds of the best three, search and tuned model."""
+    from ..sources.sinks import report_rows, write_training_report
+    fm, data, tr, te, _ = training_tables(spark, sf)
+    specs = (*ONE_SPECS, _CV_SPECS[1])
+    met, _, _ = M.compare_models(tr, te, fm.features, "case_id", specs)
+    met = cut_lineage(met, "ranking")
+    cv, _ = M.cross_validate_top(met, data, fm.features, "case_id", specs, 3, 5)
+    search, best, _ = M.random_search(tr, fm.features, "case_id", _CV_SPECS[1], _QUICK_RANDOMIZED_SPACE, n_draws=3, k=3)
+    tuned = regression_metrics(best.transform(te).select(F.lit("tuned").alias("model"), "case_id", "label", "prediction"))
+    return write_training_report(best, report_rows(met, cv, tuned, search), fm.features, scratch_path(spark, "report"))
+
+
 # Oracle for the sf0.01 data: no nulls to impute, 25 offices -> sorted codes, region / status /
 # priority (5 / 3 / 5 levels) -> one-hot without their first level, IQR trim with k = 3.
 _PROCESS_SQL = """

@@ -9,7 +9,7 @@ from ..operators import encode as E
 from ..operators import impute as I
 from ..operators import profile as P
 from ..roles import cases
-from .catalog import petition_table, r, register, valid
+from .registry import petition_table, r, register, valid
 
 # --- input with nulls made by fixed rules over the case table (all rows kept) ---------------
 

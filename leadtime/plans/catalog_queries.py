@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import aggregates as agg
 from ..roles import ROLES
-from .catalog import register, r, valid
+from .registry import register, r, valid
 
 # Parameters of the test binding: 25 offices with 296..3,172 valid rows at sf0.01, so 500 makes
 # the low-volume branches fire (the reference defaults 30/50 would never trigger).

@@ -10,7 +10,7 @@ from ..operators import aggregates as agg
 from ..operators import clean as C
 from ..operators.encode import encode_one_hot
 from ..roles import ROLES, cases
-from .catalog import petition_table, r, register, valid
+from .registry import petition_table, r, register, valid
 from .catalog_queries import MIN_SAMPLES, office_stats_sql
 
 # --- inputs with text dates / nullable flags, derived from the case table -------------------

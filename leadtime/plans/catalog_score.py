@@ -9,7 +9,7 @@ from ..operators.joins import join_back
 from ..roles import read_table
 from ..session import scratch_path
 from . import models as M
-from .catalog import register, valid
+from .registry import register, valid
 from .catalog_stats import _hash_sql
 from .metrics import regression_metrics, train_test_split
 

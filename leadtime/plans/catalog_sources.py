@@ -13,7 +13,7 @@ from ..roles import cases, read_table
 from ..session import scratch_path
 from ..sources import files as S
 from ..sources.sinks import write_table
-from .catalog import register, valid
+from .registry import register, valid
 from .catalog_stats import _hash_sql
 
 

@@ -12,7 +12,7 @@ from ..operators import correlation as CR
 from ..operators import windows as W
 from ..operators.charts import numeric_hist_grid
 from ..operators.joins import join_back
-from .catalog import r, register, valid
+from .registry import r, register, valid
 from .catalog_rows import _FLOORED_SQL, floored_stats
 from .metrics import error_distribution, model_scorecard, regression_metrics, residual_points, residual_table, train_test_split
 

@@ -2,27 +2,51 @@
 
 Each model holds small lookup DataFrames (one row per month, quarter, office or year) and
 applies them with left equi-joins; Spark broadcasts them when the runtime size check allows.
-``fit_scope="all"`` in :func:`engineer_features` reproduces fitting on every row (the
-reference computes these before the split); the default fits on the training rows only.
+Estimators carry their settings as Params and save and load as other stages do, so a Pipeline can hold
+them and refits them wherever it is fitted: on one side of a split, or in every fold.
+:func:`engineer_features` without ``fit_on`` fits on all rows.
 """
 
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable,
+                             MLReader, MLWritable, MLWriter)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import cyclical_encoding
 from ..functions.flags import PEAK_INDEX_THRESHOLD, complexity_score, deviation_from_office, peak_season_flag
 from ..operators import aggregates as agg
-from ..operators.stats import scalars
+from ..operators.encode import apply_codes, label_codes
+from ..operators.quantiles import quantiles
+from ..operators.stats import nan_to_null, scalars
 from ..roles import ROLES, CaseRoles
 from ..session import cut_lineage
 
 
-class _LookupModel(Model):
+class _HasRoles(Params):
+    """The names of the columns, as JSON text."""
+
+    rolesJson = Param(Params._dummy(), "rolesJson", "column names of the case table", TypeConverters.toString)
+
+    @property
+    def roles(self) -> CaseRoles:
+        return CaseRoles(**json.loads(self.getOrDefault("rolesJson")))
+
+    def _with_roles(self, roles: CaseRoles):
+        return self._set(rolesJson=json.dumps(asdict(roles)))
+
+
+class _Stage(Estimator, _HasRoles, DefaultParamsWritable, DefaultParamsReadable):
+    """An estimator whose settings are all Params."""
+
+
+class _LookupModel(Model, MLWritable, MLReadable):
     """Model whose state is a dict of small DataFrames plus JSON-able settings.
 
     Fitting is eager, as for Spark ML estimators: each lookup table (one row per month, quarter,
@@ -36,17 +60,45 @@ class _LookupModel(Model):
         self.settings = settings or {}
 
     def save(self, path: str) -> None:
-        for name, t in self.tables.items():
-            t.write.mode("overwrite").parquet(f"{path}/{name}")
-        meta = {"class": type(self).__name__, "settings": self.settings, "tables": list(self.tables)}
-        spark = next(iter(self.tables.values())).sparkSession if self.tables else SparkSession.getActiveSession()
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").json(f"{path}/_meta")
+        self.write().overwrite().save(path)
+
+    def write(self) -> MLWriter:
+        return _LookupWriter(self)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str):
-        meta = json.loads(spark.read.json(f"{path}/_meta").first()["meta"])
-        tables = {n: spark.read.parquet(f"{path}/{n}") for n in meta["tables"]}
-        return cls(tables, meta["settings"], materialize=False)
+    def read(cls) -> MLReader:
+        return _LookupReader(cls)
+
+    @classmethod
+    def load(cls, *where):
+        """From a path; a session before it is accepted and not needed."""
+        return cls.read().load(where[-1])
+
+
+class _LookupWriter(MLWriter):
+    def __init__(self, model: _LookupModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        m = self.model
+        DefaultParamsWriter.saveMetadata(m, path, SparkSession.getActiveSession(), {"settings": m.settings, "tables": list(m.tables)})
+        for name, t in m.tables.items():
+            t.write.parquet(f"{path}/tables/{name}")
+
+
+class _LookupReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> _LookupModel:
+        spark = SparkSession.getActiveSession()
+        meta = DefaultParamsReader.loadMetadata(path, spark)
+        tables = {n: spark.read.parquet(f"{path}/tables/{n}") for n in meta["tables"]}
+        model = self.cls(tables, meta["settings"], materialize=False)
+        model._resetUid(meta["uid"])
+        return model
 
 
 class SeasonalIndexModel(_LookupModel):
@@ -61,12 +113,18 @@ class SeasonalIndexModel(_LookupModel):
         return out
 
 
-class SeasonalIndex(Estimator):
+class SeasonalIndex(_Stage):
     """seasonal_index_month/quarter = group mean target / global mean; peak flag = index > 1.1."""
 
+    peakThreshold = Param(Params._dummy(), "peakThreshold", "index above which a month is peak season", TypeConverters.toFloat)
+
     def __init__(self, roles: CaseRoles = ROLES, threshold: float = PEAK_INDEX_THRESHOLD):
         super().__init__()
-        self.roles, self.threshold = roles, threshold
+        self._with_roles(roles)._set(peakThreshold=threshold)
+
+    @property
+    def threshold(self) -> float:
+        return self.getOrDefault("peakThreshold")
 
     def _fit(self, df: DataFrame) -> SeasonalIndexModel:
         """Month means, quarter means and the global mean in ONE aggregation (grouping sets:
@@ -102,15 +160,19 @@ class OfficeStatsModel(_LookupModel):
         return out
 
 
-class OfficeStats(Estimator):
+class OfficeStats(_Stage):
     """Per-office mean/median/std/volume and outcome rates, low-volume offices floored."""
 
+    minSamples = Param(Params._dummy(), "minSamples", "least cases of an office with its own figures", TypeConverters.toInt)
+    exactMedian = Param(Params._dummy(), "exactMedian", "exact medians instead of sketches", TypeConverters.toBoolean)
+
     def __init__(self, roles: CaseRoles = ROLES, min_samples: int = 30, exact: bool = True):
         super().__init__()
-        self.roles, self.min_samples, self.exact = roles, min_samples, exact
+        self._with_roles(roles)._set(minSamples=min_samples, exactMedian=exact)
 
     def _fit(self, df: DataFrame) -> OfficeStatsModel:
-        stats = agg.office_stats_floored(agg.office_stats(df, self.roles, exact=self.exact), self.min_samples)
+        stats = agg.office_stats_floored(agg.office_stats(df, self.roles, exact=self.getOrDefault("exactMedian")),
+                                         self.getOrDefault("minSamples"))
         return OfficeStatsModel({"office": stats}, {"office": self.roles.office, "target": self.roles.target})
 
 
@@ -127,16 +189,67 @@ class FiscalYearTrendModel(_LookupModel):
         return df.join(year, fy, "left").withColumn("fiscal_year_index", F.coalesce("fiscal_year_index", line))
 
 
-class FiscalYearTrend(Estimator):
+class FiscalYearTrend(_Stage):
     def __init__(self, roles: CaseRoles = ROLES):
         super().__init__()
-        self.roles = roles
+        self._with_roles(roles)
 
     def _fit(self, df: DataFrame) -> FiscalYearTrendModel:
         return FiscalYearTrendModel({"year": agg.fiscal_year_trend(df, self.roles)},
                                     {"fiscal_year": self.roles.fiscal_year})
 
 
+class RowFeatures(Transformer, _HasRoles, DefaultParamsWritable, DefaultParamsReadable):
+    """Features of a row alone: complexity and the cyclical calendar parts."""
+
+    def __init__(self, roles: CaseRoles = ROLES):
+        super().__init__()
+        self._with_roles(roles)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return cyclical_encoding(complexity_score(df), self.roles.calendar_prefix)
+
+
+class CaseMatrixModel(_LookupModel):
+    """Columns key, label (if the target is there) and the features, without nulls; an office that training lacked has
+    code 0."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        s = self.settings
+        out = nan_to_null(df)
+        if "codes" in self.tables:
+            out = apply_codes(out, s["office"], self.tables["codes"], "office_code", default=0)
+        label = [F.col(s["target"]).cast("double").alias("label")] if s["target"] in out.columns else []
+        out = out.select(s["key"], *label, *[F.col(c).cast("double").alias(c) for c in s["features"]])
+        return out.fillna(s["fills"]) if s["fills"] else out
+
+
+class CaseMatrix(_Stage):
+    """Office codes and median fills, learned where the pipeline is fitted."""
+
+    keyCol = Param(Params._dummy(), "keyCol", "row key that is kept", TypeConverters.toString)
+    featureCols = Param(Params._dummy(), "featureCols", "features in order", TypeConverters.toListString)
+
+    def __init__(self, key: str = "case_id", features=("office_code",), roles: CaseRoles = ROLES):
+        super().__init__()
+        self._with_roles(roles)._set(keyCol=key, featureCols=list(features))
+
+    def _fit(self, df: DataFrame) -> CaseMatrixModel:
+        r, feats = self.roles, self.getOrDefault("featureCols")
+        tables = {"codes": label_codes(df, r.office)} if "office_code" in feats else {}
+        model = CaseMatrixModel(tables, {"key": self.getOrDefault("keyCol"), "target": r.target, "office": r.office, "features": feats, "fills": {}})
+        # The median of every feature: a held-out row may lack what no training row lacks.
+        medians = quantiles(model.transform(df), {c: F.col(f"`{c}`") for c in feats}, (0.5,)).collect()  # one row a feature
+        model.settings["fills"] = {m["column"]: m["q"][0] for m in medians}
+        return model
+
+
+def case_stages(features, key: str = "case_id", roles: CaseRoles = ROLES, min_samples: int = 30) -> list:
+    """Stages from valid cases to a feature matrix; a learner's stages may follow."""
+    return [SeasonalIndex(roles), OfficeStats(roles, min_samples), FiscalYearTrend(roles), RowFeatures(roles),
+            CaseMatrix(key, features, roles)]
+
+
 def engineer_features(df: DataFrame, roles: CaseRoles = ROLES, fit_on: DataFrame | None = None,
                       min_samples: int = 30, exact: bool = True) -> tuple[DataFrame, list]:
     """Seasonal -> office -> fiscal year -> complexity -> cyclical, fitted on ``fit_on``

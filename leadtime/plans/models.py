@@ -28,7 +28,7 @@ from ..operators.stats import nan_to_null, numeric_columns, ntile_from_index, wi
 from ..operators.windows import contiguous_folds
 from ..session import cut_lineage, scratch_path
 from .extra_trees import DEEPEST, ExtraTreesRegressor
-from .linear import LINEAR_KINDS, fold_metrics, size_metrics
+from .linear import LINEAR_KINDS, fold_metrics, held_out_metrics, size_metrics
 from .metrics import regression_metrics
 
 # Training features in order (office is label-coded; the rest come from the
@@ -204,11 +204,42 @@ def cross_validate(df: DataFrame, features, key: str, specs, k: int = 5, order_k
     if preds:
         tables.append(regression_metrics(_union(preds), group=("model", "fold")))
     per_fold = _union(tables)
-    summary = per_fold.groupBy("model").agg(
+    return _fold_summary(per_fold), per_fold
+
+
+def refitted_folds(cases: DataFrame, stages: list, key: str, k: int):
+    """(fold, training matrix, held-out matrix) for k contiguous folds of a case table by ``key``.
+
+    ``stages`` (see ``features.case_stages``) are fitted on the training side of each fold alone, so a held-out row never
+    reaches a lookup table, code or fill that its own prediction uses.  Each matrix is written once.
+    """
+    placed = cut_lineage(_folds_by_position(cases, key, k), "folds")
+    for f in range(1, k + 1):
+        inside, held = placed.filter(F.col("fold") != f).drop("fold"), placed.filter(F.col("fold") == f).drop("fold")
+        fitted = Pipeline(stages=stages).fit(inside)
+        yield f, cut_lineage(fitted.transform(inside), "train"), cut_lineage(fitted.transform(held), "held")
+
+
+def cross_validate_refitted(cases: DataFrame, stages: list, features, key: str, specs, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """``cross_validate`` from the case table, with the features fitted anew in every fold."""
+    flat = [s for s in specs if s.kind in LINEAR_KINDS]
+    tables, preds = [], []
+    for f, tr, te in refitted_folds(cases, stages, key, k):
+        if flat:
+            tables.append(held_out_metrics(tr, te, features, flat).withColumn("fold", F.lit(f)))
+        for spec in [s for s in specs if s.kind not in LINEAR_KINDS]:
+            preds.append(_pred_rows(build_estimator(spec, features, tr).fit(tr), te, spec.name, key, f))
+    if preds:
+        tables.append(regression_metrics(_union(preds), group=("model", "fold")))
+    per_fold = _union(tables)
+    return _fold_summary(per_fold), per_fold
+
+
+def _fold_summary(per_fold: DataFrame) -> DataFrame:
+    return per_fold.groupBy("model").agg(
         *[F.avg(c).alias(f"cv_{c}_mean") for c in ("mae", "rmse", "r2")],
         *[F.stddev_pop(c).alias(f"cv_{c}_std") for c in ("mae", "rmse", "r2")],
         F.count(F.lit(1)).alias("folds"))
-    return summary, per_fold
 
 
 def cross_validate_top(metrics: DataFrame, df: DataFrame, features, key: str, specs, top_n: int = 3, k: int = 5,
@@ -364,12 +395,35 @@ def stacking(train: DataFrame, test: DataFrame, features, key: str, base_specs,
     meta = build_estimator(meta_spec, meta_cols, meta_in).fit(meta_in)
     test_in = test.select(key, "label", *features)
     for spec in base_specs:
-        full = build_estimator(spec, features, train).fit(train)
-        test_in = full.transform(test_in).withColumnRenamed("prediction", f"p_{spec.name}").drop("raw_features", "features")
+        test_in = _with_prediction(test_in, build_estimator(spec, features, train).fit(train), f"p_{spec.name}")
     preds = meta.transform(test_in).select(F.lit("stacking").alias("model"), key, "label", F.col("prediction").cast("double"))
     return regression_metrics(preds), preds
 
 
+def stacking_refitted(cases: DataFrame, test_cases: DataFrame, stages: list, features, key: str, base_specs, k: int = 3,
+                      alpha: float = 10.0):
+    """``stacking`` from the case table: the features of out-of-fold predictions are fitted anew in every fold."""
+    names = [f"p_{s.name}" for s in base_specs]
+    parts = []
+    for _, tr, te in refitted_folds(cases, stages, key, k):
+        out = te
+        for spec, name in zip(base_specs, names, strict=True):
+            out = _with_prediction(out, build_estimator(spec, features, tr).fit(tr), name)
+        parts.append(out.select(key, "label", *names))
+    meta_in = cut_lineage(_union(parts), "stack")
+    meta = build_estimator(ModelSpec("stack_meta", "ridge", {"alpha": alpha}, True), names, meta_in).fit(meta_in)
+    fitted = Pipeline(stages=stages).fit(cases)
+    train, test = cut_lineage(fitted.transform(cases), "train"), fitted.transform(test_cases)
+    for spec, name in zip(base_specs, names, strict=True):
+        test = _with_prediction(test, build_estimator(spec, features, train).fit(train), name)
+    preds = meta.transform(test).select(F.lit("stacking").alias("model"), key, "label", F.col("prediction").cast("double"))
+    return regression_metrics(preds), preds
+
+
+def _with_prediction(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:
+    return model.transform(df).withColumnRenamed("prediction", name).drop("raw_features", "features")
+
+
 def _folds_by_position(df: DataFrame, key: str, k: int) -> DataFrame:
     """``df`` with its row position in the order of ``key`` and the contiguous fold of the position."""
     idx = with_row_index(df, [key], "position")

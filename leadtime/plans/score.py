@@ -6,12 +6,11 @@ and a global-default fallback; the fitted Spark ML PipelineModel scores all rows
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import cyclical_encoding
 from ..functions.flags import (PEAK_MONTHS, STATIC_MONTH_INDEX, STATIC_QUARTER_INDEX, prediction_interval,
                                speed_category)
 from ..operators.clean import split_valid, validate_requests
@@ -84,10 +83,7 @@ def request_features(valid_req: DataFrame, office_stats: DataFrame, global_row:
     else:
         span = F.greatest(F.lit(fy_max) - F.lit(fy_min), F.lit(1))
         out = out.withColumn("fiscal_year_index", (F.col("fiscal_year") - F.lit(fy_min)).cast("double") / span)
-    for part, period in (("month", 12), ("day_of_week", 7), ("quarter", 4), ("day_of_year", 365)):
-        c = F.col(f"submit_{part}")
-        out = out.withColumns({f"submit_{part}_sin": F.sin(F.lit(2 * math.pi) * c / F.lit(float(period))),
-                               f"submit_{part}_cos": F.cos(F.lit(2 * math.pi) * c / F.lit(float(period)))})
+    out = cyclical_encoding(out, "submit")
     out = join_fallback_global(out, "office_key", office_stats, "office", global_row)
     if codes is not None:
         out = encode_apply_default(out, "office_key", codes, "office_code", 0)
@@ -101,15 +97,16 @@ def request_features(valid_req: DataFrame, office_stats: DataFrame, global_row:
 def score_requests(requests: DataFrame, model: PipelineModel, office_stats: DataFrame, global_row: DataFrame | None,
                    codes: DataFrame | None, rmse: float, model_name: str, mae: float, r2: float, features,
                    fy_min=None, fy_max=None, seasonal_model=None, fy_model=None, fills: dict | None = None,
-                   labels: DataFrame | None = None, prediction_col: str = "prediction") -> tuple[DataFrame, DataFrame]:
+                   labels: DataFrame | None = None, prediction_col: str = "prediction",
+                   validated: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Validate, build features, predict, add interval / category / office profile and label.
 
-    ``labels`` (code, label) names offices; an office without a label is its own code.
+    ``labels`` (code, label) names offices; an office without a label is its own code.  ``validated`` is
+    ``validate_requests(requests)`` where the caller has kept it.
 
     Returns (scored valid requests, quarantined requests with their error map).
     """
-    v = validate_requests(requests)
-    ok, bad = split_valid(v)
+    ok, bad = split_valid(validated if validated is not None else validate_requests(requests))
     feats = request_features(ok, office_stats, global_row, codes, fy_min, fy_max, seasonal_model, fy_model, fills)
     if labels is not None:
         feats = map_lookup(feats, "office_key", labels, "code", "label", "office_label")
@@ -174,5 +171,5 @@ def load_scoring_bundle(spark, path: str) -> dict:
     # The metadata says which models were saved; a failing read of one is an error, never a reason
     # to serve the static rule instead.
     for name, cls in (("seasonal_model", SeasonalIndexModel), ("fy_model", FiscalYearTrendModel)):
-        kw[name] = cls.load(spark, f"{path}/features/{name}") if name in meta["feature_models"] else None
+        kw[name] = cls.load(f"{path}/features/{name}") if name in meta["feature_models"] else None
     return kw

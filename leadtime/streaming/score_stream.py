@@ -2,17 +2,24 @@
 
 The stream is stateless: each micro-batch goes through the same ``score_requests`` plan as a
 batch call (stream-static joins against the office statistics, the fitted PipelineModel).
-``foreachBatch`` writes each batch's scored rows and quarantined rows under a folder named by
-the batch id, with overwrite, so a batch replayed after a failure replaces its own output
-instead of duplicating it; the checkpoint folder records progress.
+``foreachBatch`` validates a batch once and writes scored and quarantined rows together, partitioned by
+validity, in one write; a manifest put in place after it names the folder.  Readers follow manifests, so a
+half-written batch is never seen and a replayed one replaces itself; the checkpoint folder records
+progress.  ``compact_sink`` merges the small files of many batches.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.clean import validate_requests
 from ..plans.score import score_requests
+from ..sources.manifest import compact, manifests, read_batches, write_batch
+
+
+VALID = "request_valid"
 
 
 def score_stream(spark: SparkSession, source_dir: str, schema: StructType | str, sink_dir: str, checkpoint_dir: str,
@@ -29,23 +36,35 @@ def score_stream(spark: SparkSession, source_dir: str, schema: StructType | str,
     requests = reader.parquet(source_dir)
 
     def _batch(batch: DataFrame, batch_id: int) -> None:
-        # The source is read once for both outputs.
-        batch.persist()
+        # The source is read and validated once for both outputs.
+        validated = validate_requests(batch).persist()
         try:
-            scored, bad = score_requests(batch, **score_kw)
-            scored.write.mode("overwrite").parquet(f"{sink_dir}/scored/batch={batch_id}")
-            bad.write.mode("overwrite").parquet(f"{sink_dir}/quarantine/batch={batch_id}")
+            scored, bad = score_requests(batch, **score_kw, validated=validated)
+            both = scored.withColumn(VALID, F.lit(True)).unionByName(bad.withColumn(VALID, F.lit(False)), allowMissingColumns=True)
+            write_batch(both, sink_dir, batch_id, [VALID], {"scored": scored.columns, "quarantine": bad.columns})
         finally:
-            batch.unpersist()
+            validated.unpersist()
 
     w = requests.writeStream.foreachBatch(_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger_interval)
     return w.start()
 
 
+def _read(spark: SparkSession, sink_dir: str, valid: bool, columns: str) -> DataFrame:
+    rows, entries = read_batches(spark, sink_dir), manifests(spark, sink_dir)
+    if rows is None:
+        raise FileNotFoundError(f"no batch under {sink_dir}")
+    return rows.where(F.col(VALID) == valid).select(*entries[-1][columns])
+
+
 def read_scored(spark: SparkSession, sink_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sink_dir}/scored")
+    return _read(spark, sink_dir, True, "scored")
 
 
 def read_quarantine(spark: SparkSession, sink_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sink_dir}/quarantine")
+    return _read(spark, sink_dir, False, "quarantine")
+
+
+def compact_sink(spark: SparkSession, sink_dir: str, files: int = 1) -> int:
+    """Merges all batches so far; returns how many there were."""
+    return compact(spark, sink_dir, [VALID], files)

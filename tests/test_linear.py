@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from leadtime.plans import linear as L
 from leadtime.plans import models as M
-from leadtime.plans import catalog  # noqa: F401  (query modules need it first)
 from leadtime.plans.catalog_ml import ONE_SPECS, training_tables
 from leadtime.plans.metrics import regression_metrics
 

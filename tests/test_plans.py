@@ -251,3 +251,92 @@ def test_registered_curve_folds_and_comparison_cover_all_learners(spark, sf):
     curve = {r["size"]: r for r in qs["learning_curve"](spark, sf).collect()}
     one = {r["size"]: r for r in qs["learning_curve_one"](spark, sf).collect()}
     assert set(curve) == set(one) and len(curve) == 8 and all(curve[k].train_mae_mean != one[k].train_mae_mean for k in one)
+
+
+def _cases_for_stages(spark, sf):
+    from leadtime.session import cut_lineage
+    return cut_lineage(valid_cases(cases(spark, sf)), "valid")
+
+
+def test_feature_stages_save_load_and_serve_unseen_rows(spark, sf, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from leadtime.plans.features import case_stages
+    v = _cases_for_stages(spark, sf)
+    offices = [r.office for r in v.select("office").distinct().orderBy("office").collect()]
+    tr, te = v.filter(F.col("office") != offices[0]), v.filter(F.col("office") == offices[0])   # an office no row of training has
+    pipe = Pipeline(stages=case_stages(M.FEATURES, min_samples=20))
+    pipe.write().overwrite().save(f"{tmp_path}/p")
+    fitted = Pipeline.load(f"{tmp_path}/p").fit(tr)
+    fitted.write().overwrite().save(f"{tmp_path}/m")
+    again = PipelineModel.load(f"{tmp_path}/m")
+    a, b = (m.transform(te).orderBy("case_id").collect() for m in (pipe.fit(tr), again))
+    assert a == b and a[0].asDict().keys() == {"case_id", "label", *M.FEATURES}
+    assert all(x is not None for r in a for x in r) and {r.office_code for r in a} == {0.0}
+    assert te.drop("lead_days").limit(1).count() == 1 and "label" not in again.transform(te.drop("lead_days")).columns
+    assert again.stages[1].tables["office"].count() == len(offices) - 1
+
+
+def test_folds_do_not_see_held_out_rows(spark, sf):
+    """Altered targets of the held-out rows change their labels and nothing else of the fold."""
+    from leadtime.plans.features import case_stages
+    v = _cases_for_stages(spark, sf)
+    stages = case_stages(M.FEATURES, min_samples=20)
+    placed = M._folds_by_position(v, "case_id", 3)
+    held = [r.case_id for r in placed.filter("fold = 2").select("case_id").collect()]
+    changed = v.withColumn("lead_days", F.when(F.col("case_id").isin(held), F.col("lead_days") + 500).otherwise(F.col("lead_days")))
+    for (f, tr, te), (_, tr2, te2) in zip(M.refitted_folds(v, stages, "case_id", 3), M.refitted_folds(changed, stages, "case_id", 3), strict=True):
+        if f == 2:
+            key = lambda t: sorted(t.drop("label").collect())
+            assert key(tr) == key(tr2) and key(te) == key(te2)
+            assert sorted(tr.select("label").collect()) == sorted(tr2.select("label").collect())
+            assert te.agg(F.sum("label")).first()[0] + 500 * len(held) == pytest.approx(te2.agg(F.sum("label")).first()[0])
+        else:
+            assert sorted(tr.select("office_mean_days").distinct().collect()) != sorted(tr2.select("office_mean_days").distinct().collect())
+
+
+def _small_matrix(spark, n=120):
+    return spark.range(n).select((F.col("id") % 40).cast("string").alias("case_id"), (F.col("id") * 1.0).alias("a"),
+                                 (F.hash("id") % 7).cast("double").alias("b")).withColumn("label", F.col("a") * 2 + F.col("b"))
+
+
+def test_stacking_keeps_rows_that_share_a_key(spark):
+    df = _small_matrix(spark)
+    met, preds = M.stacking(df, df, ["a", "b"], "case_id", M.QUICK_SPECS[:2], k=3, alpha=1.0)
+    assert preds.count() == 120 and met.first()["n"] == 120
+    assert met.first()["mae"] < 3
+
+
+def test_search_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    df = _small_matrix(spark).withColumn("case_id", F.col("a").cast("string"))
+    spec = M.ModelSpec("x", "xrf", {})
+    space = {"numTrees": [2, 3], "minInstancesPerNode": M.Ints(1, 9)}
+    state = f"{tmp_path}/search"
+    fits = []
+    real = M.build_estimator
+
+    def counted(*a, **kw):
+        pipe = real(*a, **kw)
+        fit = pipe.copy
+
+        def copy(extra=None):
+            fits.append(extra)
+            if len(fits) == 5 and not (tmp_path / "went-on").exists():
+                raise RuntimeError("lost")
+            return fit(extra)
+        pipe.copy = copy
+        return pipe
+    monkeypatch.setattr(M, "build_estimator", counted)
+    args = (df, ["a", "b"], "case_id", spec, space)
+    with pytest.raises(RuntimeError):
+        M.random_search(*args, n_draws=3, k=2, parallelism=1, state=state)
+    (tmp_path / "went-on").touch()
+    before = len(fits)
+    res, _, best = M.random_search(*args, n_draws=3, k=2, parallelism=1, state=state)
+    assert len(fits) - before == 1 + 1                     # the lost run and the refit of the best
+    monkeypatch.setattr(M, "build_estimator", real)
+    fresh, _, best2 = M.random_search(*args, n_draws=3, k=2, parallelism=2)
+    rows = lambda t: sorted((r.draw, r.params, round(r.cv_mae, 9), r.folds) for r in t.collect())
+    assert rows(res) == rows(fresh) and len(rows(res)) == 3
+    assert {p.name: v for p, v in best.items()} == {p.name: v for p, v in best2.items()}
+    with pytest.raises(ValueError, match="another search"):
+        M.random_search(df, ["a", "b"], "case_id", spec, {"numTrees": [5]}, n_draws=3, k=2, state=state)
