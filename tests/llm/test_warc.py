@@ -103,7 +103,7 @@ class Reader(HTMLParser):
 
     def handle_data(self, data):
         if not self.hidden:
-            self.out.append(data.replace("\n", " "))
+            self.out.append(data)                # a line end of the page ends a line
             if self.in_title:
                 self.title += data
 
