@@ -20,7 +20,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from leadtime.session import get_session  # noqa: E402
+from leadtime.session import get_session, remove_scratch  # noqa: E402
 
 
 def _run(df) -> None:
@@ -124,6 +124,7 @@ def main() -> None:
     print(json.dumps({"metric": "leadtime_headline_total_warm", "value": round(sum(warm.values()), 3), "unit": "sec",
                       "queries": warm, "cold": cold, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus, "rows": rows,
                       "warm_rule": "best of 2 runs after a cold run", "conf": conf}))
+    remove_scratch(spark)
     spark.stop()
 
 
