@@ -111,3 +111,24 @@ def test_constant_label_is_one_leaf(spark):
     model, df = fit(spark, x, np.full(50, 3.0), 2, numTrees=2)
     assert len(model.stages[-1].nodes) == 2
     assert {r.prediction for r in model.transform(df).select("prediction").collect()} == {3.0}
+
+
+def test_large_tables_go_on_level_by_level_to_the_same_trees(spark, monkeypatch):
+    x, y = table(900, 8)
+    calls, level = [], X._level
+    monkeypatch.setattr(X, "_level", lambda *a: calls.append(len(a[3])) or level(*a))
+    for name, value in (("FEW_ROWS", 0), ("LOCAL_ROWS", 200), ("BLOCK_BYTES", 700), ("CHUNK_ROWS", 50)):
+        monkeypatch.setattr(X, name, value)
+    model, _ = fit(spark, x, y, 3, numTrees=2, minInstancesPerNode=3, maxDepth=4)
+    assert len(calls) == 4      # no pass for the leaves of the last level
+    for tree in range(2):
+        want = slow_tree(x, y, 42, tree, 4, 3, 2, 4)
+        got = nodes_of(model, tree)
+        assert set(got) == set(want)
+        assert all(got[k][:2] == v[:2] and got[k][2] == pytest.approx(v[2]) and got[k][3] == v[3] for k, v in want.items())
+
+
+def test_rows_without_a_label_are_an_error(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, None), (3.0, 1.0)], "a double, label double")
+    with pytest.raises(ValueError):
+        X.ExtraTreesRegressor().fit(VectorAssembler(inputCols=["a"], outputCol="features").transform(df))
