@@ -9,6 +9,7 @@ from ..operators import encode as E
 from ..operators import impute as I
 from ..operators import profile as P
 from ..roles import cases
+from ..session import cut_lineage
 from .registry import petition_table, r, register, valid
 
 # --- input with nulls made by fixed rules over the case table (all rows kept) ---------------
@@ -74,7 +75,7 @@ def _nulls_sql(t: str) -> str:
 SELECT (SELECT {_nulls_sql('holes')}) AS null_cells_before, (SELECT {_nulls_sql('imp')}) AS null_cells_after,
        (SELECT count(*) FROM holes) AS rows""")
 def q_impute_report(spark, sf):
-    h = holes(spark, sf)
+    h = cut_lineage(holes(spark, sf), "holes")
     before = I.impute_report(h)
     after = I.impute_report(I.impute_missing(h, target="lead_days"))
     return before.select(F.col("null_cells").alias("null_cells_before"), "rows").select(

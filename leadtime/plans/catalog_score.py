@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as agg
 from ..operators.joins import join_back
 from ..roles import read_table
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from . import models as M
-from .registry import register, valid
+from .registry import FEATURE_INPUT, kept_valid, register
 from .catalog_stats import _hash_sql
 from .metrics import regression_metrics, train_test_split
 
 
-def requests_from_cases(spark, sf):
+def scoring_cases(spark, sf):
+    """The valid cases that scorer and requests are made from, written once."""
+    return kept_valid(spark, sf, *FEATURE_INPUT, "submit_ts", "status", "priority")
+
+
+def requests_from_cases(spark, sf, v=None):
     """One request per test case: office code in lower case with spaces, ISO submit date, case number as
     text.  Some name an office that training lacks, some lie after the training years, some are invalid."""
-    v = valid(spark, sf)
-    _, te = train_test_split(v, "case_id")
+    _, te = train_test_split(scoring_cases(spark, sf) if v is None else v, "case_id")
     office = F.when(F.col("priority") == "3-MEDIUM", F.concat(F.lit("new "), F.lower("office"))).otherwise(F.lower("office"))
     date = F.when(F.col("priority") == "4-NOT SPECIFIED", F.add_months(F.to_date("submit_ts"), 240)).otherwise(F.to_date("submit_ts"))
     return te.select(
@@ -28,20 +32,22 @@ def requests_from_cases(spark, sf):
         F.col("case_no").cast("string").alias("case_number"))
 
 
-def scoring_setup(spark, sf, one_feature: bool = False):
+def scoring_setup(spark, sf, one_feature: bool = False, v=None):
     """Fit a linear scorer (on all features, or on the one that the oracles can follow) on the training
     split; serve statistics fitted on train, with the row-weighted mean over training rows for
     unknown offices."""
     from .catalog_ml import ONE, ONE_SPECS, training_tables
-    fm, _, tr, te, fmodels = training_tables(spark, sf)
+    v = scoring_cases(spark, sf) if v is None else v
+    fm, _, tr, te, fmodels = training_tables(spark, sf, v)
     spec = ONE_SPECS[0]
     features = list(ONE) if one_feature else fm.features
     model = M.build_estimator(spec, features, tr).fit(tr)
     met = regression_metrics(model.transform(te).select(F.lit(spec.name).alias("model"), "label", "prediction")).first()
     seasonal, office_m, fy_m = fmodels
     stats = office_m.tables["office"]
-    tr_v, _ = train_test_split(valid(spark, sf), "case_id")
-    glob = agg.global_office_defaults(join_back(tr_v, stats, "office", "inner"))
+    tr_v, _ = train_test_split(v, "case_id")
+    # One row, read by a scalar subquery for each of its columns.
+    glob = cut_lineage(agg.global_office_defaults(join_back(tr_v.select("office", "fiscal_year"), stats, "office", "inner")), "defaults")
     return dict(model=model, office_stats=stats, global_row=glob, codes=fm.office_codes, rmse=met["rmse"],
                 model_name=spec.name, mae=met["mae"], r2=met["r2"], features=features,
                 seasonal_model=seasonal, fy_model=fy_m, fills=fm.fills)
@@ -84,7 +90,8 @@ _SCORED = """case_id, office_key, office_label, office_known, round_even(p, 1) A
 
 def _score_cases(spark, sf, one_feature):
     from .score import score_requests
-    scored, _ = score_requests(requests_from_cases(spark, sf), **scoring_setup(spark, sf, one_feature), labels=office_labels(spark, sf))
+    v = scoring_cases(spark, sf)
+    scored, _ = score_requests(requests_from_cases(spark, sf, v), **scoring_setup(spark, sf, one_feature, v), labels=office_labels(spark, sf))
     return scored.select("case_id", "office_key", "office_label", "office_known", "predicted_days", "lower_bound", "upper_bound",
                          "predicted_months", "category", "category_color", "office_stats.*", "submit_date_iso",
                          "model_name", "model_mae_days", "model_r2", "is_peak_season")
@@ -112,7 +119,8 @@ SELECT case_id, CASE WHEN no_office THEN 'Required field.' END AS err_office,
 def q_quarantine(spark, sf):
     """Requests that scoring refuses, with the reasons."""
     from .score import score_requests
-    _, bad = score_requests(requests_from_cases(spark, sf), **scoring_setup(spark, sf, True), labels=office_labels(spark, sf))
+    v = scoring_cases(spark, sf)
+    _, bad = score_requests(requests_from_cases(spark, sf, v), **scoring_setup(spark, sf, True, v), labels=office_labels(spark, sf))
     return bad.select("case_id", F.col("errors")["office"].alias("err_office"), F.col("errors")["submit_date"].alias("err_submit_date"),
                       F.col("errors")["case_number"].alias("err_case_number"))
 
@@ -120,11 +128,12 @@ def q_quarantine(spark, sf):
 def _score_stream(spark, sf, one_feature):
     from ..streaming import read_scored, score_stream
     src, out, ckpt = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
-    reqs = requests_from_cases(spark, sf)
+    v = scoring_cases(spark, sf)
+    reqs = requests_from_cases(spark, sf, v)
     # requests arrive as several files; the stream picks them up two files per micro-batch
     reqs.repartition(4, "case_id").write.mode("overwrite").parquet(src)
     q = score_stream(spark, src, reqs.schema, out, ckpt, available_now=True,
-                     max_files_per_trigger=2, **scoring_setup(spark, sf, one_feature), labels=office_labels(spark, sf))
+                     max_files_per_trigger=2, **scoring_setup(spark, sf, one_feature, v), labels=office_labels(spark, sf))
     q.awaitTermination()
     return read_scored(spark, out).select("case_id", "office_key", "office_label", "office_known", "predicted_days", "lower_bound",
                                           "upper_bound", "predicted_months", "category")

@@ -13,7 +13,7 @@ from ..roles import cases, read_table
 from ..session import scratch_path
 from ..sources import files as S
 from ..sources.sinks import write_table
-from .registry import register, valid
+from .registry import kept_valid, register, valid
 from .catalog_stats import _hash_sql
 
 
@@ -21,7 +21,7 @@ def yearly_files(spark, sf) -> str:
     """One CSV folder per fiscal year named FY<year>-cases.csv; odd years use another column
     order and an extra column and lack ``region`` (ragged headers)."""
     root = scratch_path(spark, "yearly")
-    v = valid(spark, sf).select("case_id", "office", "region", "status", "fiscal_year")
+    v = kept_valid(spark, sf, "case_id", "office", "region", "status", "fiscal_year")
     years = [r[0] for r in v.select("fiscal_year").distinct().collect()]   # a handful of values
     for y in years:
         part = v.filter(F.col("fiscal_year") == y)
