@@ -11,9 +11,10 @@ its last or first word are, so:
    S, and a further full pass counts only the phrases this brings in, until no pass has a failure.
 
 The result is thus exact whatever the sample held.  S travels to the tasks as a bit filter of bounded size
-(``FILTER_BITS``); a false positive there only has a phrase counted that need not be.  Tasks count slices of
-text in numpy and send one row a distinct phrase and slice; Spark adds them up with map-side combining, so
-a phrase that every document holds is a few rows, and no group is gathered.
+(``FILTER_BITS``); a false positive there only has a phrase counted that need not be.  Texts are turned into slices
+of word numbers, each of one language, once; every full pass reads these.  Tasks count slices in numpy and send
+one row a distinct phrase and slice; Spark adds them up with map-side combining, so a phrase that every
+document holds is a few rows, and no group is gathered.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +37,11 @@ SAMPLE_RATE = 0.0625
 SAMPLE_COUNT = 2              # a phrase is proposed if the sample holds it so often
 FILTER_BITS = 1 << 27         # 16 MB, the most that is sent to a task
 COVER = 50                    # a phrase goes if a longer one has this percent of its occurrences or more
-SLICE_BYTES = 5_000_000
+SLICE_BYTES = 2_000_000
+HELD_BYTES = 4 * SLICE_BYTES  # texts that a task holds back until a language fills a slice
+ROWS_OUT = 100_000
+# A slice is one row of some MB: Parquet looks at its memory after every row.
+SLICE_FILES = {"parquet.block.size": str(1 << 23), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 NO_LANGUAGE = "und"
 
 # Every separator becomes a full stop, which no word holds; A-Z become a-z.
@@ -116,29 +122,68 @@ def _bits_for(n: int, most: int) -> int:
     return min(most, max(1 << 12, 1 << (16 * max(n, 1) - 1).bit_length()))
 
 
-def count_slice(lang: str, texts: list[str], longest: int, now: PhraseFilter | None, before: PhraseFilter | None,
-                all_words: bool) -> tuple[list[str], list[int]]:
-    """Phrases and counts of one slice.
+def numbered_words(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """The different words of the texts and the numbers of all words in order; number 0 is b".", the end of a piece."""
+    number: dict[bytes, int] = {b".": 0}
+    ids = np.array([number.setdefault(w, len(number)) for w in words_of(texts)], np.int32)
+    return list(number), ids.astype(_number_type(len(number)))
+
+
+def _number_type(n_words: int) -> type:
+    return np.uint16 if n_words <= 1 << 16 else np.int32
+
+
+def word_slices(texts: DataFrame) -> DataFrame:
+    """``texts`` (lang, text) as slices (lang, words, ids) of one language each: the different words, joined by spaces,
+    and the numbers of all words in order (``_number_type``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[str]] = {}
+        size: dict[str, int] = {}
+
+        def slice_of(lang: str) -> pa.RecordBatch:
+            del size[lang]
+            words, ids = numbered_words(held.pop(lang))
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([b" ".join(words)], pa.binary()), pa.array([ids.tobytes()], pa.binary())],
+                                              ["lang", "words", "ids"])
+
+        for whole in batches:
+            for b in slices(whole, [1], SLICE_BYTES):
+                for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if lang in held and size[lang] + len(text) > SLICE_BYTES:
+                        yield slice_of(lang)
+                    held.setdefault(lang, []).append(text)
+                    size[lang] = size.get(lang, 0) + len(text)
+                while sum(size.values()) > HELD_BYTES:
+                    yield slice_of(max(size, key=size.get))
+        for lang in list(held):
+            yield slice_of(lang)
+    return texts.mapInArrow(run, "lang string, words binary, ids binary")
+
+
+def count_slice(lang: str, words: list[bytes], ids: np.ndarray, longest: int, now: PhraseFilter | None, before: PhraseFilter | None,
+                all_words: bool) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Phrases and counts of one slice, ``ROWS_OUT`` at a time.
 
     Words are counted if ``all_words``, and then the empty phrase counts all of them.  A longer phrase is counted
     if both its shorter phrases are in ``now`` (None: any), but not if both are in ``before``: a former
     pass has counted it.
     """
-    tokens = words_of(texts)
-    number: dict[bytes, int] = {b".": 0}
-    ids = np.array([number.setdefault(w, len(number)) for w in tokens], np.int64)
-    words = list(number)
-    names = [w.decode("utf-8") for w in words]
+    names = pa.array(words, pa.binary()).cast(pa.string())
     wh = word_hashes(lang, words)
     n_words = len(words)
-    phrases, counts = [], []
+
+    def rows(at: list[np.ndarray], n: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        for i in range(0, len(n), ROWS_OUT):
+            parts = [names.take(pa.array(a[i:i + ROWS_OUT])) for a in at]
+            yield pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0], n[i:i + ROWS_OUT]
+
     inside = ids > 0
     if all_words:
         c = np.bincount(ids, minlength=n_words)
         c[0] = 0
         at = np.flatnonzero(c)
-        phrases += ["", *[names[i] for i in at]]
-        counts += [int(inside.sum()), *c[at].tolist()]
+        yield pa.array([""], pa.string()), np.array([inside.sum()], np.int64)
+        yield from rows([at], c[at])
     # h: hash of the phrase of k words that begins at each place; has_*: both its shorter phrases are in the set
     h = wh[ids]
 
@@ -153,17 +198,12 @@ def count_slice(lang: str, texts: list[str], longest: int, now: PhraseFilter | N
         seen = None if has_before is None else has_before[:-1] & has_before[1:]
         start = np.flatnonzero(can if seen is None else can & ~seen)
         if len(start):
-            key = _numbered([ids[start + i] for i in range(k)], len(words))
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            at = [ids[start[first] + i].tolist() for i in range(k)]
-            phrases += [" ".join([names[i] for i in phrase]) for phrase in zip(*at, strict=True)]
-            counts += n.tolist()
+            yield from rows(*_distinct([ids[start + i] for i in range(k)], n_words))
         if k == longest:
             break
         h = _mix(h[:-1], wh[ids[k - 1:]])
         has_now = can if now is None else _both(can, now, h)
         has_before = None if seen is None else _both(seen, before, h)
-    return phrases, counts
 
 
 def _both(places: np.ndarray, which: PhraseFilter, h: np.ndarray) -> np.ndarray:
@@ -173,9 +213,26 @@ def _both(places: np.ndarray, which: PhraseFilter, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(words: list[np.ndarray], n_words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different rows of word numbers, column by column, and how often each occurs."""
+    if n_words ** len(words) >= 1 << 62:
+        _, first, n = np.unique(_numbered(words, n_words), return_index=True, return_counts=True)
+        return [w[first] for w in words], n
+    key = words[0].astype(np.int64)
+    for w in words[1:]:
+        key = key * n_words + w
+    key = np.sort(key)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n, key, out = np.diff(np.append(first, len(key))), key[first], []
+    for _ in words:
+        key, w = np.divmod(key, n_words)
+        out.append(w)
+    return out[::-1], n
+
+
 def _numbered(words: list[np.ndarray], n_words: int) -> np.ndarray:
     """One whole number for each row of word numbers, equal for equal rows only."""
-    key, most = words[0], n_words
+    key, most = words[0].astype(np.int64), n_words
     for w in words[1:]:
         if most * n_words >= 1 << 62:
             _, key = np.unique(key, return_inverse=True)
@@ -184,24 +241,20 @@ def _numbered(words: list[np.ndarray], n_words: int) -> np.ndarray:
     return key
 
 
-def count_phrases(texts: DataFrame, longest: int, now=None, before=None, all_words: bool = True) -> DataFrame:
-    """(lang, phrase, n) of ``texts`` (lang, text) for the phrases that ``count_slice`` names.  ``now`` and
+def count_phrases(some: DataFrame, longest: int, now=None, before=None, all_words: bool = True) -> DataFrame:
+    """(lang, phrase, n) of ``some`` (``word_slices``) for the phrases that ``count_slice`` names.  ``now`` and
     ``before`` are broadcasts of filter words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [None if b is None else PhraseFilter(b.value) for b in (now, before)]
-        for whole in batches:
-            for b in slices(whole, [1], SLICE_BYTES):
-                by_lang: dict[str, list[str]] = {}
-                for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    by_lang.setdefault(lang, []).append(text)
-                for lang, some in by_lang.items():
-                    phrases, counts = count_slice(lang, some, longest, *sets, all_words)
-                    for i in range(0, len(phrases), 100_000):
-                        p = pa.array(phrases[i:i + 100_000], pa.string())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(p), np.int32)), pa.array([lang])).cast(pa.string()),
-                             p, pa.array(counts[i:i + 100_000], pa.int64())], ["lang", "phrase", "n"])
-    rows = texts.mapInArrow(run, "lang string, phrase string, n long")
+        for b in batches:
+            for lang, words, ids in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                own = words.as_py().split(b" ")
+                numbers = np.frombuffer(ids.as_buffer(), _number_type(len(own)))
+                for p, n in count_slice(lang, own, numbers, longest, *sets, all_words):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(p), np.int32)), pa.array([lang])).cast(pa.string()),
+                         p, pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+    rows = some.select("lang", "words", "ids").mapInArrow(run, "lang string, phrase string, n long")
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
@@ -213,8 +266,11 @@ def frequent_phrases(docs: DataFrame, longest: int, min_count: int = MIN_COUNT,
     sc = docs.sparkSession.sparkContext
     src = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
                       F.coalesce(F.col(text), F.lit("")).alias("text"))
-    proposed = count_phrases(src.sample(rate, seed), max(longest - 1, 1)).where((F.col("n") >= sample_count) & (F.col("phrase") != ""))
+    # Written between the two steps in Python: a task with both would hold two workers, which stay for later passes.
+    some = cut_lineage(word_slices(src.sample(rate, seed)), "sample", **SLICE_FILES)
+    proposed = count_phrases(some, max(longest - 1, 1)).where((F.col("n") >= sample_count) & (F.col("phrase") != ""))
     fresh = cut_lineage(proposed, "proposed")
+    src = cut_lineage(word_slices(src), "words", **SLICE_FILES)
     found, before, bits, members = None, None, None, 0
     while True:
         members += fresh.count()

@@ -113,6 +113,35 @@ def test_hashes_of_slices_and_of_phrases_agree():
     assert len(C.phrase_hashes([], [])) == 0
 
 
+def test_slices_hold_one_language_and_every_word(spark, monkeypatch):
+    """Texts of mixed languages come as full slices of one language; a text alone may be longer than a slice."""
+    docs = [(i, x, t) for i, x, t in corpus(300, 8) if x] + [(1000, "en", "very long " * 400)]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string").select("lang", "text").coalesce(1)
+    monkeypatch.setattr(C, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(C, "HELD_BYTES", 8000)
+    got = {"en": [], "de": []}
+    for r in C.word_slices(df).collect():
+        words, ids = bytes(r["words"]).split(b" "), np.frombuffer(r["ids"], C._number_type(1))
+        got[r["lang"]].append([words[i] for i in ids if i])
+    for lang, some in got.items():
+        own = [t for _, x, t in docs if x == lang]
+        assert [w for s in some for w in s] == [w for w in C.words_of(own) if w != b"."]
+        assert len(some) <= 2 + sum(map(len, own)) // 1000
+    assert rows_of(C.collocations(spark.createDataFrame(docs, "doc_id long, lang string, text string"))) == slow([(x, t) for _, x, t in docs])
+
+
+def test_many_words_need_no_wide_numbers():
+    """Rows of numbers are told apart whether or not they fit one number; more than 65,536 words have wider numbers."""
+    words, ids = C.numbered_words([" ".join(str(i) for i in range(70_000))])
+    assert [words[i] for i in ids] == [str(i).encode() for i in range(70_000)]
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 5, 200) for _ in range(3)]
+    for n_words in (5, 1 << 30):
+        at, n = C._distinct(words, n_words)
+        got = dict(zip(zip(*[a.tolist() for a in at], strict=True), n.tolist(), strict=True))
+        assert got == dict(Counter(zip(*[w.tolist() for w in words], strict=True)))
+
+
 def test_query_equals_brute_force_and_sql(spark, sf):
     from leadtime.llm.catalog import ORACLE, QUERIES
     got = rows_of(QUERIES["op13_collocations"](spark, sf))
