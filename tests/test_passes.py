@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadtime.operators.clean import outliers_iqr
-from leadtime.plans import catalog_ml, catalog_score, catalog_sources, catalog_stats
+from leadtime.plans import catalog_ml, catalog_score, catalog_sources, catalog_stats, models
 from leadtime.plans.catalog import ORACLE, QUERIES
+from leadtime.plans.metrics import train_test_split
 from leadtime.plans.registry import valid
 
 
@@ -39,6 +40,16 @@ def test_yearly_files_and_scoring_join_the_driver_tables_once(spark, sf, monkeyp
     assert calls == ["leadtime.plans.catalog_score"]
 
 
+def test_correlations_of_engineered_features_keep_no_keys(spark, sf, monkeypatch):
+    kept, wide = [], QUERIES["corr_engineered"](spark, sf).collect()
+    write = catalog_stats.kept_valid
+    monkeypatch.setattr(catalog_stats, "kept_valid", lambda *a: kept.append(write(*a)) or kept[-1])
+    got = QUERIES["corr_engineered"](spark, sf)
+    assert got.collect() == wide and len(wide) == 10
+    assert len(kept) == 1 and not {"case_id", "case_no", "case_number"} & set(kept[0].columns)
+    assert kept[0].count() == valid(spark, sf).count()
+
+
 def test_predictions_do_not_deal_cases_by_office_or_month(spark, sf):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60000b")
@@ -50,3 +61,18 @@ def test_predictions_do_not_deal_cases_by_office_or_month(spark, sf):
     n = valid(spark, sf).count()
     per = {r["model"]: r["n"] for r in catalog_stats.predictions(spark, sf).groupBy("model").agg(F.count("*").alias("n")).collect()}
     assert per == {"global_mean": n, "office_mean": n, "office_median": n, "month_mean": n}
+
+
+def test_sides_and_folds_are_read_not_computed(spark, sf, monkeypatch):
+    """Passes of fits hash no keys, and number no rows."""
+    fm, data, tr, te, _ = catalog_ml.training_tables(spark, sf)
+    assert all("md5" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (tr, te))
+    assert data.columns == tr.columns == te.columns == fm.data.columns
+    sides = [{r["case_id"] for r in x.select("case_id").collect()} for x in train_test_split(data, "case_id")]
+    assert [{r["case_id"] for r in x.select("case_id").collect()} for x in (tr, te)] == sides and all(sides)
+    seen, build = [], models.build_estimator
+    monkeypatch.setattr(models, "build_estimator", lambda spec, feats, train: seen.append(train) or build(spec, feats, train))
+    spec = models.ModelSpec("rf", "rf", {"numTrees": 1, "maxDepth": 1})
+    _, per_fold = models.cross_validate(data, fm.features, "case_id", [spec], k=2)
+    assert len(seen) == 2 and not any("Join" in x._jdf.queryExecution().optimizedPlan().toString() for x in seen)
+    assert sum(r["n"] for r in per_fold.collect()) == data.count()
