@@ -1,5 +1,7 @@
 """Queries read the driver tables once, lookups do not deal the cases by few keys, and every row is kept."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,35 @@ def test_sides_and_folds_are_read_not_computed(spark, sf, monkeypatch):
     _, per_fold = models.cross_validate(data, fm.features, "case_id", [spec], k=2)
     assert len(seen) == 2 and not any("Join" in x._jdf.queryExecution().optimizedPlan().toString() for x in seen)
     assert sum(r["n"] for r in per_fold.collect()) == data.count()
+
+
+@pytest.fixture()
+def own_tables(spark, tmp_path):
+    """Driver tables of a few rows: line items repeat, some lack a part or a line number, some end before they begin."""
+    day = dt.datetime(1998, 1, 1)
+    offices = ["ALPHA", "BETA", "GAMMA"]
+    orders = [(o, o % 3, "FOP"[o % 3], 100.0 * o, day + dt.timedelta(days=37 * o), f"{o % 5 + 1}-P") for o in range(1, 25)]
+    items = [(o[0], None if i == 2 else o[0] % 7, o[0] % 4, None if i == 3 else i, 5.0, 10.0, 0.1, 0.0, "ANR"[i % 3], "OF"[i % 2],
+              o[4] + dt.timedelta(days=(13 * o[0] + 29 * i) % 90 - 5)) for o in orders for i in (1, 1, 2, 3, 4, 5)]
+    for name, rows, schema in (
+            ("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+                               "o_orderpriority string"),
+            ("lineitem", items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+            ("supplier", [(s, f"s{s}", s % 3, 1.0) for s in range(4)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+            ("nation", [(n, offices[n], n % 2) for n in range(3)], "n_nationkey int, n_name string, n_regionkey int"),
+            ("region", [(0, "R0"), (1, "R1")], "r_regionkey int, r_name string")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["rank_models", "regression_metrics", "error_distribution"])
+def test_evaluation_tables_keep_no_keys_and_every_row(spark, own_tables, monkeypatch, name):
+    kept, write, make = [], catalog_stats.kept_valid, catalog_stats.predictions
+    monkeypatch.setattr(catalog_stats, "kept_valid", lambda *a: kept.append(write(*a)) or kept[-1])
+    got = QUERIES[name](spark, own_tables).collect()
+    assert len(kept) == 1 and kept[0].columns == ["office", "lead_days", "submit_month"]
+    assert kept[0].count() == valid(spark, own_tables).count() > kept[0].distinct().count()
+    monkeypatch.setattr(catalog_stats, "predictions", lambda spark, sf, keys=(): make(spark, sf))
+    want = QUERIES[name](spark, own_tables).collect()
+    assert "case_id" in kept[1].columns and sorted(got) == sorted(want) and got
