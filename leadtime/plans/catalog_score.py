@@ -38,7 +38,8 @@ def scoring_setup(spark, sf, one_feature: bool = False, v=None):
     unknown offices."""
     from .catalog_ml import ONE, ONE_SPECS, training_tables
     v = scoring_cases(spark, sf) if v is None else v
-    fm, _, tr, te, fmodels = training_tables(spark, sf, v)
+    # The scorer reads no keys, and the one-feature scorer one feature: no more is written.
+    fm, _, tr, te, fmodels = training_tables(spark, sf, v, ("label", *(ONE if one_feature else M.FEATURES)))
     spec = ONE_SPECS[0]
     features = list(ONE) if one_feature else fm.features
     model = M.build_estimator(spec, features, tr).fit(tr)

@@ -110,3 +110,18 @@ def test_evaluation_tables_keep_no_keys_and_every_row(spark, own_tables, monkeyp
     monkeypatch.setattr(catalog_stats, "predictions", lambda spark, sf, keys=(): make(spark, sf))
     want = QUERIES[name](spark, own_tables).collect()
     assert "case_id" in kept[1].columns and sorted(got) == sorted(want) and got
+
+
+@pytest.mark.parametrize("one_feature", [True, False])
+def test_scorers_write_only_what_they_read(spark, own_tables, monkeypatch, one_feature):
+    v = valid(spark, own_tables)
+    _, whole, _, te, _ = catalog_ml.training_tables(spark, own_tables, v)
+    written, write = [], catalog_ml.cut_lineage
+    monkeypatch.setattr(catalog_ml, "cut_lineage", lambda *a: written.append(write(*a)) or written[-1])
+    kw = catalog_score.scoring_setup(spark, own_tables, one_feature, v)
+    features = ["office_mean_days"] if one_feature else list(models.FEATURES)
+    assert len(written) == 1 and set(written[0].columns) == {"label", "_side", *features} and kw["features"] == features
+    rows = written[0].select("label", *features)
+    assert rows.exceptAll(whole.select(rows.columns)).isEmpty() and rows.count() == whole.count() == v.count()
+    error = kw["model"].transform(te).agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))).first()[0]
+    assert kw["rmse"] == pytest.approx(error)
