@@ -4,25 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.keys import split_label
 from ..operators import aggregates as agg
 from ..operators.joins import join_back
-from ..roles import read_table
+from ..roles import cases, read_table
 from ..session import cut_lineage, scratch_path
 from . import models as M
 from .registry import FEATURE_INPUT, kept_valid, register
 from .catalog_stats import _hash_sql
-from .metrics import regression_metrics, train_test_split
+from .metrics import regression_metrics, split_sides
 
 
 def scoring_cases(spark, sf):
-    """The valid cases that scorer and requests are made from, written once."""
-    return kept_valid(spark, sf, *FEATURE_INPUT, "submit_ts", "status", "priority")
+    """The valid cases that scorer and requests are made from, written once with their side of the split.  Only requests
+    (the test side) carry an id and the columns that a request is made from; training cases have nulls there."""
+    asked = F.col("case_id").isNotNull()
+    return kept_valid(spark, cases(spark, sf, named=lambda key: split_label(key) == "test"), *FEATURE_INPUT,
+                      *[F.when(asked, F.col(c)).alias(c) for c in ("submit_ts", "status", "priority")],
+                      F.when(asked, F.lit("test")).otherwise(F.lit("train")).alias("_side"))
 
 
 def requests_from_cases(spark, sf, v=None):
     """One request per test case: office code in lower case with spaces, ISO submit date, case number as
     text.  Some name an office that training lacks, some lie after the training years, some are invalid."""
-    _, te = train_test_split(scoring_cases(spark, sf) if v is None else v, "case_id")
+    _, te = split_sides(scoring_cases(spark, sf) if v is None else v, "case_id")
     office = F.when(F.col("priority") == "3-MEDIUM", F.concat(F.lit("new "), F.lower("office"))).otherwise(F.lower("office"))
     date = F.when(F.col("priority") == "4-NOT SPECIFIED", F.add_months(F.to_date("submit_ts"), 240)).otherwise(F.to_date("submit_ts"))
     return te.select(
@@ -46,7 +51,7 @@ def scoring_setup(spark, sf, one_feature: bool = False, v=None):
     met = regression_metrics(model.transform(te).select(F.lit(spec.name).alias("model"), "label", "prediction")).first()
     seasonal, office_m, fy_m = fmodels
     stats = office_m.tables["office"]
-    tr_v, _ = train_test_split(v, "case_id")
+    tr_v, _ = split_sides(v, "case_id")
     # One row, read by a scalar subquery for each of its columns.
     glob = cut_lineage(agg.global_office_defaults(join_back(tr_v.select("office", "fiscal_year"), stats, "office", "inner")), "defaults")
     return dict(model=model, office_stats=stats, global_row=glob, codes=fm.office_codes, rmse=met["rmse"],
